@@ -87,18 +87,13 @@ def category_name(category: Column) -> Column:
     return F.when(category == "", DEFAULT_CATEGORY).otherwise(F.coalesce(F.try_element_at(names, key), key))
 
 
-def category_of_path(attr_path: Column) -> Column:
-    path = F.lower(attr_path)
-    rules = iter(PATH_RULES.items())
-    name, words = next(rules)
-    found = F.when(_any_word(path, words), name)
-    for name, words in rules:
-        found = found.when(_any_word(path, words), name)
-    return found.otherwise(DEFAULT_CATEGORY)
+def category_of_path(lower_path: str) -> Column:
+    """The category of a column that holds lower-case attribute paths.
 
-
-def _any_word(path: Column, words: list[str]) -> Column:
-    test = path.contains(words[0])
-    for word in words[1:]:
-        test = test | path.contains(word)
-    return test
+    Takes the column's name, so that the path is put in lower case once and not per word.
+    """
+    rules = " ".join(
+        "WHEN " + " OR ".join(f"contains({lower_path}, '{word}')" for word in words) + f" THEN '{category}'"
+        for category, words in PATH_RULES.items()
+    )
+    return F.expr(f"CASE {rules} ELSE '{DEFAULT_CATEGORY}' END")

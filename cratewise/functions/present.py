@@ -24,7 +24,7 @@ def license_display(license_json: Column) -> Column:
 def license_list(license_json: Column) -> Column:
     """One-item list for display; ``Unknown`` when the text is not a license."""
     parsed = F.try_parse_json(license_json)
-    known = ~V.is_missing_or_null(parsed)
+    known = ~V.is_absent(V.kind(parsed))
     return F.when(known, F.array(V.as_text(V.field(parsed, "shortName")))).otherwise(
         F.array(F.lit(UNKNOWN_LICENSE))
     )
@@ -51,7 +51,7 @@ def license_family(names: Column) -> Column:
 
 def enrich_results(results: DataFrame) -> DataFrame:
     """License list, ``unfree`` from the license, and defaults for missing optional fields."""
-    known = ~V.is_missing_or_null(F.try_parse_json(F.col("license")))
+    known = ~V.is_absent(V.kind(F.try_parse_json(F.col("license"))))
     return results.withColumns(
         {
             "license_list": license_list(F.col("license")),

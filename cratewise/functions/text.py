@@ -12,15 +12,22 @@ TEXT_CAP = 2000
 UNKNOWN = "unknown"
 PLATFORM_WORDS = ["linux", "darwin", "windows"]
 
-# What Python's str.strip() removes: Unicode white space plus the four ASCII separators.
-_BLANK = r"[\s\x1c-\x1f]"
+# The characters that count as blank, Unicode white space plus the four ASCII separators.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # A version part starts with a digit (superscripts and subscripts count) or a "v".
-_VERSION_START = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉v]"
-_VERSION_SPLIT = rf"(?s)^(?:(.*?)-)??({_VERSION_START}.*)$"
+_V = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉v]"
+# Name before the first version part, or before the last part where none is a version. A name that
+# starts with a version part, or with a dash and one, is left whole.
+_NAME = rf"(?s)^(?!-?{_V})(?:(.+?)-{_V}.*|(.*)-[^-]*)$"
+# From the first version part on, or the last part.
+_VERSION = rf"(?s)^(?:(?:.*?-)??({_V}.*)|.*-([^-]*))$"
 
 
 def trim_text(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def clean_text(text: Column, cap: int = TEXT_CAP) -> Column:
@@ -29,24 +36,14 @@ def clean_text(text: Column, cap: int = TEXT_CAP) -> Column:
 
 
 def package_name(name: Column) -> Column:
-    """The part of ``name`` before its version."""
-    head = F.regexp_extract(name, _VERSION_SPLIT, 1)
-    return (
-        F.when(F.coalesce(name, F.lit("")) == "", UNKNOWN)
-        .when(~name.contains("-"), name)
-        .when(F.regexp_extract(name, _VERSION_SPLIT, 2) == "", F.regexp_extract(name, r"(?s)^(.*)-[^-]*$", 1))
-        .otherwise(F.when(head == "", name).otherwise(head))
-    )
+    """The part of ``name`` before its version; one pattern match per row."""
+    return F.when(F.coalesce(name, F.lit("")) == "", UNKNOWN).otherwise(F.regexp_replace(name, _NAME, "$1$2"))
 
 
 def package_version(name: Column) -> Column:
     """The part of ``name`` from the first dash-part that starts like a version."""
-    tail = F.regexp_extract(name, _VERSION_SPLIT, 2)
-    return (
-        F.when(~F.coalesce(name, F.lit("")).contains("-"), UNKNOWN)
-        .when(tail == "", F.regexp_extract(name, r"(?s)-([^-]*)$", 1))
-        .otherwise(tail)
-    )
+    has_parts = F.coalesce(name.contains("-"), F.lit(False))
+    return F.when(has_parts, F.regexp_replace(name, _VERSION, "$1$2")).otherwise(UNKNOWN)
 
 
 def name_from_store_path(path: Column) -> Column:
@@ -90,7 +87,7 @@ def display_name(attr_path: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """The larger of characters div 4 and the white-space word count."""
-    words = F.size(F.filter(F.split(text, rf"(?U){_BLANK}+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, f"[{_BLANKS}]+"), lambda w: w != ""))
     return F.greatest(F.floor(F.length(text) / 4), words.cast("bigint"))
 
 

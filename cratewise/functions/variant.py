@@ -1,4 +1,8 @@
-"""Rules for polymorphic JSON fields held as VARIANT."""
+"""Rules for polymorphic JSON fields held as VARIANT.
+
+The rules take the value and, where a caller has it as a column already, its kind, so that
+neither is worked out again in every branch.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +16,12 @@ PLATFORM_CAP = 20
 MAINTAINER_CAP = 10
 ODD_LICENSE_CAP = 500
 
+LICENSE_TEXTS = ["shortName", "fullName", "spdxId", "url"]
+LICENSE_FLAGS = ["free", "redistributable", "deprecated"]
 LICENSE_ITEM = (
-    "struct<shortName:string,fullName:string,spdxId:string,url:string,"
-    "free:boolean,redistributable:boolean,deprecated:boolean>"
+    "struct<" + ",".join([f"{n}:string" for n in LICENSE_TEXTS] + [f"{n}:boolean" for n in LICENSE_FLAGS]) + ">"
 )
+MAINTAINER_ITEM = "struct<name:string,email:string,github:string,githubId:bigint>"
 
 
 def field(value: Column, name: str) -> Column:
@@ -28,59 +34,56 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
-
-
-def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+def is_kind(k: Column, name: str) -> Column:
+    return F.coalesce(k.startswith(name), F.lit(False))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+def is_absent(k: Column) -> Column:
+    """Missing or explicitly null."""
+    return F.coalesce(k == "VOID", F.lit(True))
 
 
-def is_missing_or_null(value: Column) -> Column:
-    return F.coalesce(kind(value) == "VOID", F.lit(True))
+def as_text(value: Column, k: Column | None = None) -> Column:
+    """The text of a string member, null for anything else."""
+    return F.when((kind(value) if k is None else k) == "STRING", _string(value))
 
 
-def as_text(value: Column) -> Column:
-    """The text of a string member, null for anything else."""
-    return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
 def items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: Column, k: Column | None = None) -> Column:
     """False for missing, null, false, 0, empty text, empty list and empty object."""
-    k = kind(value)
-    return F.coalesce(
-        F.when(k == "VOID", F.lit(False))
+    k = kind(value) if k is None else k
+    return (
+        F.when(k.isNull() | (k == "VOID"), False)
         .when(k == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(k == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(k == "STRING", _string(value) != "")
         .when(k.startswith("ARRAY"), F.size(items(value)) > 0)
         .when(k.startswith("OBJECT"), k != "OBJECT<>")
-        .otherwise(F.try_variant_get(value, "$", "double") != 0),
-        F.lit(False),
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
     )
 
 
-def as_display(value: Column) -> Column:
+def as_display(value: Column, k: Column | None = None) -> Column:
     """Any member as text the way a scripting language prints it."""
-    k = kind(value)
+    k = kind(value) if k is None else k
     return (
-        F.when(k == "VOID", "None")
-        .when(k == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
+        F.when(k == "STRING", _string(value))
+        .when(k == "VOID", "None")
+        .when(k == "BOOLEAN", F.initcap(_string(value)))
         .when(k.startswith("ARRAY") | k.startswith("OBJECT"), F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
+        .otherwise(_string(value))
     )
 
 
-def sanitize(value: Column) -> Column:
+def sanitize(value: Column, k: Column | None = None) -> Column:
     """Clean text of a string member, the empty string for anything else."""
-    return F.coalesce(clean_text(as_text(value)), F.lit(""))
+    return F.coalesce(clean_text(as_text(value, k)), F.lit(""))
 
 
 def _only_boolean(value: Column) -> Column:
@@ -89,92 +92,81 @@ def _only_boolean(value: Column) -> Column:
 
 def _license_item(item: Column) -> Column:
     named = F.struct(
-        *[sanitize(field(item, n)).alias(n) for n in ["shortName", "fullName", "spdxId", "url"]],
-        *[_only_boolean(field(item, n)).alias(n) for n in ["free", "redistributable", "deprecated"]],
+        *[sanitize(field(item, n)).alias(n) for n in LICENSE_TEXTS],
+        *[_only_boolean(field(item, n)).alias(n) for n in LICENSE_FLAGS],
     )
-    return F.when(is_object(item), named).otherwise(short_license(as_display(item)))
+    return F.when(kind(item).startswith("OBJECT"), named).otherwise(short_license(as_display(item)))
 
 
 def short_license(name: Column) -> Column:
     """A license known by its short name only."""
-    blank = [F.lit("").alias(n) for n in ["fullName", "spdxId", "url"]]
-    unset = [F.lit(None).cast("boolean").alias(n) for n in ["free", "redistributable", "deprecated"]]
+    blank = [F.lit("").alias(n) for n in LICENSE_TEXTS[1:]]
+    unset = [F.lit(None).cast("boolean").alias(n) for n in LICENSE_FLAGS]
     return F.struct(name.alias("shortName"), *blank, *unset)
 
 
-def license_kind(value: Column) -> Column:
+def license_kind(value: Column, k: Column) -> Column:
     """``string``, ``array`` or ``object``; null for a missing or empty license."""
-    return F.when(truthy(value), F.when(is_array(value), "array").when(is_object(value), "object").otherwise("string"))
+    name = F.when(k.startswith("ARRAY"), "array").when(k.startswith("OBJECT"), "object").otherwise("string")
+    return F.when(truthy(value, k), name)
+
 
+def license_items(value: Column, k: Column, typed: Column) -> Column:
+    """All licenses of the member as one list; a plain text becomes a short name.
 
-def license_items(value: Column) -> Column:
-    """All licenses of the member as one list; a plain text becomes a short name."""
-    plain = F.when(is_string(value), sanitize(value)).otherwise(F.substring(as_display(value), 1, ODD_LICENSE_CAP))
+    ``typed`` is the result of ``license_kind``.
+    """
+    plain = F.when(k == "STRING", sanitize(value, k)).otherwise(F.substring(as_display(value, k), 1, ODD_LICENSE_CAP))
+    several = F.when(typed == "array", F.filter(items(value), lambda v: truthy(v))).when(typed == "object", F.array(value))
     return (
-        F.when(~truthy(value), F.lit(None))
-        .when(is_array(value), F.transform(F.filter(items(value), truthy), _license_item))
-        .when(is_object(value), F.array(_license_item(value)))
-        .otherwise(F.array(short_license(plain)))
+        F.when(typed == "string", F.array(short_license(plain)))
+        .otherwise(F.transform(several, _license_item))
         .cast(f"array<{LICENSE_ITEM}>")
     )
 
 
-def platforms(value: Column) -> Column:
+def platforms(value: Column, k: Column) -> Column:
     """The text items among the first 20, empty for anything but a list."""
-    kept = F.filter(F.slice(items(value), 1, PLATFORM_CAP), is_string)
-    texts = F.transform(kept, lambda v: F.try_variant_get(v, "$", "string"))
-    return F.when(is_array(value), texts).otherwise(F.array().cast("array<string>"))
+    kept = F.transform(F.slice(items(value), 1, PLATFORM_CAP), lambda v: as_text(v))
+    return F.when(is_kind(k, "ARRAY"), F.array_compact(kept)).otherwise(F.array().cast("array<string>"))
 
 
-def maintainers(value: Column) -> Column:
+def maintainers(value: Column, k: Column) -> Column:
     """Objects with any of name, email, github, and other items by name; the first 10 that stay."""
+    blank, no_id = F.lit(""), F.lit(None).cast("bigint")
 
     def entry(item: Column) -> Column:
         number = field(item, "githubId")
-        whole = F.when(kind(number) == "BIGINT", F.try_variant_get(number, "$", "bigint"))
-        blank = F.lit("")
-        return F.when(
-            is_object(item),
-            F.struct(
-                sanitize(field(item, "name")).alias("name"),
-                sanitize(field(item, "email")).alias("email"),
-                sanitize(field(item, "github")).alias("github"),
-                whole.alias("githubId"),
-                F.lit(True).alias("checked"),
-            ),
-        ).otherwise(
-            F.struct(
-                as_display(item).alias("name"),
-                blank.alias("email"),
-                blank.alias("github"),
-                F.lit(None).cast("bigint").alias("githubId"),
-                F.lit(False).alias("checked"),
-            )
+        known = F.struct(
+            *[sanitize(field(item, n)).alias(n) for n in ["name", "email", "github"]],
+            F.when(kind(number) == "BIGINT", F.try_variant_get(number, "$", "bigint")).alias("githubId"),
         )
+        other = F.struct(
+            as_display(item).alias("name"), blank.alias("email"), blank.alias("github"), no_id.alias("githubId")
+        )
+        is_object = kind(item).startswith("OBJECT")
+        return F.struct(F.when(is_object, known).otherwise(other).alias("m"), is_object.alias("is_object"))
 
-    def stays(m: Column) -> Column:
-        return ~m["checked"] | (m["name"] != "") | (m["email"] != "") | (m["github"] != "")
-
-    def plain(m: Column) -> Column:
-        return F.struct(*[m[n].alias(n) for n in ["name", "email", "github", "githubId"]])
+    def stays(e: Column) -> Column:
+        m = e["m"]
+        return ~e["is_object"] | (F.concat(m["name"], m["email"], m["github"]) != "")
 
     kept = F.slice(F.filter(F.transform(items(value), entry), stays), 1, MAINTAINER_CAP)
-    empty = F.array().cast("array<struct<name:string,email:string,github:string,githubId:bigint>>")
-    return F.when(is_array(value), F.transform(kept, plain)).otherwise(empty)
+    empty = F.array().cast(f"array<{MAINTAINER_ITEM}>")
+    return F.when(is_kind(k, "ARRAY"), F.transform(kept, lambda e: e["m"])).otherwise(empty)
 
 
-def text_list(value: Column) -> Column:
+def text_list(value: Column, k: Column) -> Column:
     """A list with its items as text, empty for anything but a list."""
     texts = F.transform(items(value), lambda v: F.coalesce(as_text(v), F.to_json(v)))
-    return F.when(is_array(value), texts).otherwise(F.array().cast("array<string>"))
+    return F.when(is_kind(k, "ARRAY"), texts).otherwise(F.array().cast("array<string>"))
 
 
 def only_texts(value: Column) -> Column:
     """The text items of a list, null for anything but a list."""
-    texts = F.transform(F.filter(items(value), is_string), lambda v: F.try_variant_get(v, "$", "string"))
-    return F.when(is_array(value), texts)
+    return F.when(is_kind(kind(value), "ARRAY"), F.array_compact(F.transform(items(value), lambda v: as_text(v))))
 
 
-def availability(value: Column) -> Column:
+def availability(value: Column, k: Column) -> Column:
     """Missing means available; an explicit null means it is not."""
-    return F.when(value.isNull(), True).otherwise(truthy(value))
+    return F.when(k.isNull(), True).otherwise(truthy(value, k))

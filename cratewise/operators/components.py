@@ -185,9 +185,13 @@ def cycles(edges: DataFrame, components: DataFrame, limit: int | None = CYCLE_LI
     return walks(inside, starts, goals).select(F.col("walk").alias("component"), F.col("path").alias("cycle"))
 
 
-def graph_summary(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The statistics row: degrees, and how many components of either kind there are."""
-    strong = scc(edges, vertices).where(F.col("node_id") == F.col("component")).count()
+def graph_summary(edges: DataFrame, vertices: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """The statistics row: degrees, and how many components of either kind there are.
+
+    ``components`` are the strongly connected ones, if known already.
+    """
+    components = scc(edges, vertices) if components is None else components
+    strong = components.where(F.col("node_id") == F.col("component")).count()
     weak = wcc(edges, vertices).where(F.col("node_id") == F.col("component")).count()
     return degree_summary(degrees(edges, vertices)).withColumns(
         {

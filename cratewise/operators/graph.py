@@ -25,20 +25,23 @@ def build_graph(records: DataFrame, multigraph: bool = False) -> tuple[DataFrame
     are resolved by derivation path (the last record of a repeated path wins); unresolved
     inputs and self-edges are dropped. With ``multigraph`` edges keep how often they occur.
     """
-    record = F.col("record")
-    parts = V.only_texts(V.field(record, "attrPath"))
-    name = V.as_text(V.field(record, "name"))
+    opened = records.select(
+        "line",
+        V.as_text(F.col("record.name")).alias("name"),
+        F.array_join(V.only_texts(F.col("record.attrPath")), ".").alias("attr_path"),
+        V.as_text(F.col("record.drvPath")).alias("drv_path"),
+        F.map_keys(F.try_variant_get("record.inputDrvs", "$", "map<string,variant>")).alias("inputs"),
+    )
     rows = (
-        records.where(V.is_object(record))
-        .select(
-            T.package_name(name).alias("package_name"),
-            T.package_version(name).alias("version"),
-            F.coalesce(F.array_join(parts, "."), F.lit("")).alias("attr_path"),
-            F.coalesce(V.as_text(V.field(record, "drvPath")), F.lit("")).alias("drv_path"),
-            F.map_keys(F.try_variant_get(record, "$.inputDrvs", "map<string,variant>")).alias("inputs"),
+        opened.select(
+            T.package_name(F.col("name")).alias("package_name"),
+            T.package_version(F.col("name")).alias("version"),
+            F.coalesce("attr_path", F.lit("")).alias("attr_path"),
+            F.coalesce("drv_path", F.lit("")).alias("drv_path"),
+            "inputs",
             "line",
         )
-        .where((F.col("package_name") != "") & (F.col("package_name") != T.UNKNOWN))
+        .where(~F.col("package_name").isin("", T.UNKNOWN))
         .select(
             T.node_id(F.col("package_name"), F.col("version")).alias("node_id"),
             record_ordinal(F.col("attr_path"), F.col("drv_path"), F.col("line")).alias("ord"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cratewise.functions import text as T
 from cratewise.functions import variant as V
 from cratewise.functions.category import category_name, category_of_path
-from cratewise.sources.snapshot import record_ordinal
+from cratewise.sources.snapshot import SHARED_FIELDS, record_ordinal
 
 TEXT_FIELDS = {
     "description": "description",
@@ -22,98 +22,96 @@ TEXT_FIELDS = {
 OR_FLAGS = ["broken", "unfree", "insecure", "unsupported"]
 
 
+META_FIELDS = [*TEXT_FIELDS, *OR_FLAGS, "license", "platforms", "maintainers", "category", "available", "outputsToInstall"]
+
+
 def normalize(records: DataFrame, run_ts: str) -> DataFrame:
     """Clean packages from ``records(line, record)``.
 
-    A record that cannot be normalized (not an object, a name or metadata of the
-    wrong type, a broken path) is dropped, and so is one without a package name.
+    A record that cannot be normalized (a name or metadata of the wrong type, a broken
+    path) is dropped, and so is one without a package name.
     """
-    record, meta = F.col("record"), F.col("meta")
-    opened = records.select(
+    opened = records.where(F.col("record._bad").isNull()).select(
         "line",
-        "record",
-        V.field(record, "attrPath").alias("attr_v"),
-        V.field(record, "name").alias("name_v"),
-        V.field(record, "meta").alias("meta"),
-        V.as_text(V.field(record, "drvPath")).alias("drv_path"),
-        V.field(record, "outputs").alias("outputs_v"),
-    )
-    parts = V.only_texts(F.col("attr_v"))
-    sound = (
-        V.is_object(record)
-        & V.is_string(F.col("name_v"))
-        & (V.is_missing_or_null(meta) | V.is_object(meta))
-        & (F.col("attr_v").isNull() | (F.size(parts) == F.size(V.items(F.col("attr_v")))))
-    )
-    named = opened.where(sound).select(
-        "*",
-        V.as_text(F.col("name_v")).alias("full_name"),
-        F.coalesce(F.array_join(parts, "."), F.lit("")).alias("attribute_path"),
+        F.col("record.attrPath").alias("attr_v"),
+        V.as_text(F.col("record.name")).alias("full_name"),
+        V.as_text(F.col("record.drvPath")).alias("drv_path"),
+        F.col("record.outputs").alias("outputs_v"),
+        *[F.col(f"record.meta.{n}").alias(f"v_{n}") for n in META_FIELDS],
     )
-    split = named.select(
-        "*", T.package_name(F.col("full_name")).alias("package_name"), T.package_version(F.col("full_name")).alias("version")
+    parts = V.items(F.col("attr_v"))
+    pathed = opened.withColumns(
+        {"attr_parts": F.transform(parts, lambda v: V.as_text(v)), **{f"k_{n}": V.kind(F.col(f"v_{n}")) for n in META_FIELDS}}
     )
-    category_v = V.field(meta, "category")
-    return _clean(
-        split,
-        meta_field=lambda name: V.field(meta, name),
-        category=F.when(V.truthy(category_v), category_name(V.as_display(category_v))).otherwise(
-            category_of_path(F.col("attribute_path"))
-        ),
-        run_ts=run_ts,
+    whole_path = F.col("attr_v").isNull() | ~F.exists("attr_parts", lambda v: v.isNull())
+    split = pathed.where(F.coalesce(whole_path, F.lit(False))).withColumns(
+        {
+            "attribute_path": F.coalesce(F.array_join("attr_parts", "."), F.lit("")),
+            "package_name": T.package_name(F.col("full_name")),
+            "version": T.package_version(F.col("full_name")),
+        }
     )
+    split = split.withColumn("path_lower", F.lower("attribute_path"))
+    category_v, category_k = F.col("v_category"), F.col("k_category")
+    category = F.when(
+        V.truthy(category_v, category_k), category_name(V.as_display(category_v, category_k))
+    ).otherwise(category_of_path("path_lower"))
+    return _clean(split, category, run_ts)
 
 
 def normalize_map(records: DataFrame, run_ts: str) -> DataFrame:
-    """Clean packages from ``records(attr_path, record)``, the map-shaped snapshot.
+    """Clean packages from ``records(attr_path, line, record)``, the map-shaped snapshot.
 
     ``meta`` wins over the top level; this form carries no category.
     """
-    record, meta = F.col("record"), F.col("meta")
-    opened = records.select(
-        F.to_json("record").alias("line"),
-        "record",
+    opened = records.where(F.col("record._bad").isNull()).select(
+        "line",
         F.col("attr_path").alias("attribute_path"),
-        V.field(record, "meta").alias("meta"),
         F.lit(None).cast("string").alias("drv_path"),
-        F.lit(None).cast("variant").alias("outputs_v"),
+        F.col("record.outputs").alias("outputs_v"),
+        F.col("record.pname").alias("name_v"),
+        F.col("record.version").alias("version_v"),
+        *[_first_truthy(n).alias(f"v_{n}") for n in META_FIELDS],
     )
-    sound = V.is_object(record) & (~V.truthy(meta) | V.is_object(meta))
-    name_v, version_v = V.field(record, "pname"), V.field(record, "version")
     last = F.element_at(F.split("attribute_path", r"\."), -1)
-    split = opened.where(sound).select(
-        "*",
-        F.when(V.truthy(name_v), V.as_display(name_v)).otherwise(last).alias("package_name"),
-        F.when(V.truthy(version_v), V.as_display(version_v)).otherwise(T.UNKNOWN).alias("version"),
+    split = opened.withColumns(
+        {
+            "package_name": F.when(V.truthy(F.col("name_v")), V.as_display(F.col("name_v"))).otherwise(last),
+            "version": F.when(V.truthy(F.col("version_v")), V.as_display(F.col("version_v"))).otherwise(T.UNKNOWN),
+            **{f"k_{n}": V.kind(F.col(f"v_{n}")) for n in META_FIELDS},
+        }
     )
-    both = ["description", "homepage", "license", "platforms", "maintainers", "broken", "unfree"]
+    return _clean(split, F.lit(""), run_ts)
+
+
+def _first_truthy(name: str) -> Column:
+    inner = F.col(f"record.meta.{name}")
+    return F.when(V.truthy(inner), inner).otherwise(F.col(f"record.{name}")) if name in SHARED_FIELDS else inner
 
-    def meta_field(name: str) -> Column:
-        inner = V.field(meta, name)
-        return F.when(V.truthy(inner), inner).otherwise(V.field(record, name)) if name in both else inner
 
-    return _clean(split, meta_field, F.lit(""), run_ts)
+def _clean(split: DataFrame, category: Column, run_ts: str) -> DataFrame:
+    """The clean columns from identity columns and the metadata members with their kinds."""
 
+    def rule(apply: Callable[[Column, Column], Column], name: str) -> Column:
+        return apply(F.col(f"v_{name}"), F.col(f"k_{name}"))
 
-def _clean(split: DataFrame, meta_field: Callable[[str], Column], category: Column, run_ts: str) -> DataFrame:
-    """The clean columns; needs line, attribute_path, package_name, version, drv_path and outputs_v."""
     path, name, version = F.col("attribute_path"), F.col("package_name"), F.col("version")
-    kept = split.where((name != "") & (name != T.UNKNOWN))
+    kept = split.where(~name.isin("", T.UNKNOWN)).withColumn("license_kind", rule(V.license_kind, "license"))
     return kept.select(
         record_ordinal(path, F.col("drv_path"), F.col("line")).alias("ord"),
         T.package_id(path, name, version).alias("package_id"),
         "package_name",
         "version",
         "attribute_path",
-        *[V.sanitize(meta_field(source)).alias(target) for source, target in TEXT_FIELDS.items()],
-        V.license_kind(meta_field("license")).alias("license_kind"),
-        V.license_items(meta_field("license")).alias("licenses"),
-        V.platforms(meta_field("platforms")).alias("platforms"),
-        V.maintainers(meta_field("maintainers")).alias("maintainers"),
+        *[rule(V.sanitize, source).alias(target) for source, target in TEXT_FIELDS.items()],
+        "license_kind",
+        V.license_items(F.col("v_license"), F.col("k_license"), F.col("license_kind")).alias("licenses"),
+        rule(V.platforms, "platforms").alias("platforms"),
+        rule(V.maintainers, "maintainers").alias("maintainers"),
         category.alias("category"),
-        *[V.truthy(meta_field(flag)).alias(flag) for flag in OR_FLAGS],
-        V.availability(meta_field("available")).alias("available"),
-        V.text_list(meta_field("outputsToInstall")).alias("outputs_to_install"),
+        *[rule(V.truthy, flag).alias(flag) for flag in OR_FLAGS],
+        rule(V.availability, "available").alias("available"),
+        rule(V.text_list, "outputsToInstall").alias("outputs_to_install"),
         F.lit(run_ts).alias("last_updated"),
         F.coalesce("drv_path", F.lit("")).alias("drv_path"),
         F.coalesce(F.to_json("outputs_v"), F.lit("{}")).alias("outputs"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions.present import DEFAULT_LIMIT, DEFAULT_OFFSET
 from cratewise.functions.text import tokenize, tokens_of
+from cratewise.operators.sequence import number_rows
 
 # The BM25 constants and the floor of the inverse document frequency.
 K1 = 1.2
@@ -17,7 +18,9 @@ IDF_FLOOR = 1e-6
 
 CATALOG_COLUMNS = ["package_id", "package_name", "attribute_path", "description", "long_description", "main_program"]
 STORE_COLUMNS = ["id", "name", "description"]
-RANK_SALTS = 32
+RANK_SALTS = 256
+# Searches read deeper than this are ranked by a distributed sort instead of a window.
+DEEP = 100_000
 
 
 @dataclass
@@ -294,8 +297,7 @@ def batch_search(
     what = ["q", "license", "category", "include_broken", "include_unfree"]
     ask = F.sha2(F.to_json(F.struct(*what)), 256).alias("ask")
     keyed = requests.select("request_id", "limit", "offset", *what, ask)
-    last_row = F.when(F.col("limit") < 0, F.lit(2**31)).otherwise(F.col("limit") + F.greatest("offset", F.lit(0)))
-    asks = keyed.groupBy("ask", *what).agg(F.max(last_row.cast("bigint")).alias("depth"))
+    asks = keyed.groupBy("ask", *what).agg(F.max(_last_row()).alias("depth"))
     asked = request_units(asks, "ask")
     units = asked.select("unit", "size", "pos", "term").distinct()
     found = units.join(index.postings, "term")
@@ -340,6 +342,12 @@ def batch_search(
     return _rank_pages(hits.select("ask", "depth", "doc_id", "score"), keyed)
 
 
+def _last_row() -> Column:
+    """The deepest rank a request reads; a negative limit reads them all."""
+    begin = F.greatest("offset", F.lit(0))
+    return F.when(F.col("limit") < 0, F.lit(2**62)).otherwise(F.col("limit").cast("bigint") + begin)
+
+
 def _rank_pages(hits: DataFrame, keyed: DataFrame) -> DataFrame:
     """Rank the hits of each search as deep as it is read, in two steps.
 
@@ -347,16 +355,24 @@ def _rank_pages(hits: DataFrame, keyed: DataFrame) -> DataFrame:
     what is deeper than ``depth`` in its part cannot be on a page.
     """
     best = [F.desc("score"), F.col("doc_id")]
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SALTS)))
+    shallow = hits.where(F.col("depth") <= DEEP)
+    salted = shallow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SALTS)))
     in_part = salted.withColumn("rn", F.row_number().over(Window.partitionBy("ask", "salt").orderBy(*best)))
-    totals = hits.groupBy("ask").agg(F.count(F.lit(1)).alias("total_count"))
     ranked = (
         in_part.where(F.col("rn") <= F.col("depth"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(*best)))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(*best)).cast("bigint"))
         .where(F.col("rank") <= F.col("depth"))
         .select("ask", "rank", "doc_id", "score")
-        .join(totals, "ask")
     )
+    if keyed.where(_last_row() > DEEP).limit(1).count():
+        deep = hits.where(F.col("depth") > DEEP).withColumn("_worse", -F.col("score"))
+        numbered = number_rows(deep, ["ask", "_worse", "doc_id"], "at")
+        before = numbered.groupBy("ask").agg((F.min("at") - 1).alias("before"))
+        ranked = ranked.unionByName(
+            numbered.join(before, "ask").select("ask", (F.col("at") - F.col("before")).alias("rank"), "doc_id", "score")
+        )
+    totals = hits.groupBy("ask").agg(F.count(F.lit(1)).alias("total_count"))
+    ranked = ranked.join(totals, "ask")
     begin = F.greatest("offset", F.lit(0))
     return (
         keyed.select("request_id", "ask", "limit", "offset")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cratewise.functions.text import search_text
 from cratewise.operators.merge import MAINTAINER_KEY, merge_variants, variations
 from cratewise.operators.sequence import number_rows
+from cratewise.session import materialize
 
 LICENSE_COLUMNS = {
     "full_name": "fullName",
@@ -168,7 +169,7 @@ def content_hash(rows: DataFrame) -> Column:
 
 def build_catalog(packages: DataFrame, keys: str = "sequential", match: str = "exact") -> Catalog:
     """All eight tables from normalized variants; pass a stored or cached DataFrame, it is read several times."""
-    merged = merge_variants(packages)
+    merged = materialize(merge_variants(packages), "merged").df
     licenses = with_key(license_lookup(packages), ["short_name"], "license_id", keys)
     architectures = with_key(architecture_lookup(packages), ["name"], "arch_id", keys)
     maintainers = with_key(maintainer_lookup(packages), MAINTAINER_KEY, "maintainer_id", keys)

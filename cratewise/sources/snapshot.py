@@ -18,6 +18,28 @@ HEADER_SCHEMA = (
 EXTRACTOR = "cratewise-1"
 
 
+# The members that are read, each as it comes; ``_bad`` holds lines that do not fit.
+_TOP = ["attrPath", "name", "drvPath", "outputs", "inputDrvs", "pname", "version", HEADER_KEY]
+SHARED_FIELDS = ["description", "homepage", "license", "platforms", "maintainers", "broken", "unfree"]
+_META = [
+    *SHARED_FIELDS,
+    "longDescription",
+    "mainProgram",
+    "position",
+    "category",
+    "insecure",
+    "unsupported",
+    "available",
+    "outputsToInstall",
+]
+RECORD_SCHEMA = (
+    ", ".join(f"{n} variant" for n in [*_TOP, *SHARED_FIELDS])
+    + ", meta struct<"
+    + ", ".join(f"{n}: variant" for n in _META)
+    + ">, _bad string"
+)
+
+
 @dataclass
 class Snapshot:
     """``records(line, record)``, the one-row ``header`` and the unparsable lines ``bad(line)``."""
@@ -27,25 +49,40 @@ class Snapshot:
     bad: DataFrame
 
 
+def parse_record(text: Column) -> Column:
+    """The read members of one JSON record as a struct, each a VARIANT of its own.
+
+    One pass over the text that builds nothing for members nobody reads. Metadata of the
+    wrong type leave the text in ``_bad``.
+    """
+    return F.from_json(text, RECORD_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+
+
+def parsed_once(lines: DataFrame) -> DataFrame:
+    """``(line, record)``; a blank line has no record.
+
+    The one-element explode keeps the optimizer from copying the parse into every filter and
+    projection above it.
+    """
+    return lines.select("*", F.explode(F.array(parse_record(F.col("line")))).alias("record"))
+
+
 def parse_lines(lines: DataFrame) -> Snapshot:
     """Split text lines into records, header and unparsable lines; blank lines are skipped.
 
     Works on a stream as well: every step looks at one line only.
     """
-    parsed = lines.where(F.trim("value") != "").select(
-        F.col("value").alias("line"), F.try_parse_json("value").alias("record")
-    )
-    meta = V.field(F.col("record"), HEADER_KEY)
-    header = (
-        parsed.where(F.col("line").contains(f'"{HEADER_KEY}"'))
-        .where(V.is_object(meta))
-        .select(F.from_json(F.to_json(meta), HEADER_SCHEMA).alias("h"))
-        .select("h.*")
+    parsed = parsed_once(lines.select(F.col("value").alias("line")))
+    meta = F.col(f"record.{HEADER_KEY}")
+    # Only a line that does not fit is parsed again, to tell broken JSON from odd members.
+    broken = F.coalesce(F.col("record._bad").isNotNull() & F.try_parse_json("line").isNull(), F.lit(False))
+    header = parsed.where(V.is_kind(V.kind(meta), "OBJECT")).select(
+        F.from_json(F.to_json(meta), HEADER_SCHEMA).alias("h")
     )
     return Snapshot(
-        records=parsed.where(F.col("record").isNotNull() & meta.isNull()),
-        header=header,
-        bad=parsed.where(F.col("record").isNull()).select("line"),
+        records=parsed.where(F.col("record").isNotNull() & meta.isNull() & ~broken),
+        header=header.select("h.*"),
+        bad=parsed.where(broken).select("line"),
     )
 
 
@@ -55,18 +92,18 @@ def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
 
 
 def read_snapshot_map(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """``records(attr_path, record)`` from JSON objects keyed by attribute path.
+    """``records(attr_path, line, record)`` from JSON objects keyed by attribute path.
 
     One object per line, or per file with ``whole_files``; each object is one row, so
     a catalog should come as many objects, not as a single one.
     """
-    text = spark.read.text(path, wholetext=whole_files)
-    return explode_map(text.where(F.trim("value") != "").select(F.try_parse_json("value").alias("record")))
+    return explode_map(spark.read.text(path, wholetext=whole_files))
 
 
 def explode_map(objects: DataFrame) -> DataFrame:
-    by_path = F.try_variant_get("record", "$", "map<string,variant>")
-    return objects.select(F.explode(by_path).alias("attr_path", "record"))
+    """One row per entry of the objects in ``value``; the entry's own text is parsed like a line."""
+    entries = objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("attr_path", "line"))
+    return parsed_once(entries)
 
 
 def write_snapshot(
