@@ -136,6 +136,10 @@ def _is_token(unit: Unit, position: int) -> Column:
     return test if unit.column is None else test & (F.col("col") == unit.column)
 
 
+def _shifted(positions: str, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def unit_frequencies(index: SearchIndex, units: list[Unit]) -> DataFrame:
     """``(doc_id, f0, f1, ...)``: how often each unit occurs in each document that has any of them.
 
@@ -162,7 +166,7 @@ def unit_frequencies(index: SearchIndex, units: list[Unit]) -> DataFrame:
         for j in range(len(unit.tokens)):
             at = F.flatten(F.collect_list(F.when(_is_token(unit, j), F.col("positions"))))
             parts.append(at.alias(f"p{i}_{j}"))
-            starts.append(F.transform(f"p{i}_{j}", lambda p, j=j: p - j))
+            starts.append(_shifted(f"p{i}_{j}", j))
         both = starts[0]
         for other in starts[1:]:
             both = F.array_intersect(both, other)
