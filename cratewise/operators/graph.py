@@ -164,7 +164,7 @@ def dependency_facts(
     The counts are exact for every node; a list longer than ``page_size`` is null here and
     whole in ``relation_pages``.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = oriented(edges, "out").distinct()
     reach = (closure(pairs) if reach is None else reach).select("src", "dst")
     result = vertices.select("node_id").distinct()
     for name, total, source in [("dependency", "dependencies", "out"), ("dependent", "dependents", "in")]:
@@ -183,7 +183,7 @@ def dependency_facts(
 
 def fact_counts(edges: DataFrame, vertices: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """The four counts alone, in one aggregation over tagged pairs."""
-    pairs = edges.select("src", "dst").distinct()
+    pairs = oriented(edges, "out").distinct()
     reach = (closure(pairs) if reach is None else reach).select("src", "dst")
     tagged = (
         pairs.select(F.col("src").alias("node_id"), F.lit(0).alias("tag"))
@@ -203,7 +203,7 @@ def fact_counts(edges: DataFrame, vertices: DataFrame, reach: DataFrame | None =
 
 def relation_pages(edges: DataFrame, reach: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """``(node_id, relation, page, pages, items)``: all four lists of every node, in pages."""
-    pairs, reach = edges.select("src", "dst").distinct(), reach.select("src", "dst")
+    pairs, reach = oriented(edges, "out").distinct(), reach.select("src", "dst")
     parts = []
     for relation, table in [
         ("direct_dependencies", pairs),
@@ -229,10 +229,11 @@ def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``(node_id, out_degree, in_degree)``; parallel edges count by ``weight`` where there is one."""
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    ends = edges.select(F.explode(F.array(
+    both = F.array(
         F.struct(F.col("src").alias("node_id"), weight.alias("o"), zero.alias("i")),
         F.struct(F.col("dst").alias("node_id"), zero.alias("o"), weight.alias("i")),
-    )).alias("e")).select("e.*")
+    )
+    ends = edges.where(F.col("src") != F.col("dst")).select(F.explode(both).alias("e")).select("e.*")
     sums = ends.groupBy("node_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     return (
         vertices.select("node_id")

@@ -27,9 +27,9 @@ from cratewise.sources.snapshot import explode_map
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Start, end and opened node of the graph queries.
-SEED = "1"
-TARGET = "10"
+# Start nodes of the graph queries.
+SEED = "195"
+TARGET = "16"
 SAMPLE_SIZE = 100
 
 
