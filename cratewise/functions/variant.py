@@ -56,6 +56,11 @@ def items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def tagged(value: Column) -> Column:
+    """The items of a list with their kinds, ``array<struct<v,k>>``, so that rules per item read the kind once."""
+    return F.transform(items(value), lambda v: F.struct(v.alias("v"), kind(v).alias("k")))
+
+
 def truthy(value: Column, k: Column | None = None) -> Column:
     """False for missing, null, false, 0, empty text, empty list and empty object."""
     k = kind(value) if k is None else k
@@ -91,11 +96,12 @@ def _only_boolean(value: Column) -> Column:
 
 
 def _license_item(item: Column) -> Column:
+    value, k = item["v"], item["k"]
     named = F.struct(
-        *[sanitize(field(item, n)).alias(n) for n in LICENSE_TEXTS],
-        *[_only_boolean(field(item, n)).alias(n) for n in LICENSE_FLAGS],
+        *[sanitize(field(value, n)).alias(n) for n in LICENSE_TEXTS],
+        *[_only_boolean(field(value, n)).alias(n) for n in LICENSE_FLAGS],
     )
-    return F.when(kind(item).startswith("OBJECT"), named).otherwise(short_license(as_display(item)))
+    return F.when(k.startswith("OBJECT"), named).otherwise(short_license(as_display(value, k)))
 
 
 def short_license(name: Column) -> Column:
@@ -117,7 +123,9 @@ def license_items(value: Column, k: Column, typed: Column) -> Column:
     ``typed`` is the result of ``license_kind``.
     """
     plain = F.when(k == "STRING", sanitize(value, k)).otherwise(F.substring(as_display(value, k), 1, ODD_LICENSE_CAP))
-    several = F.when(typed == "array", F.filter(items(value), lambda v: truthy(v))).when(typed == "object", F.array(value))
+    several = F.when(typed == "array", F.filter(tagged(value), lambda e: truthy(e["v"], e["k"]))).when(
+        typed == "object", F.array(F.struct(value.alias("v"), k.alias("k")))
+    )
     return (
         F.when(typed == "string", F.array(short_license(plain)))
         .otherwise(F.transform(several, _license_item))
@@ -136,22 +144,22 @@ def maintainers(value: Column, k: Column) -> Column:
     blank, no_id = F.lit(""), F.lit(None).cast("bigint")
 
     def entry(item: Column) -> Column:
-        number = field(item, "githubId")
+        value, is_object = item["v"], item["k"].startswith("OBJECT")
+        number = field(value, "githubId")
         known = F.struct(
-            *[sanitize(field(item, n)).alias(n) for n in ["name", "email", "github"]],
+            *[sanitize(field(value, n)).alias(n) for n in ["name", "email", "github"]],
             F.when(kind(number) == "BIGINT", F.try_variant_get(number, "$", "bigint")).alias("githubId"),
         )
         other = F.struct(
-            as_display(item).alias("name"), blank.alias("email"), blank.alias("github"), no_id.alias("githubId")
+            as_display(value, item["k"]).alias("name"), blank.alias("email"), blank.alias("github"), no_id.alias("githubId")
         )
-        is_object = kind(item).startswith("OBJECT")
         return F.struct(F.when(is_object, known).otherwise(other).alias("m"), is_object.alias("is_object"))
 
     def stays(e: Column) -> Column:
         m = e["m"]
         return ~e["is_object"] | (F.concat(m["name"], m["email"], m["github"]) != "")
 
-    kept = F.slice(F.filter(F.transform(items(value), entry), stays), 1, MAINTAINER_CAP)
+    kept = F.slice(F.filter(F.transform(tagged(value), entry), stays), 1, MAINTAINER_CAP)
     empty = F.array().cast(f"array<{MAINTAINER_ITEM}>")
     return F.when(is_kind(k, "ARRAY"), F.transform(kept, lambda e: e["m"])).otherwise(empty)
 

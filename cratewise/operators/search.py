@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cratewise.functions.present import DEFAULT_LIMIT, DEFAULT_OFFSET
 from cratewise.functions.text import tokenize, tokens_of
 from cratewise.operators.sequence import number_rows
+from cratewise.session import materialize
 
 # The BM25 constants and the floor of the inverse document frequency.
 K1 = 1.2
@@ -195,7 +196,8 @@ def matches(index: SearchIndex, query: Query, allowed: DataFrame | None = None)
     if not scored:
         return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     units = scored + query.excluded
-    freq = unit_frequencies(index, units)
+    # Read three times below, and small next to the postings.
+    freq = materialize(unit_frequencies(index, units), "frequencies").df
     names = [f"f{i}" for i in range(len(units))]
     stats = freq.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(scored))])
     have, either, without = (
@@ -304,7 +306,7 @@ def batch_search(
     asks = keyed.groupBy("ask", *what).agg(F.max(_last_row()).alias("depth"))
     asked = request_units(asks, "ask")
     units = asked.select("unit", "size", "pos", "term").distinct()
-    found = units.join(index.postings, "term")
+    found = materialize(units.join(index.postings, "term"), "found").df
     single = found.where(F.col("size") == 1).groupBy("unit", "doc_id").agg(F.sum("tf").alias("f"))
     # An occurrence of a phrase is a start position that all its tokens agree on.
     starts = found.where(F.col("size") > 1).select(
@@ -317,7 +319,7 @@ def batch_search(
         .groupBy("unit", "doc_id")
         .agg(F.count(F.lit(1)).alias("f"))
     )
-    freq = single.unionByName(phrase)
+    freq = materialize(single.unionByName(phrase), "frequencies").df
     n_docs, average = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
     weights = freq.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).select("unit", idf(n_docs, F.col("n")).alias("weight"))
     wants = asked.select("ask", "unit").distinct()

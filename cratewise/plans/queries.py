@@ -51,7 +51,10 @@ def rounded(value: Column, digits: int = 6) -> Column:
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> S.SearchIndex:
-    return S.build_index(D.corpus(spark, sf_dir), "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"])
+    """The index of the corpus; its document table is stored, the postings are built as they are read."""
+    index = S.build_index(D.corpus(spark, sf_dir), "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"])
+    docs = materialize(index.docs, "docs").df
+    return S.SearchIndex(index.postings, docs, S.corpus_of(docs))
 
 
 def everything(hits: DataFrame) -> DataFrame:
