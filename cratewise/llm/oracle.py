@@ -1,3 +1,25 @@
 """SQL for the registered queries of this subpackage that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op3_decontaminate"] = rf"""
+WITH item AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS w, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS win
+  FROM item, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS t(i) WHERE len(ws) > 0),
+doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
+runs AS (
+  SELECT doc_id, i, s.w, array_to_string(ws[i : i + s.w - 1], ' ') AS win
+  FROM doc, (SELECT DISTINCT w FROM wins) AS s, unnest(range(1, len(ws) - s.w + 2)) AS t(i)),
+hit AS (SELECT doc_id, item_id, i, runs.w FROM runs JOIN wins USING (w, win)),
+pos AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, w)) AS t(k) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
