@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.words import chunks, mix, shingle_sets, texts_of
+from cratewise.llm.words import mix, shingle_sets, text_chunks
 from cratewise.operators.components import wcc
 from cratewise.session import materialize
 
@@ -38,6 +38,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles that one task of step 4 holds of each of its two blocks.
 BLOCK_KEYS = 1 << 20
 KNOWN = 0xFFFF  # in place of a text's number: the chunk itself has the shingle twice
+#: Classes that are unpacked into rows at once.
+UNPACK_ROWS = 200
 LOW = np.uint64((1 << 48) - 1)
 
 _SENT = "shard int, rid binary, doc_id binary, n binary, sig binary, low binary, high binary, texts binary, base bigint, known_rid binary, known_keys binary"
@@ -55,10 +57,9 @@ def _sets(batches: Iterator[pa.RecordBatch], shards: int, width: int) -> Iterato
     schema = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("rid", "doc_id", "n", "sig", "low", "high", "texts")], ("base", pa.int64()), ("known_rid", pa.binary()), ("known_keys", pa.binary())])
     turn = row >> 40
     for batch in batches:
-        texts = [t.lower() for t in texts_of(batch)]  # bytes: A-Z only
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        for a, b in chunks(texts, rows=KNOWN - 1):
-            sets = shingle_sets(texts[a:b], width)
+        for a, b, texts in text_chunks(batch, rows=KNOWN - 1):
+            sets = shingle_sets([t.lower() for t in texts], width)  # bytes: A-Z only
             n = np.fromiter(map(len, sets), np.int64, b - a)
             keys = np.concatenate([*sets, np.empty(0, np.uint64)])
             owner = np.repeat(np.arange(b - a, dtype=np.uint16), n)
@@ -149,12 +150,14 @@ def repeated_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per class and shingle."""
+    """One row per class and shingle, a bounded number of classes at a time."""
     for b in batches:
-        cls, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        keys = [np.frombuffer(b"".join(p), np.int64) for p in b.column(2).to_pylist()]
-        size = np.fromiter(map(len, keys), np.int64, len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size)), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], names=["cls", "n", "key"])
+        for at in range(0, b.num_rows, UNPACK_ROWS):
+            part = b.slice(at, UNPACK_ROWS)
+            cls, n = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keys = [np.frombuffer(b"".join(p), np.int64) for p in part.column(2).to_pylist()]
+            size = np.fromiter(map(len, keys), np.int64, len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size)), pa.array(np.concatenate(keys))], names=["cls", "n", "key"])
 
 
 def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -53,22 +54,21 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * falling[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The column as UTF-8 bytes; null counts as empty."""
+def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES, rows: int = 60_000) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of about ``limit`` bytes with their texts as UTF-8; null counts as empty.
+
+    One text may be longer, none is cut. Only one chunk is copied out of the batch at a time.
+    """
     column = batch.column(batch.schema.get_field_index(name))
-    return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
-
-
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES, rows: int = 60_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes; one text may be longer, none is cut."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > begin and (size + len(text) > limit or i - begin >= rows):
-            yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        done = total[begin] - size[begin]
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(total, done + limit, side="right"))))
+        yield begin, end, [t or b"" for t in column.slice(begin, end - begin).to_pylist()]
+        begin = end
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
