@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
+from cratewise.llm.mil import classify
 from cratewise.llm.mixing import mix_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
