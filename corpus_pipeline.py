@@ -1,13 +1,58 @@
-"""The corpus pipeline: each stage is one operator of ``cratewise.llm`` applied to what the stage before it kept."""
+"""The corpus pipeline: every stage is an operator of ``cratewise.llm`` applied to all that the stage before it kept.
+
+Quality classifier, near-duplicate removal, benchmark decontamination, mixing, token files. ``run`` writes
+each stage's result to the working folder and reads it back for the next, so a lost executor costs one stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cratewise.llm.jaccard import jaccard_components
+from cratewise.llm.decontaminate import uncontaminated
+from cratewise.llm.jaccard import one_of_each
+from cratewise.llm.mil import accepted
+from cratewise.llm.mixing import mix
+from cratewise.llm.tokens import tokenize
 from cratewise.session import materialize
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention classifier accepts."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the token files, as read back."""
+    return tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
+#: SQL has neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 

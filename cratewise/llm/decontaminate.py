@@ -65,16 +65,17 @@ def _set(bitmap: Column, h: Column, bits: int) -> Column:
     return F.getbit(F.get(bitmap, (bucket / 64).cast("int")), (bucket % 64).cast("int")) == 1
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, broadcast_rows: int = BROADCAST_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per row of ``docs``.
 
-    ``docs`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``.
+    ``docs`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``; ``keep`` names
+    further columns of ``docs`` to carry along.
     """
     windows = materialize(item_windows(items), "windows").df
     length = F.least("w", F.lit(SHINGLE))
     shingles = windows.select("item_id", "window", "w", length.alias("l"), F.posexplode(_shingles(F.col("window"), length)).alias("off", "hash"))
     lengths = sorted(r["l"] for r in windows.select(length.alias("l")).distinct().collect())  # SHINGLE values at most
-    text = docs.select("doc_id", words(F.col("text")).alias("words"))
+    text = docs.select("doc_id", *keep, words(F.col("text")).alias("words"))
 
     listed = _bitmap(shingles, bits)
     seen = [F.filter(_shingles(F.col("words"), n), lambda h: _set(listed, h, bits)) for n in lengths]
@@ -88,9 +89,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
     places = [_places(n, needed, bits) for n in lengths]
     spread = F.when(F.size("found") > 0, F.pmod("rid", F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(SALTS))).cast("int")
     found = (
-        text.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("bigint").alias("n_words"), F.concat(F.array().cast(_PLACE), *places).alias("found"))
-        .select("rid", "doc_id", "n_words", spread.alias("salt"), F.explode_outer("found").alias("f"))
-        .select("rid", "doc_id", "n_words", "salt", "f.*")
+        text.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *keep, F.size("words").cast("bigint").alias("n_words"), F.concat(F.array().cast(_PLACE), *places).alias("found"))
+        .select("rid", "doc_id", *keep, "n_words", spread.alias("salt"), F.explode_outer("found").alias("f"))
+        .select("rid", "doc_id", *keep, "n_words", "salt", "f.*")
     )
     if prefix.rows <= broadcast_rows:
         joined = found.join(F.broadcast(prefix.df), ["hash", "l"], "left")
@@ -104,6 +105,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
     hit = F.when(F.col("window").isNotNull() & fits, same).otherwise(False)
     per_doc = joined.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
+        *[F.max(c).alias(c) for c in keep],
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(hit, F.struct(start.alias("s"), F.col("w").alias("w")))).alias("spans"),
         F.collect_set(F.when(hit, F.col("item_id").cast("string"))).alias("items"),
@@ -116,9 +118,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
         (hits > 0).alias("contaminated"),
+        *keep,
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with their columns."""
+    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))  # rows equal in both have the same verdict
+    found = decontaminate(marked, items, keep=("_uid",)).where("contaminated").select("_uid").distinct()
+    return marked.join(found, "_uid", "left_anti").select(*docs.columns)
+
+
 _PLACE = "array<struct<hash:bigint,l:int,pos:int,first:int,near:array<string>>>"
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewise.llm.words import mix, shingle_sets, text_chunks
@@ -43,7 +43,7 @@ UNPACK_ROWS = 200
 LOW = np.uint64((1 << 48) - 1)
 
 _SENT = "shard int, rid binary, doc_id binary, n binary, sig binary, low binary, high binary, texts binary, base bigint, known_rid binary, known_keys binary"
-_FACTS = "rid bigint, doc_id bigint, n bigint, sig1 bigint, sig2 bigint, keys binary"
+_FACTS = "rid bigint, doc_id bigint, uid bigint, n bigint, sig1 bigint, sig2 bigint, keys binary"
 
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -88,9 +88,10 @@ def _sets(batches: Iterator[pa.RecordBatch], shards: int, width: int) -> Iterato
                 if cut[s + 1] > cut[s]:
                     rows.append((s, None, None, None, None, (once[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((once[x] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), texts_once[x].tobytes(), row, None, None))
             turn += 1
-            own_ids = np.frombuffer(ids.slice(a, b - a).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.int64)
+            own_ids = ids.slice(a, b - a).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             nulls = np.asarray(ids.slice(a, b - a).is_null().to_numpy(zero_copy_only=False), bool)
-            rows.append((int(turn % shards), np.arange(row, row + b - a, dtype=np.int64).tobytes(), np.concatenate((own_ids, nulls.astype(np.int64))).tobytes(), n.tobytes(), sig.tobytes(), None, None, None, row, known_rid.tobytes(), known_keys.tobytes()))
+            uid = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+            rows.append((int(turn % shards), np.arange(row, row + b - a, dtype=np.int64).tobytes(), np.concatenate((own_ids, nulls.astype(np.int64), uid)).tobytes(), n.tobytes(), sig.tobytes(), None, None, None, row, known_rid.tobytes(), known_keys.tobytes()))
             row += b - a
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
@@ -103,7 +104,7 @@ def _pieces(rid: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of one shard: the shingles that more than one text has, by text, and the facts that came along."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("keys", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("keys", pa.binary())])
     low, high, who, out = [], [], [], []
     for r in table.to_pylist():
         if r["low"] is not None:
@@ -115,8 +116,9 @@ def _repeated(table: pa.Table) -> pa.Table:
         else:
             rid, n = np.frombuffer(r["rid"], np.int64), np.frombuffer(r["n"], np.int64)
             ids, sig = np.frombuffer(r["doc_id"], np.int64), np.frombuffer(r["sig"], np.int64).reshape(-1, 2)
-            doc_id = pa.array(ids[: len(rid)], pa.int64(), mask=ids[len(rid) :].astype(bool))
-            out.append(pa.Table.from_arrays([pa.array(rid), doc_id, pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.nulls(len(rid), pa.binary())], schema=schema))
+            ids, nulls, uid = np.split(ids, 3)
+            doc_id = pa.array(ids, pa.int64(), mask=nulls.astype(bool))
+            out.append(pa.Table.from_arrays([pa.array(rid), doc_id, pa.array(uid), pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.nulls(len(rid), pa.binary())], schema=schema))
             known, blobs = _pieces(np.frombuffer(r["known_rid"], np.int64), np.frombuffer(r["known_keys"], np.uint64))
             out.append(_keys_table(known, blobs, schema))
     if low:
@@ -134,19 +136,19 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _keys_table(rid: list[int], blobs: list[bytes], schema: pa.Schema) -> pa.Table:
     n = len(rid)
-    return pa.Table.from_arrays([pa.array(rid, pa.int64()), *[pa.nulls(n, pa.int64())] * 4, pa.array(blobs, pa.binary())], schema=schema)
+    return pa.Table.from_arrays([pa.array(rid, pa.int64()), *[pa.nulls(n, pa.int64())] * 5, pa.array(blobs, pa.binary())], schema=schema)
 
 
 def repeated_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(rid, doc_id, n, sig1, sig2, parts)`` per row of ``docs``: set size, a 128-bit value of the
+    """``(rid, doc_id, uid, n, sig1, sig2, parts)`` per row of ``docs``: hash of id and text, set size, a 128-bit value of the
     set, and its shingles that other rows have too (``parts``: lists of 8-byte values), null where too few to link."""
     spark = docs.sparkSession
     shards = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shards, width), _SENT)
+    sent = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(lambda it: _sets(it, shards, width), _SENT)
     facts = sent.groupBy("shard").applyInArrow(_repeated, _FACTS)
-    whole = facts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "n", "sig1", "sig2")], F.collect_list("keys").alias("parts"))
+    whole = facts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "uid", "n", "sig1", "sig2")], F.collect_list("keys").alias("parts"))
     kept = F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p)) / 8 >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    return whole.select("rid", "doc_id", "n", "sig1", "sig2", F.when(kept & (F.col("n") > 0), F.col("parts")).alias("parts"))
+    return whole.select("rid", "doc_id", "uid", "n", "sig1", "sig2", F.when(kept & (F.col("n") > 0), F.col("parts")).alias("parts"))
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +243,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], names=b.schema.names)
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` per row of ``docs`` (``doc_id``, ``text``).
+def linked_rows(docs: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """``(doc_id, uid, n, component, component_id, n_links)`` per row of ``docs`` (``doc_id``, ``text``).
 
-    ``n_links`` counts the other rows whose similarity is at least 0.8.
+    ``component`` is null for rows that cannot link with any other.
     """
     facts = materialize(repeated_shingles(docs, width), "sets").df
     which = ["n", "sig1", "sig2"]
@@ -282,10 +284,34 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_keys: int = BL
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     named = classes.join(linked.withColumnRenamed("node_id", "cls"), "cls", "left").join(degree, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").select(*which, "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(lows, "component").select(*which, "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return facts.join(named, which, "left").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "uid",
+        "n",
+        "component",
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links)`` per row of ``docs``.
+
+    ``n_links`` counts the other rows whose similarity is at least 0.8.
+    """
+    return linked_rows(docs, width, block_keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of each component with the smallest id (null last, then by a hash of the text), with its columns.
+
+    Rows without shingles all stay; of rows that are equal in id and text one stays.
+    """
+    rows = materialize(linked_rows(docs).select("doc_id", "uid", "component"), "linked").df
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid")
+    heads = rows.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("uid", F.lit(True).alias("_one"))
+    kept = rows.where(F.col("component").isNull()).select("uid", F.lit(False).alias("_one")).distinct().unionByName(heads)
+    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("uid", "_uid"), "_uid")
+    nth = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
+    return marked.withColumn("_nth", nth).where("NOT _one OR _nth = 1").select(*docs.columns)

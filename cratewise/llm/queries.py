@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
 from cratewise.llm.mil import classify
 from cratewise.llm.mixing import mix_sizes
+from cratewise.llm.tokens import tokenize
+
+#: The tokenizer of the token files.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +47,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(table(spark, sf_dir, "documents"), TOKENIZER)
