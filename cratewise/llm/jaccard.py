@@ -58,7 +58,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shards: int, width: int) -> Iterato
     turn = row >> 40
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        for a, b, texts in text_chunks(batch, rows=KNOWN - 1):
+        for a, b, texts in text_chunks(batch, limit=4 << 20, rows=KNOWN - 1):
             sets = shingle_sets([t.lower() for t in texts], width)  # bytes: A-Z only
             n = np.fromiter(map(len, sets), np.int64, b - a)
             keys = np.concatenate([*sets, np.empty(0, np.uint64)])

@@ -11,7 +11,9 @@ from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
 from cratewise.llm.mil import classify
 from cratewise.llm.mixing import mix_sizes
+from cratewise.llm.rules import apply_rules
 from cratewise.llm.tokens import tokenize
+from cratewise.llm.warc import archive
 
 #: The tokenizer of the token files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +54,13 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ BYTE_VALUES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that a task works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
