@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
+from cratewise.llm.language import identify_languages
 from cratewise.llm.mil import classify
 from cratewise.llm.mixing import mix_sizes
 from cratewise.llm.rules import apply_rules
@@ -64,3 +65,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
