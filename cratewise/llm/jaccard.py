@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ LOW = np.uint64((1 << 48) - 1)
 
 _SENT = "shard int, rid binary, doc_id binary, n binary, sig binary, low binary, high binary, texts binary, base bigint, known_rid binary, known_keys binary"
 _FACTS = "rid bigint, doc_id bigint, uid bigint, n bigint, sig1 bigint, sig2 bigint, keys binary"
+_REPLIES = "base bigint, rid binary, doc_id binary, n binary, sig binary, known_rid binary, known_keys binary"
+_REPLY = pa.schema([("base", pa.int64()), *[(c, pa.binary()) for c in ("rid", "doc_id", "n", "sig", "known_rid", "known_keys")]])
 
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -96,59 +99,59 @@ def _sets(batches: Iterator[pa.RecordBatch], shards: int, width: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def _pieces(rid: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Keys of each text, from rows sorted by text."""
-    at = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1]))) if len(rid) else np.empty(0, int)
-    return rid[at].tolist(), [x.tobytes() for x in np.split(keys, at[1:])] if len(at) else []
-
-
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one shard: the shingles that more than one text has, by text, and the facts that came along."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("keys", pa.binary())])
-    low, high, who, out = [], [], [], []
-    for r in table.to_pylist():
+    """Of one shard: which shingles more than one text has, one row per chunk that asked; facts pass through."""
+    low, high, who, base = [], [], [], []
+    for r in table.select(["low", "high", "texts", "base"]).to_pylist():
         if r["low"] is not None:
             low.append(np.frombuffer(r["low"], np.uint32))
             high.append(np.frombuffer(r["high"], np.uint16))
-            t = np.frombuffer(r["texts"], np.uint16).astype(np.int64)
-            who.append(np.where(t == KNOWN, -1, t + r["base"]))
-            shard = r["shard"]
-        else:
-            rid, n = np.frombuffer(r["rid"], np.int64), np.frombuffer(r["n"], np.int64)
-            ids, sig = np.frombuffer(r["doc_id"], np.int64), np.frombuffer(r["sig"], np.int64).reshape(-1, 2)
-            ids, nulls, uid = np.split(ids, 3)
-            doc_id = pa.array(ids, pa.int64(), mask=nulls.astype(bool))
-            out.append(pa.Table.from_arrays([pa.array(rid), doc_id, pa.array(uid), pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.nulls(len(rid), pa.binary())], schema=schema))
-            known, blobs = _pieces(np.frombuffer(r["known_rid"], np.int64), np.frombuffer(r["known_keys"], np.uint64))
-            out.append(_keys_table(known, blobs, schema))
+            who.append(np.frombuffer(r["texts"], np.uint16))
+            base.append(np.full(len(who[-1]), r["base"]))
+    out = [table.filter(pc.is_null(table["low"])).select(_REPLY.names)]
     if low:
-        keys = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low) | np.uint64(shard) << np.uint64(48)
-        who = np.concatenate(who)
+        shard = np.uint64(table["shard"][0].as_py())
+        keys = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low) | shard << np.uint64(48)
+        who, base = np.concatenate(who), np.concatenate(base)
         order = np.argsort(keys, kind="stable")
-        keys, who = keys[order], who[order]
-        same = keys[1:] == keys[:-1]
-        twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, who = keys[twice & (who >= 0)], who[twice & (who >= 0)]
-        order = np.argsort(who, kind="stable")
-        out.append(_keys_table(*_pieces(who[order], keys[order]), schema))
-    return pa.concat_tables(out) if out else schema.empty_table()
-
-
-def _keys_table(rid: list[int], blobs: list[bytes], schema: pa.Schema) -> pa.Table:
-    n = len(rid)
-    return pa.Table.from_arrays([pa.array(rid, pa.int64()), *[pa.nulls(n, pa.int64())] * 5, pa.array(blobs, pa.binary())], schema=schema)
+        same = keys[order][1:] == keys[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = order[who[order] != KNOWN]
+        order = order[np.argsort(base[order], kind="stable")]
+        keys, who, base = keys[order], who[order], base[order]
+        chunk, at = np.unique(base, return_index=True)
+        cut = np.append(at, len(base))
+        rid, blob = zip(*[((base[x:y] + who[x:y]).tobytes(), keys[x:y].tobytes()) for x, y in zip(cut, cut[1:])]) if len(chunk) else ((), ())
+        nulls = [pa.nulls(len(chunk), pa.binary())] * 4
+        out.append(pa.Table.from_arrays([pa.array(chunk, pa.int64()), *nulls, pa.array(rid, pa.binary()), pa.array(blob, pa.binary())], schema=_REPLY))
+    return pa.concat_tables([t.cast(_REPLY) for t in out])
+
+
+def _assembled(table: pa.Table) -> pa.Table:
+    """Of one chunk: a row per text with its repeated shingles, if they are enough to link."""
+    facts = next(r for r in table.to_pylist() if r["rid"] is not None)
+    rid, n = np.frombuffer(facts["rid"], np.int64), np.frombuffer(facts["n"], np.int64)
+    (ids, nulls, uid), sig = np.split(np.frombuffer(facts["doc_id"], np.int64), 3), np.frombuffer(facts["sig"], np.int64).reshape(-1, 2)
+    who = np.frombuffer(b"".join(table["known_rid"].to_pylist()), np.int64)
+    keys = np.frombuffer(b"".join(table["known_keys"].to_pylist()), np.uint64)
+    order = np.argsort(who, kind="stable")
+    keys, cut = keys[order], np.searchsorted(who[order], np.append(rid, rid[-1:] + 1))
+    enough = (np.diff(cut) >= least_overlap(n)) & (n > 0)
+    blobs = [np.sort(keys[x:y]).tobytes() if e else None for x, y, e in zip(cut, cut[1:], enough)]
+    columns = [pa.array(rid), pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(uid), pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array(blobs, pa.binary())]
+    return pa.Table.from_arrays(columns, names=["rid", "doc_id", "uid", "n", "sig1", "sig2", "keys"])
 
 
 def repeated_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(rid, doc_id, uid, n, sig1, sig2, parts)`` per row of ``docs``: hash of id and text, set size, a 128-bit value of the
-    set, and its shingles that other rows have too (``parts``: lists of 8-byte values), null where too few to link."""
-    spark = docs.sparkSession
-    shards = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """``(rid, doc_id, uid, n, sig1, sig2, keys)`` per row of ``docs``: hash of id and text, set size, a 128-bit
+    value of the set, and its shingles that other rows have too (8 bytes each), null where too few to link.
+
+    Messages and replies are one row per chunk of texts and shard; neither grows with how common a shingle is.
+    """
+    shards = min(1 << 16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(lambda it: _sets(it, shards, width), _SENT)
-    facts = sent.groupBy("shard").applyInArrow(_repeated, _FACTS)
-    whole = facts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "uid", "n", "sig1", "sig2")], F.collect_list("keys").alias("parts"))
-    kept = F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p)) / 8 >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    return whole.select("rid", "doc_id", "uid", "n", "sig1", "sig2", F.when(kept & (F.col("n") > 0), F.col("parts")).alias("parts"))
+    replies = sent.groupBy("shard").applyInArrow(_repeated, _REPLIES)
+    return replies.groupBy("base").applyInArrow(_assembled, _FACTS)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, UNPACK_ROWS):
             part = b.slice(at, UNPACK_ROWS)
             cls, n = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            keys = [np.frombuffer(b"".join(p), np.int64) for p in part.column(2).to_pylist()]
+            keys = [np.frombuffer(p, np.int64) for p in part.column(2).to_pylist()]
             size = np.fromiter(map(len, keys), np.int64, len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size)), pa.array(np.concatenate(keys))], names=["cls", "n", "key"])
 
@@ -250,10 +253,10 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEY
     """
     facts = materialize(repeated_shingles(docs, width), "sets").df
     which = ["n", "sig1", "sig2"]
-    alive = facts.where(F.col("parts").isNotNull())
+    alive = facts.where(F.col("keys").isNotNull())
     classes = materialize(alive.groupBy(*which).agg(F.min("rid").alias("cls"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "classes").df
     heads = alive.join(classes.select(F.col("cls").alias("rid"), "copies"), "rid")
-    postings = materialize(heads.select(F.col("rid").alias("cls"), "n", "parts").mapInArrow(_unpack, "cls bigint, n bigint, key bigint"), "postings").df
+    postings = materialize(heads.select(F.col("rid").alias("cls"), "n", "keys").mapInArrow(_unpack, "cls bigint, n bigint, key bigint"), "postings").df
     often = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
     listed = (
