@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cratewise.llm.crf import extract
 from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
 from cratewise.llm.language import identify_languages
@@ -70,3 +71,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
