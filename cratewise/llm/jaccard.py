@@ -148,7 +148,7 @@ def repeated_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Messages and replies are one row per chunk of texts and shard; neither grows with how common a shingle is.
     """
-    shards = min(1 << 16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = min(1 << 16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(lambda it: _sets(it, shards, width), _SENT)
     replies = sent.groupBy("shard").applyInArrow(_repeated, _REPLIES)
     return replies.groupBy("base").applyInArrow(_assembled, _FACTS)
