@@ -13,10 +13,10 @@ without an id marks words but is not listed; either table may be empty; other co
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cratewise.llm.bitmap import bitmap, is_set
 from cratewise.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,21 +50,6 @@ def _shingles(array: Column, length: Column | int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(array, i, length)))
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> Column:
-    """A constant of ``bits`` bits, those of the column ``hash`` set; at most ``bits / 64`` longs reach the driver."""
-    bucket = F.pmod("hash", F.lit(bits))
-    rows = hashes.groupBy((bucket / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {bits}) % 64 AS INT))")).alias("mask")).collect()
-    cells = np.zeros(bits // 64, np.int64)
-    for r in rows:
-        cells[r["cell"]] = r["mask"]
-    return F.lit(cells)
-
-
-def _set(bitmap: Column, h: Column, bits: int) -> Column:
-    bucket = F.pmod(h, F.lit(bits))
-    return F.getbit(F.get(bitmap, (bucket / 64).cast("int")), (bucket % 64).cast("int")) == 1
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, broadcast_rows: int = BROADCAST_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per row of ``docs``.
 
@@ -77,15 +62,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
     lengths = sorted(r["l"] for r in windows.select(length.alias("l")).distinct().collect())  # SHINGLE values at most
     text = docs.select("doc_id", *keep, words(F.col("text")).alias("words"))
 
-    listed = _bitmap(shingles, bits)
-    seen = [F.filter(_shingles(F.col("words"), n), lambda h: _set(listed, h, bits)) for n in lengths]
+    listed = bitmap(shingles, bits)
+    seen = [F.filter(_shingles(F.col("words"), n), lambda h: is_set(listed, h, bits)) for n in lengths]
     often = text.select(F.explode(F.concat(F.array().cast("array<bigint>"), *seen)).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
     ranked = shingles.join(often, "hash", "left")
     # a shingle that no document has rules its window out: it stays first and is dropped
     rarest = ranked.groupBy("item_id", "window", "w", "l").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "off", "hash")).alias("p"))
     prefix = materialize(rarest.where("p.often > 0").select("item_id", "window", "w", "l", F.col("p.off").alias("off"), F.col("p.hash").alias("hash")), "prefix")
 
-    needed = _bitmap(prefix.df, bits)
+    needed = bitmap(prefix.df, bits)
     places = [_places(n, needed, bits) for n in lengths]
     spread = F.when(F.size("found") > 0, F.pmod("rid", F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(SALTS))).cast("int")
     found = (
@@ -132,9 +117,9 @@ def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 _PLACE = "array<struct<hash:bigint,l:int,pos:int,first:int,near:array<string>>>"
 
 
-def _places(n: int, bitmap: Column, bits: int) -> Column:
+def _places(n: int, cells: Column, bits: int) -> Column:
     """Where the text has a shingle of ``n`` words that a window asks for, with the words around it."""
-    hashed = F.transform(_shingles(F.col("words"), n), lambda h, i: F.when(_set(bitmap, h, bits), F.struct(h.alias("hash"), i.alias("pos"))))
+    hashed = F.transform(_shingles(F.col("words"), n), lambda h, i: F.when(is_set(cells, h, bits), F.struct(h.alias("hash"), i.alias("pos"))))
     first = lambda p: F.greatest(p - (WINDOW - 1), F.lit(0))
     return F.transform(
         F.filter(hashed, lambda x: x.isNotNull()),

@@ -13,6 +13,7 @@ from cratewise.llm.jaccard import jaccard_components
 from cratewise.llm.language import identify_languages
 from cratewise.llm.mil import classify
 from cratewise.llm.mixing import mix_sizes
+from cratewise.llm.pii import digest, find
 from cratewise.llm.rules import apply_rules
 from cratewise.llm.tokens import tokenize
 from cratewise.llm.warc import archive
@@ -76,3 +77,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find(table(spark, sf_dir, "documents")))
