@@ -7,8 +7,7 @@ import unicodedata
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Length caps, the word for a missing part, and the words that mark a platform segment.
-TEXT_CAP = 2000
+# The word for a missing part, and the words that mark a platform segment.
 UNKNOWN = "unknown"
 PLATFORM_WORDS = ["linux", "darwin", "windows"]
 
@@ -30,9 +29,10 @@ def trim_text(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
-def clean_text(text: Column, cap: int = TEXT_CAP) -> Column:
-    """NULs out, trimmed, then cut."""
-    return F.substring(trim_text(F.replace(text, F.lit("\u0000"), F.lit(""))), 1, cap)
+def clean_text(text: Column, cap: int | None = None) -> Column:
+    """NULs out and trimmed; cut to ``cap`` characters only if asked to."""
+    clean = trim_text(F.replace(text, F.lit("\u0000"), F.lit("")))
+    return clean if cap is None else F.substring(clean, 1, cap)
 
 
 def package_name(name: Column) -> Column:

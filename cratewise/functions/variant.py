@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from cratewise.functions.text import clean_text
 
-# List and text caps.
-PLATFORM_CAP = 20
-MAINTAINER_CAP = 10
-ODD_LICENSE_CAP = 500
-
 LICENSE_TEXTS = ["shortName", "fullName", "spdxId", "url"]
 LICENSE_FLAGS = ["free", "redistributable", "deprecated"]
 LICENSE_ITEM = (
@@ -122,7 +117,7 @@ def license_items(value: Column, k: Column, typed: Column) -> Column:
 
     ``typed`` is the result of ``license_kind``.
     """
-    plain = F.when(k == "STRING", sanitize(value, k)).otherwise(F.substring(as_display(value, k), 1, ODD_LICENSE_CAP))
+    plain = F.when(k == "STRING", sanitize(value, k)).otherwise(as_display(value, k))
     several = F.when(typed == "array", F.filter(tagged(value), lambda e: truthy(e["v"], e["k"]))).when(
         typed == "object", F.array(F.struct(value.alias("v"), k.alias("k")))
     )
@@ -133,14 +128,15 @@ def license_items(value: Column, k: Column, typed: Column) -> Column:
     )
 
 
-def platforms(value: Column, k: Column) -> Column:
-    """The text items among the first 20, empty for anything but a list."""
-    kept = F.transform(F.slice(items(value), 1, PLATFORM_CAP), lambda v: as_text(v))
+def platforms(value: Column, k: Column, cap: int | None = None) -> Column:
+    """The text items, empty for anything but a list; with ``cap``, those among the first so many items."""
+    listed = items(value) if cap is None else F.slice(items(value), 1, cap)
+    kept = F.transform(listed, lambda v: as_text(v))
     return F.when(is_kind(k, "ARRAY"), F.array_compact(kept)).otherwise(F.array().cast("array<string>"))
 
 
-def maintainers(value: Column, k: Column) -> Column:
-    """Objects with any of name, email, github, and other items by name; the first 10 that stay."""
+def maintainers(value: Column, k: Column, cap: int | None = None) -> Column:
+    """Objects with any of name, email, github, and other items by name; with ``cap``, the first so many that stay."""
     blank, no_id = F.lit(""), F.lit(None).cast("bigint")
 
     def entry(item: Column) -> Column:
@@ -159,7 +155,8 @@ def maintainers(value: Column, k: Column) -> Column:
         m = e["m"]
         return ~e["is_object"] | (F.concat(m["name"], m["email"], m["github"]) != "")
 
-    kept = F.slice(F.filter(F.transform(tagged(value), entry), stays), 1, MAINTAINER_CAP)
+    kept = F.filter(F.transform(tagged(value), entry), stays)
+    kept = kept if cap is None else F.slice(kept, 1, cap)
     empty = F.array().cast(f"array<{MAINTAINER_ITEM}>")
     return F.when(is_kind(k, "ARRAY"), F.transform(kept, lambda e: e["m"])).otherwise(empty)
 

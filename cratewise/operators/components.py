@@ -9,7 +9,6 @@ from cratewise.operators.graph import degree_summary, degrees, flip, oriented, w
 from cratewise.operators.skew import HOT_ROWS, hot_keys, join_lookup
 from cratewise.session import Stored, materialize, read_stored
 
-CYCLE_LIMIT = 50
 # Peeling steps per stored round: fewer writes, and a plan that stays small.
 PEEL_STEPS = 3
 
@@ -166,7 +165,7 @@ def cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, components: DataFrame, limit: int | None = CYCLE_LIMIT) -> DataFrame:
+def cycles(edges: DataFrame, components: DataFrame, limit: int | None = None) -> DataFrame:
     """``(component, cycle)``: one shortest cycle through the smallest node of each component.
 
     The list is closed, first node repeated at its end. The first ``limit`` components are

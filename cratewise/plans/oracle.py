@@ -112,6 +112,11 @@ ORACLE["postings_top"] = with_parts(
     "SELECT term, count(*) AS cf, count(DISTINCT (id, col)) AS postings, sum(pos)::BIGINT AS position_sum "
     "FROM tok GROUP BY term ORDER BY cf DESC, term LIMIT 100",
 )
+ORACLE["index_written"] = with_parts(
+    CORPUS,
+    """SELECT count(DISTINCT (term, id, col)) AS postings, count(*) AS tokens, (SELECT count(*) FROM documents) AS documents,
+              (SELECT sum(dl)::BIGINT FROM dl) AS lengths FROM tok""",
+)
 ORACLE["document_lengths"] = with_parts(CORPUS, "SELECT id AS doc_id, dl, round(avgdl, 6) AS avgdl FROM dl CROSS JOIN totals")
 
 REQUESTS = """
@@ -159,11 +164,8 @@ ORACLE["batch_search"] = with_parts(
 NODES = "SELECT CAST(p_partkey AS VARCHAR) AS node_id, p_name, p_size FROM part"
 
 
-def graph_parts(quantity: int = 48) -> dict[str, str]:
-    return {"edges": D.EDGES.format(text="VARCHAR", quantity=quantity), "nodes": NODES}
-
-
-GRAPH = graph_parts()
+GRAPH = {"edges": D.EDGES.format(text="VARCHAR"), "nodes": NODES}
+PARTNERS = {"edges": D.PARTNERS.format(text="VARCHAR"), "nodes": NODES}
 REACH = {
     "reach": "SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src",
 }
@@ -207,30 +209,31 @@ _COUNTS = """SELECT node_id, coalesce(a.n, 0) AS dependency_count, coalesce(b.n,
              LEFT JOIN (SELECT dst, count(*) AS n, string_agg(src, '|' ORDER BY src) AS l FROM reach GROUP BY dst) d ON d.dst = node_id"""
 _LISTS = """, coalesce(a.l, '') AS direct_dependencies, coalesce(b.l, '') AS direct_dependents,
               coalesce(c.l, '') AS all_dependencies, coalesce(d.l, '') AS all_dependents"""
-ORACLE["closure_counts"] = with_parts({**GRAPH, **REACH}, _COUNTS.format(more=""), recursive=True)
-ORACLE["dependency_facts"] = with_parts({**GRAPH, **REACH}, _COUNTS.format(more=_LISTS), recursive=True)
+ORACLE["closure_counts"] = with_parts({**PARTNERS, **REACH}, _COUNTS.format(more=""), recursive=True)
+ORACLE["dependency_facts"] = with_parts({**PARTNERS, **REACH}, _COUNTS.format(more=_LISTS), recursive=True)
 ORACLE["closure_pairs"] = with_parts(
-    {**GRAPH, "steps": _STEPS.format(h=1, w="", m=60), "best": "SELECT src, dst, min(hops) AS hops FROM steps GROUP BY src, dst"},
+    {**PARTNERS, "steps": _STEPS.format(h=1, w="", m=600), "best": "SELECT src, dst, min(hops) AS hops FROM steps GROUP BY src, dst"},
     "SELECT src, count(*) AS reached, max(hops) AS farthest, sum(hops)::BIGINT AS hop_sum FROM best GROUP BY src",
     recursive=True,
 )
 ORACLE["reach_from_seed"] = with_parts(
-    {**GRAPH, "steps": _STEPS.format(h=1, w=f"WHERE src IN ('{SEED}', '{TARGET}')", m=200)},
+    {**GRAPH, "steps": _STEPS.format(h=1, w=f"WHERE src IN ('{SEED}', '{TARGET}')", m=40)},
     "SELECT src, dst, min(hops) AS hops FROM steps GROUP BY src, dst",
     recursive=True,
 )
 ORACLE["reach_into_seed"] = with_parts(
     {
         **GRAPH,
-        "two": f"""SELECT dst AS src, src AS dst, 1 AS hops FROM edges WHERE dst IN ('{SEED}', '{TARGET}')
-                   UNION ALL SELECT a.dst, b.src, 2 FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst IN ('{SEED}', '{TARGET}')""",
+        "steps": f"""SELECT dst AS src, src AS dst, 1 AS hops FROM edges WHERE dst IN ('{SEED}', '{TARGET}')
+                     UNION SELECT s.src, e.src, s.hops + 1 FROM steps s JOIN edges e ON s.dst = e.dst WHERE s.hops < 40""",
     },
-    "SELECT src, dst, min(hops) AS hops FROM two GROUP BY src, dst",
+    "SELECT src, dst, min(hops) AS hops FROM steps GROUP BY src, dst",
+    recursive=True,
 )
 ORACLE["shortest_path"] = with_parts(
     {
         **GRAPH,
-        "steps": _STEPS.format(h=1, w=f"WHERE src = '{SEED}'", m=200),
+        "steps": _STEPS.format(h=1, w=f"WHERE src = '{SEED}'", m=40),
         "best": "SELECT dst, min(hops) AS hops FROM steps GROUP BY dst",
         "goal": f"SELECT dst, hops FROM best WHERE dst <> '{SEED}' ORDER BY hops DESC, dst LIMIT 1",
         "paths": f"""SELECT '{SEED}' AS place, ['{SEED}'] AS path, 0 AS hops
@@ -252,13 +255,13 @@ _MUTUAL = {
     "strong": "SELECT n.node_id, coalesce(least(low, n.node_id), n.node_id) AS component FROM nodes n LEFT JOIN mutual m ON m.node_id = n.node_id",
 }
 ORACLE["scc_sizes"] = with_parts(
-    {**graph_parts(47), **REACH, **_MUTUAL}, "SELECT component, count(*) AS size FROM strong GROUP BY component", recursive=True
+    {**PARTNERS, **REACH, **_MUTUAL}, "SELECT component, count(*) AS size FROM strong GROUP BY component", recursive=True
 )
 _CYCLE_EDGES = "SELECT src, dst, a.component FROM edges JOIN strong a ON a.node_id = src JOIN strong b ON b.node_id = dst WHERE a.component = b.component"
-ORACLE["cycle_edges"] = with_parts({**graph_parts(47), **REACH, **_MUTUAL}, _CYCLE_EDGES, recursive=True)
+ORACLE["cycle_edges"] = with_parts({**PARTNERS, **REACH, **_MUTUAL}, _CYCLE_EDGES, recursive=True)
 ORACLE["cycle_witnesses"] = with_parts(
     {
-        **graph_parts(47),
+        **PARTNERS,
         **REACH,
         **_MUTUAL,
         "inner_edges": _CYCLE_EDGES,
@@ -267,14 +270,14 @@ ORACLE["cycle_witnesses"] = with_parts(
                    WHERE w.hops < 400 AND w.place <> w.component""",
     },
     """SELECT component, (min(hops) + 1)::INTEGER AS length FROM walk WHERE place = component
-       GROUP BY component ORDER BY component LIMIT 50""",
+       GROUP BY component""",
     recursive=True,
 )
 ORACLE["wcc_sizes"] = with_parts(
     {**GRAPH, **_WCC}, "SELECT component, count(*) AS size FROM weak GROUP BY component", recursive=True
 )
 ORACLE["graph_summary"] = with_parts(
-    {**GRAPH, **REACH, **_MUTUAL, **_WCC, "deg": _DEGREES},
+    {**PARTNERS, **REACH, **_MUTUAL, **_WCC, "deg": _DEGREES},
     f"""SELECT {_SUMMARY}, (SELECT count(DISTINCT component) FROM strong) AS strongly_connected_components,
                (SELECT count(DISTINCT component) FROM weak) AS weakly_connected_components FROM deg""",
     recursive=True,
@@ -308,7 +311,7 @@ ORACLE["expand_links"] = with_parts(
     "SELECT * FROM links UNION ALL SELECT * FROM next_links n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.source = n.source AND l.target = n.target)",
 )
 ORACLE["node_metadata"] = with_parts(
-    GRAPH, "SELECT * FROM nodes WHERE node_id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity >= 50)"
+    GRAPH, "SELECT * FROM nodes WHERE node_id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)"
 )
 ORACLE["edge_list"] = with_parts(GRAPH, "SELECT src || ' ' || dst AS line FROM edges")
 
@@ -381,7 +384,7 @@ ORACLE["sanitize"] = clean_sql(
                concat_ws(' ', package_name, nullif(description, ''), nullif(attribute_path, ''), nullif(main_program, '')) AS search_text FROM clean"""
 )
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
-ORACLE["sanitize_texts"] = f"SELECT doc_id, md5(substring(trim(text, {_BLANKS}), 1, 2000)) AS clean_md5 FROM documents"
+ORACLE["sanitize_texts"] = f"SELECT doc_id, md5(trim(text, {_BLANKS})) AS clean_md5 FROM documents"
 _words = [w for ws in C.PATH_RULES.values() for w in ws] + ["plain"]
 _word_list = "[" + ", ".join(f"'{w}'" for w in _words) + "]"
 ORACLE["category_rules"] = f"""
@@ -429,7 +432,7 @@ ORACLE["graph_from_records"] = with_parts(
     _PARENTS,
     """SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM live a JOIN live b
          ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-       WHERE a.l_quantity >= 48 AND a.node_id <> b.node_id""",
+       WHERE a.node_id <> b.node_id""",
 )
 ORACLE["vertices_from_records"] = with_parts(
     _PARENTS,
@@ -559,7 +562,7 @@ ORACLE["integrity"] = "SELECT rule, 0::BIGINT AS violations FROM (VALUES " + ",
 
 ORACLE["node_documents"] = with_parts(
     {
-        **GRAPH,
+        **PARTNERS,
         **REACH,
         **CLEAN,
         "last_one": """SELECT CAST(l_partkey AS VARCHAR) AS k, arg_max(attribute_path, o) AS attribute_path,
@@ -576,7 +579,7 @@ ORACLE["node_documents"] = with_parts(
     recursive=True,
 )
 ORACLE["index_slim"] = merged_sql(
-    "SELECT package_name || '-' || version AS node_id, package_name, version, attribute_path, substring(description, 1, 200) AS description, category, broken, unfree FROM merged"
+    "SELECT package_name || '-' || version AS node_id, package_name, version, attribute_path, description, category, broken, unfree FROM merged"
 )
 ORACLE["store_documents"] = merged_sql(
     f"""SELECT package_id, package_name, version, description, homepage, category, broken, unfree, available,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from cratewise.operators import search as S
 from cratewise.operators import star as R
 from cratewise.operators.normalize import normalize, normalize_map
 from cratewise.plans import standins as D
-from cratewise.session import materialize
+from cratewise.session import materialize, run_folder
 from cratewise.sources import catalog as L
 from cratewise.sources import documents as O
 from cratewise.sources.snapshot import explode_map
@@ -50,11 +51,26 @@ def rounded(value: Column, digits: int = 6) -> Column:
 # --- text search ------------------------------------------------------------------------------
 
 
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> S.SearchIndex:
-    """The index of the corpus; its document table is stored, the postings are built as they are read."""
-    index = S.build_index(D.corpus(spark, sf_dir), "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"])
-    docs = materialize(index.docs, "docs").df
-    return S.SearchIndex(index.postings, docs, S.corpus_of(docs))
+    """The written index of the corpus; a session writes it once for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in WRITTEN:
+        path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+        S.write_index(S.build_index(D.corpus(spark, sf_dir), "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"]), path)
+        WRITTEN[key] = path
+    return S.read_index(spark, WRITTEN[key])
+
+
+@query
+def index_written(spark, sf):
+    """What is in the written index, after it is read back."""
+    index = text_index(spark, sf)
+    documents, lengths = (index.docs.select(c).scalar() for c in [F.count(F.lit(1)), F.sum("dl")])
+    counts = index.postings.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
+    return counts.select("postings", "tokens", documents.alias("documents"), lengths.alias("lengths"))
 
 
 def everything(hits: DataFrame) -> DataFrame:
@@ -174,9 +190,14 @@ def document_lengths(spark, sf):
 # --- dependency graph ---------------------------------------------------------------------------
 
 
-def part_graph(spark: SparkSession, sf_dir: str, quantity: int = 48) -> tuple[DataFrame, DataFrame]:
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored edges and the vertices; the loops below read the edges many times."""
-    return materialize(D.part_edges(spark, sf_dir, quantity), "edges").df, D.part_nodes(spark, sf_dir)
+    return materialize(D.part_edges(spark, sf_dir), "edges").df, D.part_nodes(spark, sf_dir)
+
+
+def partner_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each part with its strongest partner: many components, and closures that stay small."""
+    return materialize(D.partner_edges(spark, sf_dir), "partners").df, D.part_nodes(spark, sf_dir)
 
 
 def _list_rows(pages: DataFrame) -> DataFrame:
@@ -224,7 +245,7 @@ def leaderboard_in(spark, sf):
 def multigraph_degrees(spark, sf):
     """E8 with multiplicity: parallel edges count by weight."""
     lines = D.table(spark, sf, "lineitem")
-    left = lines.where(F.col("l_quantity") >= 48).select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").cast("string").alias("src"))
+    left = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").cast("string").alias("src"))
     right = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("dst"))
     weighted = left.join(right, ["l_orderkey", "n"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     return G.degrees(weighted, D.part_nodes(spark, sf))
@@ -233,13 +254,13 @@ def multigraph_degrees(spark, sf):
 @query
 def closure_counts(spark, sf):
     """The four counts of every node."""
-    return G.with_flags(G.fact_counts(*part_graph(spark, sf)))
+    return G.with_flags(G.fact_counts(*partner_graph(spark, sf)))
 
 
 @query
 def closure_pairs(spark, sf):
     """All reachable pairs with their distance, by source."""
-    edges, _ = part_graph(spark, sf)
+    edges, _ = partner_graph(spark, sf)
     return G.closure(edges).groupBy("src").agg(
         F.count(F.lit(1)).alias("reached"), F.max("hops").alias("farthest"), F.sum("hops").alias("hop_sum")
     )
@@ -254,9 +275,9 @@ def reach_from_seed(spark, sf):
 
 @query
 def reach_into_seed(spark, sf):
-    """Everything within two hops that depends on the seeds."""
+    """Everything that depends on the seeds."""
     edges, nodes = part_graph(spark, sf)
-    return G.closure(edges, seeds=nodes.where(F.col("node_id").isin(SEED, TARGET)), direction="in", max_hops=2)
+    return G.closure(edges, seeds=nodes.where(F.col("node_id").isin(SEED, TARGET)), direction="in")
 
 
 def _farthest(edges: DataFrame) -> str:
@@ -276,7 +297,7 @@ def shortest_path(spark, sf):
 @query
 def dependency_facts(spark, sf):
     """Lists and counts of every node."""
-    facts = G.with_flags(G.dependency_facts(*part_graph(spark, sf)))
+    facts = G.with_flags(G.dependency_facts(*partner_graph(spark, sf)))
     lists = ["direct_dependencies", "direct_dependents", "all_dependencies", "all_dependents"]
     return facts.withColumns({c: joined(F.col(c)) for c in lists})
 
@@ -289,21 +310,21 @@ def wcc_sizes(spark, sf):
 
 @query
 def scc_sizes(spark, sf):
-    """Strongly connected components and their sizes, on the denser graph."""
-    return K.scc(*part_graph(spark, sf, 47)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    """Strongly connected components and their sizes."""
+    return K.scc(*partner_graph(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query
 def cycle_edges(spark, sf):
-    """I8: edges on cycles, on the denser graph."""
-    edges, nodes = part_graph(spark, sf, 47)
+    """I8: edges on cycles."""
+    edges, nodes = partner_graph(spark, sf)
     return K.cycle_edges(edges, K.scc(edges, nodes))
 
 
 @query
 def cycle_witnesses(spark, sf):
     """I8: one shortest cycle per component."""
-    edges, nodes = part_graph(spark, sf, 47)
+    edges, nodes = partner_graph(spark, sf)
     found = K.cycles(edges, materialize(K.scc(edges, nodes), "scc").df)
     return found.select("component", F.size("cycle").alias("length"))
 
@@ -311,7 +332,7 @@ def cycle_witnesses(spark, sf):
 @query
 def graph_summary(spark, sf):
     """The statistics row."""
-    row = K.graph_summary(*part_graph(spark, sf))
+    row = K.graph_summary(*partner_graph(spark, sf))
     return row.withColumns({c: rounded(F.col(c)) for c in row.columns if c.startswith("average")})
 
 
@@ -353,8 +374,8 @@ def _smallest_neighbor(ego_nodes: DataFrame) -> str:
 
 @query
 def node_metadata(spark, sf):
-    """Metadata of asked nodes, here those of the densest order lines."""
-    asked = D.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 50).select(F.col("l_partkey").cast("string").alias("node_id"))
+    """Metadata of asked nodes, here those of all order lines."""
+    asked = D.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("node_id"))
     return G.node_metadata(D.part_nodes(spark, sf), asked)
 
 
@@ -537,7 +558,7 @@ def stored_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_variants(spark, sf):
     """One package out of its variants."""
-    m = M.merge_variants(clean_packages(spark, sf))
+    m = M.merge_variants(stored_packages(spark, sf))
     people = F.transform("maintainers", lambda p: F.concat_ws("/", p["name"], p["email"], p["github"], p["githubId"].cast("string")))
     return m.select(
         "package_id", "package_name", "version", "attribute_path", "description", "homepage", "category", "main_program",
@@ -609,7 +630,7 @@ def variations(spark, sf):
 @query
 def package_table(spark, sf):
     """The package rows of the star schema."""
-    return R.package_table(M.merge_variants(clean_packages(spark, sf))).drop("content_hash")
+    return R.package_table(M.merge_variants(stored_packages(spark, sf))).drop("content_hash")
 
 
 @query
@@ -644,7 +665,7 @@ def integrity(spark, sf):
 
 def record_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Packages whose node ids are those of the part graph."""
-    edges, nodes = part_graph(spark, sf_dir)
+    edges, nodes = partner_graph(spark, sf_dir)
     packages = stored_packages(spark, sf_dir)
     by_part = packages.withColumns(
         {"package_name": F.lit("p"), "version": F.regexp_extract("drv_path", r"-(\d+)-\d+\.drv$", 1)}
@@ -682,13 +703,13 @@ def node_documents(spark, sf):
 @query
 def index_slim(spark, sf):
     """The slim list of the index document."""
-    return O.index_rows(M.merge_variants(clean_packages(spark, sf)))
+    return O.index_rows(M.merge_variants(stored_packages(spark, sf)))
 
 
 @query
 def store_documents(spark, sf):
     """Stored documents decoded again."""
-    merged = M.merge_variants(clean_packages(spark, sf))
+    merged = M.merge_variants(stored_packages(spark, sf))
     docs = merged.withColumns({"license": O.typed_license(F.col("license_kind"), F.col("licenses")), "content_hash": R.content_hash(merged)})
     decoded = O.decode_documents(O.store_documents(docs))
     return decoded.select(

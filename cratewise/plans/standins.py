@@ -36,12 +36,22 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
      JOIN nation ON s_nationkey = n_nationkey
 """
 
-# A part depends on the part of the next line of the same order, when much of it was ordered.
+# A part depends on the part of the next line of the same order.
 EDGES = """
 SELECT DISTINCT CAST(a.l_partkey AS {text}) AS src, CAST(b.l_partkey AS {text}) AS dst
 FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-WHERE a.l_quantity >= {quantity} AND a.l_partkey <> b.l_partkey
+WHERE a.l_partkey <> b.l_partkey
+"""
+
+# A part depends on the part that most often stands on the line after it, the smallest of several.
+PARTNERS = """
+SELECT src, dst FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS place FROM (
+    SELECT CAST(a.l_partkey AS {text}) AS src, CAST(b.l_partkey AS {text}) AS dst, count(*) AS n
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
+    WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2) counted) placed
+WHERE place = 1
 """
 
 
@@ -56,11 +66,16 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, tables: list[str]) -> D
 
 
 def variant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, VARIANT_FACTS, ["lineitem", "part", "supplier", "nation"])
+    # each given table is one file with one row group: spread its rows before the JSON work
+    return run_sql(spark, sf_dir, VARIANT_FACTS, ["lineitem", "part", "supplier", "nation"]).repartition("l_orderkey", "l_linenumber")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, EDGES.format(text="STRING"), ["lineitem"])
 
 
-def part_edges(spark: SparkSession, sf_dir: str, quantity: int = 48) -> DataFrame:
-    return run_sql(spark, sf_dir, EDGES.format(text="STRING", quantity=quantity), ["lineitem"])
+def partner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, PARTNERS.format(text="STRING"), ["lineitem"])
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +179,7 @@ def raw_snapshot_with_inputs(spark: SparkSession, sf_dir: str) -> Snapshot:
         "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("drv_path").alias("target")
     )
     needs = (
-        facts.where(F.col("l_quantity") >= 48)
-        .select("l_orderkey", "l_linenumber", "drv_path")
+        facts.select("l_orderkey", "l_linenumber", "drv_path")
         .join(targets, ["l_orderkey", "l_linenumber"])
         .groupBy("drv_path")
         .agg(F.collect_set("target").alias("targets"))

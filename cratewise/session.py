@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from dataclasses import dataclass
 
@@ -30,19 +31,29 @@ def build_session(app_name: str = "cratewise", master: str | None = None, **conf
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one in the shared warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
-    Only a local-mode session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine, so that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.cratewise.workdir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-cratewise-")
-    spark.conf.set("spark.cratewise.workdir", folder)
-    return folder
+
+_RUN_FOLDERS: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The session's own folder in the working folder; it is deleted when the driver ends."""
+    path = f"{working_folder(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _RUN_FOLDERS:
+        _RUN_FOLDERS.add(path)
+        atexit.register(_clean_up, spark, path)
+    return path
+
+
+def _clean_up(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        delete_folder(spark, path)
 
 
 @dataclass
@@ -67,7 +78,7 @@ def materialize(df: DataFrame, label: str = "step") -> Stored:
     a loop whether a round changed anything.
     """
     spark = df.sparkSession
-    path = f"{working_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     checksum = F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum")
     df.observe(seen, F.count(F.lit(1)).alias("rows"), checksum).write.parquet(path)

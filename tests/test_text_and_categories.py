@@ -56,7 +56,8 @@ def test_small_text_rules(spark):
     paths = ["/s/hash-foo-1.2", "/s/plain", "/s/h-vim-9/"]
     assert column(spark, paths, T.name_from_store_path(F.col("v"))) == ["foo", None, "vim-9"]
     assert column(spark, [" \x1c a\u0000b \n"], T.clean_text(F.col("v"))) == ["ab"]
-    assert column(spark, [" " + "x" * 3000], F.length(T.clean_text(F.col("v")))) == [2000]
+    assert column(spark, [" " + "x" * 3000], F.length(T.clean_text(F.col("v")))) == [3000]
+    assert column(spark, [" " + "x" * 3000], F.length(T.clean_text(F.col("v"), 2000))) == [2000]
     assert column(spark, ["aaaa bbbb", "a b c d", ""], T.token_estimate(F.col("v"))) == [2, 4, 0]
     assert column(spark, ["nixpkgs.a.b", "other.a"], T.display_name(F.col("v"))) == ["a.b", "other.a"]
 
