@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cratewise.llm.words import text_chunks
-from cratewise.session import working_folder
+from cratewise.session import run_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -242,6 +242,6 @@ def read_range(spark: SparkSession, path: str, begin: int, end: int) -> np.ndarr
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the token files of ``docs`` to the working folder and read every document back."""
     spark = docs.sparkSession
-    path = f"{working_folder(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer, path)
     return documents(read_blocks(spark, path))

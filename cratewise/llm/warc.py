@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewise.llm.words import text_chunks
-from cratewise.session import materialize, working_folder
+from cratewise.session import materialize, run_folder
 
 REVISIT_BYTES = 1000
 #: Bytes after which a task begins its next archive.
@@ -131,7 +131,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def _uri(folder: str) -> str:
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    if "://" in folder:
+        return folder
+    return "file://" + folder.removeprefix("file:")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -177,5 +179,5 @@ def ranges(rows: Iterator[dict]) -> Iterator[tuple[str, int, int, list[tuple[int
 def archive(pages: DataFrame) -> DataFrame:
     """Write all ``pages`` to the working folder and read every record back."""
     spark: SparkSession = pages.sparkSession
-    folder = f"{working_folder(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/warc-{uuid.uuid4().hex}"
     return read_records(write_archives(pages, folder), folder)
