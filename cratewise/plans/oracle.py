@@ -313,7 +313,7 @@ ORACLE["expand_links"] = with_parts(
 ORACLE["node_metadata"] = with_parts(
     GRAPH, "SELECT * FROM nodes WHERE node_id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)"
 )
-ORACLE["edge_list"] = with_parts(GRAPH, "SELECT src || ' ' || dst AS line FROM edges")
+ORACLE["edge_list"] = with_parts(GRAPH, "SELECT src || ' ' || dst AS line FROM edges UNION ALL SELECT '# source target'")
 
 # --- normalization ------------------------------------------------------------------------------
 
@@ -596,6 +596,22 @@ ORACLE["sample_docs"] = f"""
 ORACLE["storage_stats"] = """
     SELECT *, round((1 - stored_bytes / raw_bytes) * 100, 4) AS saving_percent FROM (
         SELECT count(*) AS total_documents, sum(strlen(text))::BIGINT AS raw_bytes, floor(sum(n_chars) / 4)::BIGINT AS stored_bytes FROM documents)"""
+ORACLE["store_written"] = "SELECT count(*) AS total_documents, 0::BIGINT AS differing, 0::BIGINT AS stubs, true AS saves FROM documents"
+ORACLE["output_check"] = """SELECT * FROM (VALUES ('tables_present', true), ('document_decodes', true), ('index_matches_store', true)) v("check", good)"""
+ORACLE["write_counts"] = """
+    SELECT count(*) FILTER (WHERE lang <> 'fr') AS stored, count(*) FILTER (WHERE lang <> 'fr') AS success,
+           count(*) FILTER (WHERE lang IS NULL OR lang = 'fr') AS errors, count(*) AS total FROM documents"""
+ORACLE["snapshot_written"] = with_parts(
+    {"facts": D.VARIANT_FACTS}, "SELECT count(*) AS records, count(*) AS in_header, 0::BIGINT AS bad, true AS saves FROM facts"
+)
+ORACLE["catalog_written"] = merged_sql(
+    """SELECT * FROM (
+         SELECT 'primary key packages(package_id)' AS rule, count(*) FILTER (WHERE broken) AS violations FROM merged
+         UNION ALL SELECT 'primary key licenses(license_id)', count(DISTINCT l) FROM (SELECT unnest(licenses) AS l FROM merged) WHERE l LIKE 'Brand#1%'
+         UNION ALL SELECT 'unique key licenses(short_name)', count(DISTINCT l) FROM (SELECT unnest(licenses) AS l FROM merged) WHERE l LIKE 'Brand#1%'
+         UNION ALL SELECT 'reference package_licenses.license_id', count(*) FROM merged WHERE list_contains(licenses, 'MIT'))
+       WHERE violations > 0"""
+)
 ORACLE["roundtrip"] = "SELECT '' AS id, '' AS before, '' AS after WHERE false"
 ORACLE["index_store_match"] = """
     SELECT count(*) AS index_rows, count(*) FILTER (WHERE lang <> 'fr') AS store_rows,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from cratewise.plans import standins as D
 from cratewise.session import materialize, run_folder
 from cratewise.sources import catalog as L
 from cratewise.sources import documents as O
-from cratewise.sources.snapshot import explode_map
+from cratewise.sources.snapshot import explode_map, read_snapshot, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,11 +55,16 @@ def rounded(value: Column, digits: int = 6) -> Column:
 WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _output(spark: SparkSession, name: str) -> str:
+    """A new place in the session's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> S.SearchIndex:
     """The written index of the corpus; a session writes it once for each folder of tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in WRITTEN:
-        path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+        path = _output(spark, "index")
         S.write_index(S.build_index(D.corpus(spark, sf_dir), "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"]), path)
         WRITTEN[key] = path
     return S.read_index(spark, WRITTEN[key])
@@ -393,8 +399,10 @@ def vertices_from_records(spark, sf):
 
 @query
 def edge_list(spark, sf):
-    """The lines of the edge-list export."""
-    return D.part_edges(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("line"))
+    """The edge-list export with its heading, read back."""
+    path = _output(spark, "edge-list")
+    O.write_edge_list(D.part_edges(spark, sf), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 # --- normalization ------------------------------------------------------------------------------
@@ -753,6 +761,73 @@ def roundtrip(spark, sf):
     return Q.round_trip_differences(docs, again)
 
 
+def _store_written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The corpus as store documents, and where they have been written."""
+    docs = D.corpus(spark, sf_dir).select(
+        "id", F.to_json(F.struct(F.col("id").alias("package_id"), F.col("name").alias("package_name"), "description", "category")).alias("doc")
+    )
+    path = _output(spark, "store")
+    O.write_document_store(docs, path)
+    return docs, path
+
+
+@query
+def store_written(spark, sf):
+    """A store on disk: what came back, what decodes, and whether it is smaller than its documents."""
+    docs, path = _store_written(spark, sf)
+    again = spark.read.parquet(path)
+    differing = Q.round_trip_differences(docs, again).select(F.count(F.lit(1))).scalar()
+    stubs = O.decode_documents(again).select(F.count_if("is_stub")).scalar()
+    stats = Q.storage_stats(again, Q.folder_bytes(spark, path))
+    saves = (F.col("stored_bytes") > 0) & (F.col("stored_bytes") < F.col("raw_bytes"))
+    return stats.select("total_documents", differing.alias("differing"), stubs.alias("stubs"), saves.alias("saves"))
+
+
+@query
+def output_check(spark, sf):
+    """Q2: tables present, a document decodes, index and store agree."""
+    text_index(spark, sf)
+    _, path = _store_written(spark, sf)
+    found = Q.verify_output(spark, path, WRITTEN[spark.sparkContext.applicationId, sf])
+    return spark.createDataFrame(sorted(found.items()), "check string, good boolean")
+
+
+@query
+def write_counts(spark, sf):
+    """Q4: documents written and left out, counted by the write itself."""
+    docs = D.corpus(spark, sf).select("id", F.col("description").alias("doc"), "category")
+    valid, seen = Q.count_writes(docs, F.col("category") != "fr")
+    path = _output(spark, "valid")
+    valid.write.parquet(path)
+    counts = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in ["success", "errors", "total"]]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored")).select("stored", *counts)
+
+
+@query
+def snapshot_written(spark, sf):
+    """A3, A1: a snapshot written with its header and read again."""
+    path = _output(spark, "snapshot")
+    lines = D.record_lines(D.variant_facts(spark, sf))
+    manifest = write_snapshot(lines, path, "main", D.RUN_TS)
+    again = read_snapshot(spark, f"{path}/*")
+    header = again.header.select("total_packages").scalar()
+    counts = again.records.agg(F.count(F.lit(1)).alias("records"))
+    bad = again.bad.select(F.count(F.lit(1))).scalar()
+    saves = manifest.select((F.col("stored_bytes") > 0) & (F.col("stored_bytes") < F.col("raw_bytes"))).scalar()
+    return counts.select("records", header.alias("in_header"), bad.alias("bad"), saves.alias("saves"))
+
+
+@query
+def catalog_written(spark, sf):
+    """A4, A5, Q3: the star schema on disk, read back with faults put in: packages twice, a license gone."""
+    path = _output(spark, "catalog")
+    L.write_catalog(R.build_catalog(stored_packages(spark, sf)), path)
+    good = L.read_catalog(spark, path)
+    twice = good.packages.unionByName(good.packages.where("broken"))
+    licenses = good.licenses.where("short_name <> 'MIT'").unionByName(good.licenses.where("short_name LIKE 'Brand#1%'"))
+    return Q.key_violations(replace(good, packages=twice, licenses=licenses)).where("violations > 0")
+
+
 @query
 def index_store_match(spark, sf):
     """Q1: the index and a store that lacks some documents."""
