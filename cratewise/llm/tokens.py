@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cratewise.llm.words import text_chunks
+from cratewise.llm.words import hash_spans, mix, spans, text_chunks
 from cratewise.session import run_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 700_000
+#: Words whose ids a Python worker remembers (about 25 bytes each), and runs of texts with odd white space (200 bytes).
+REMEMBERED, REMEMBERED_RUNS = 4_000_000, 200_000
+#: Words that are encoded as one text.
+JOINED = 200
 
 BLOCKS = "shard int, block int, first bigint, n bigint, bits int, doc_id array<bigint>, start array<bigint>, payload binary"
 
@@ -46,8 +48,10 @@ BLOCKS = "shard int, block int, first bigint, n bigint, bits int, doc_id array<b
 # or white space. The white space is Unicode's property, fixed by the tokenizer's pattern.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-# Anything but single spaces and line ends between words.
-_IRREGULAR = re.compile(f"[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|[ \\n][ \\n]|[ \\n]\\Z|\\A[ \\n]")
+# Anything but single spaces and line ends between words, in UTF-8.
+_IRREGULAR = re.compile(
+    rb"[ \n][ \n]|[ \n]\Z|\A[ \n]|[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
+)
 # Characters on which libraries differ whether they are white space.
 _DOUBTFUL = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 
@@ -58,6 +62,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as consecutive fields of ``bits`` bits; eight ids fill ``bits`` whole bytes."""
+    if bits in (8, 16, 32):  # whole bytes: the same layout, without shifts
+        return ids.astype(f"<u{bits // 8}").tobytes()
     groups = -(-len(ids) // 8)
     padded = np.zeros(groups * 8, np.uint64)
     padded[: len(ids)] = ids
@@ -73,6 +79,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, begin: int, end: int) -> np.ndarray:
     """Ids ``begin`` to ``end`` of a payload; only their bytes are looked at."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{bits // 8}")[begin:end].astype(np.uint32)
     group = begin // 8
     n = end - group * 8
     groups = -(-n // 8)
@@ -92,7 +100,11 @@ def unpack(payload: bytes, bits: int, begin: int, end: int) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer that encodes each distinct word once, as its splitting never looks across them."""
+    """A tokenizer that encodes each distinct word once, as its splitting never looks across them.
+
+    Words are known by a 64-bit hash of their bytes and of what stands before them: nothing, a space or
+    a line end. Texts with any other white space are split into runs, or given to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,56 +120,90 @@ class Encoder:
         self.opens = np.zeros(self.size, bool)  # ids whose bytes begin with a space
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.runs: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # runs with a space before, by what follows it
+        self.runs: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Sorted hashes of the known words, where their ids are, and these ids one after another."""
+        self.known, self.at, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used = np.empty(0, self.dtype), 0
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of every text, without the end id."""
-        split: list[tuple[list[str], list[str]] | None] = []
-        for text in texts:
-            if not self.by_word or _DOUBTFUL.search(text):
-                split.append(None)
-            elif _IRREGULAR.search(text) or not text:
-                split.append((_RUNS.findall(text), []))
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                split.append(([first], rest))
-        runs, spaced = self._known(split, 0, self.runs), self._known(split, 1, self.spaced)
-        out = []
-        for text, own in zip(texts, split, strict=True):
-            if own is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype))
-            else:
-                out.append(np.frombuffer(b"".join([*[runs[r] for r in own[0]], *[spaced[r] for r in own[1]]]), self.dtype))
+        plain = [i for i, t in enumerate(texts) if self.by_word and t and not _IRREGULAR.search(t)]
+        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        for i in sorted(set(range(len(texts))).difference(plain)):
+            out[i] = self._odd(texts[i].decode())
         return out
 
-    def _known(self, split: list, side: int, known: dict[str, bytes]) -> dict[str, bytes]:
-        """The ids of all runs of one side, remembered as long as there is room."""
-        missing = sorted({r for own in split if own for r in own[side]}.difference(known))
-        fresh = dict(zip(missing, self._runs([r if not side or r[0] == "\n" else " " + r for r in missing]), strict=True))
-        if len(self.runs) + len(self.spaced) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            return known
-        # the words of these texts alone: neither the memory nor the lookup grows
-        return {r: known[r] if r in known else fresh[r] for own in split if own for r in own[side]}
-
-    def _runs(self, runs: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of texts whose words have one space or line end between them."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, ends = spans(data)
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+        before = np.where(data[starts - 1] == 32, 1, 2)  # a space or a line end
+        before[first[:-1]] = 0
+        hashes = mix(hash_spans(data, starts, ends) + before.astype(np.uint64))
+        words, where, place = np.unique(hashes, return_index=True, return_inverse=True)
+        found = np.searchsorted(self.known, words)
+        missing = np.flatnonzero(self.known[np.minimum(found, len(self.known) - 1)] != words) if len(self.known) else np.arange(len(words))
+        if len(missing):
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.forget()
+                missing = np.arange(len(words))
+            raw, lead = data.tobytes(), ("", " ", "\n")
+            some = where[missing]
+            runs = [lead[p] + raw[x:y].decode() for p, x, y in zip(before[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True)]
+            self._learn(words[missing], self._runs(runs))
+            found = np.searchsorted(self.known, words)
+        at, length = self.at[found][place], self.length[found][place]
+        total = np.concatenate(([0], np.cumsum(length)))
+        ids = self.ids[np.repeat(at - total[:-1], length) + np.arange(total[-1])]
+        return np.split(ids, total[first[1:-1]])
+
+    def _learn(self, words: np.ndarray, ids: list[np.ndarray]) -> None:
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        need = self.used + int(length.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.empty(max(need, 2 * self.used) - self.used, self.dtype)))
+        self.ids[self.used : need] = np.concatenate(ids)
+        at = self.used + np.cumsum(length) - length
+        self.used = need
+        place = np.searchsorted(self.known, words)
+        self.known, self.at, self.length = (np.insert(x, place, y) for x, y in ((self.known, words), (self.at, at), (self.length, length)))
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Of a text with other white space, by runs; whole where it is not certain what white space is."""
+        if not self.by_word or _DOUBTFUL.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        runs = _RUNS.findall(text)
+        missing = list(set(runs).difference(self.runs))
+        fresh = dict(zip(missing, self._runs(missing), strict=True))
+        if len(self.runs) + len(fresh) <= REMEMBERED_RUNS:
+            self.runs.update(fresh)
+        return np.concatenate([np.empty(0, self.dtype), *[self.runs[r] if r in self.runs else fresh[r] for r in runs]])
+
+    def _runs(self, runs: list[str]) -> list[np.ndarray]:
         """Ids of each run. Runs with a space in front are encoded as one text: each begins with the next id that opens with a space."""
-        out: list[bytes] = [b""] * len(runs)
+        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(runs)
         joint = [i for i, r in enumerate(runs) if r[0] == " " and len(r) > 1 and r.count(" ") == 1]
         alone = sorted(set(range(len(runs))).difference(joint))
-        for at in range(0, len(joint), 2000):
-            some = joint[at : at + 2000]
-            ids = np.array(self.library.encode("".join(runs[i] for i in some), add_special_tokens=False).ids, self.dtype)
+        groups = [joint[at : at + JOINED] for at in range(0, len(joint), JOINED)]
+        texts = ["".join([runs[i] for i in some]) for some in groups]
+        for some, encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, self.dtype)
             cut = np.flatnonzero(self.opens[ids])
             if len(cut) != len(some):
                 alone += some
                 continue
-            blob, size = ids.tobytes(), self.dtype.itemsize
-            for i, x, y in zip(some, cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
-                out[i] = blob[x * size : y * size]
-        for i, e in zip(alone, self.library.encode_batch([runs[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype).tobytes()
+            for i, own in zip(some, np.split(ids, cut[1:]), strict=True):
+                out[i] = own
+        for i, e in zip(alone, self.library.encode_batch_fast([runs[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype)
         return out
 
 
@@ -188,7 +234,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         for a, b, texts in text_chunks(batch, limit=2 << 20):
             names = batch.column(0).slice(a, b - a).to_pylist()
-            for doc_id, own in zip(names, tool.encode([t.decode() for t in texts]), strict=True):
+            for doc_id, own in zip(names, tool.encode(texts), strict=True):
                 ids.append(np.append(own.astype(np.uint32), np.uint32(END_ID)))
                 docs.append(doc_id)
                 size += len(own) + 1

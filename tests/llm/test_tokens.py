@@ -27,18 +27,20 @@ def test_words_encode_as_in_the_text():
     rng = random.Random(1)
     library = Tokenizer.from_file(PATH)
     library.encode_special_tokens = True
-    pieces = ["the", "Éan", "don't", "'s", " ", "  ", "\n", "\n\n", " \n", "\t", " ", "　", "日本", "x1", "12", "!!", "é́", "🙂", "\x1c", "\x85", "<|endoftext|>", "\r\n", "Ġ", " "]
+    pieces = ["the", "Éan", "don't", "'s", " ", "  ", "\n", "\n\n", " \n", "\t", " ", "　", "日本", "x1", "12", "!!", "é́", "🙂", "\x1c", "\x85", "<|endoftext|>", "\r\n", "Ġ", ",", ".", "²", "x.", "é,", "a;", "?", " "]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)]
     texts += ["a b c\nd e", "a b\n", "\na", " a", "a  b", "", "plain words only here", "x" * 50_000]
     tool = T.Encoder(PATH)
-    got = tool.encode(texts) + tool.encode(texts[:100])
+    raw = [t.encode() for t in texts]
+    got = tool.encode(raw) + tool.encode(raw[:100])
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [g.tolist() for g in got] == want + want[:100]
 
 
 def test_full_memory_changes_nothing(monkeypatch):
-    monkeypatch.setattr(T, "REMEMBERED", 5)
-    texts = [f"word{i} other{i % 7} more\nlines{i}" for i in range(200)]
+    monkeypatch.setattr(T, "REMEMBERED", 40)
+    monkeypatch.setattr(T, "REMEMBERED_RUNS", 5)
+    texts = [f"word{i} other{i % 7} more{chr(10)}lines{i}{"  odd" * (i % 3 == 0)}".encode() for i in range(200)]
     small, large = T.Encoder(PATH), T.Encoder(PATH)
     for at in range(0, 200, 20):
         assert [x.tolist() for x in small.encode(texts[at : at + 20])] == [x.tolist() for x in large.encode(texts[at : at + 20])]
