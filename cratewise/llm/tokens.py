@@ -48,10 +48,12 @@ BLOCKS = "shard int, block int, first bigint, n bigint, bits int, doc_id array<b
 # or white space. The white space is Unicode's property, fixed by the tokenizer's pattern.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-# Anything but single spaces and line ends between words, in UTF-8.
-_IRREGULAR = re.compile(
-    rb"[ \n][ \n]|[ \n]\Z|\A[ \n]|[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
-)
+# Bytes that are or may begin white space other than a space or a line end; what follows the latter.
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
 # Characters on which libraries differ whether they are white space.
 _DOUBTFUL = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 
@@ -130,15 +132,34 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of every text, without the end id."""
-        plain = [i for i, t in enumerate(texts) if self.by_word and t and not _IRREGULAR.search(t)]
+        odd = self._irregular(texts) if self.by_word else np.ones(len(texts), bool)
         out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        plain = np.flatnonzero(~odd).tolist()
         if plain:
             for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
                 out[i] = ids
-        for i in sorted(set(range(len(texts))).difference(plain)):
+        for i in np.flatnonzero(odd).tolist():
             out[i] = self._odd(texts[i].decode())
         return out
 
+    @staticmethod
+    def _irregular(texts: list[bytes]) -> np.ndarray:
+        """Texts that are empty or have anything but single spaces and line ends between words."""
+        raw = b"\n" + b"\n".join(texts) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        white = (data == 32) | (data == 10)
+        pairs = np.flatnonzero(white[1:] & white[:-1])
+        wide = [x for x in np.flatnonzero(_LEAD[data]).tolist() if _WIDE.match(raw, x)]
+        at = np.concatenate((pairs, pairs + 1, np.flatnonzero(_ODD[data]), np.array(wide, np.int64)))
+        # a text lies between two line ends; a pair that has one of them is at its edge
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        begin = 1 + np.cumsum(sizes) - sizes
+        out = sizes == 1
+        own = np.searchsorted(begin, at, side="right") - 1
+        inside = (own >= 0) & (at < begin[own] + sizes[own] - 1)
+        out[own[inside]] = True
+        return out
+
     def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
         """Of texts whose words have one space or line end between them."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -158,21 +179,23 @@ class Encoder:
             raw, lead = data.tobytes(), ("", " ", "\n")
             some = where[missing]
             runs = [lead[p] + raw[x:y].decode() for p, x, y in zip(before[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True)]
-            self._learn(words[missing], self._runs(runs))
+            order, ids, length = self._runs(runs)
+            self._learn(words[missing][order], ids, length)
             found = np.searchsorted(self.known, words)
         at, length = self.at[found][place], self.length[found][place]
         total = np.concatenate(([0], np.cumsum(length)))
         ids = self.ids[np.repeat(at - total[:-1], length) + np.arange(total[-1])]
         return np.split(ids, total[first[1:-1]])
 
-    def _learn(self, words: np.ndarray, ids: list[np.ndarray]) -> None:
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(length.sum())
+    def _learn(self, words: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        need = self.used + len(ids)
         if need > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.empty(max(need, 2 * self.used) - self.used, self.dtype)))
-        self.ids[self.used : need] = np.concatenate(ids)
+        self.ids[self.used : need] = ids
         at = self.used + np.cumsum(length) - length
         self.used = need
+        order = np.argsort(words)
+        words, at, length = words[order], at[order], length[order]
         place = np.searchsorted(self.known, words)
         self.known, self.at, self.length = (np.insert(x, place, y) for x, y in ((self.known, words), (self.at, at), (self.length, length)))
 
@@ -182,29 +205,34 @@ class Encoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
         runs = _RUNS.findall(text)
         missing = list(set(runs).difference(self.runs))
-        fresh = dict(zip(missing, self._runs(missing), strict=True))
+        order, ids, length = self._runs(missing)
+        fresh = dict(zip([missing[i] for i in order], np.split(ids, np.cumsum(length)[:-1]), strict=True)) if missing else {}
         if len(self.runs) + len(fresh) <= REMEMBERED_RUNS:
             self.runs.update(fresh)
         return np.concatenate([np.empty(0, self.dtype), *[self.runs[r] if r in self.runs else fresh[r] for r in runs]])
 
-    def _runs(self, runs: list[str]) -> list[np.ndarray]:
-        """Ids of each run. Runs with a space in front are encoded as one text: each begins with the next id that opens with a space."""
-        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(runs)
+    def _runs(self, runs: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the runs, and in it their ids one after another and how many each has.
+
+        Runs with a space in front are encoded as one text: each begins with the next id that opens with a space.
+        """
         joint = [i for i, r in enumerate(runs) if r[0] == " " and len(r) > 1 and r.count(" ") == 1]
         alone = sorted(set(range(len(runs))).difference(joint))
         groups = [joint[at : at + JOINED] for at in range(0, len(joint), JOINED)]
         texts = ["".join([runs[i] for i in some]) for some in groups]
+        order, parts, lengths = [], [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
         for some, encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, self.dtype)
             cut = np.flatnonzero(self.opens[ids])
             if len(cut) != len(some):
                 alone += some
                 continue
-            for i, own in zip(some, np.split(ids, cut[1:]), strict=True):
-                out[i] = own
-        for i, e in zip(alone, self.library.encode_batch_fast([runs[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype)
-        return out
+            order += some
+            parts.append(ids)
+            lengths.append(np.diff(np.append(cut, len(ids))))
+        single = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([runs[i] for i in alone], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, single), np.int64, len(single)))
+        return order + alone, np.concatenate(parts + single), np.concatenate(lengths)
 
 
 _ENCODERS: dict[str, Encoder] = {}
