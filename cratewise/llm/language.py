@@ -61,8 +61,9 @@ def presences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not keep.any():
             continue
         lettered[r] = True
-        keep |= np.concatenate((keep[1:], [True]))  # of a run of spaces the last one
-        x = np.concatenate(([_SPACE], points[keep], [_SPACE])).astype(np.uint64)
+        keep |= np.concatenate((keep[1:], [False]))  # of a run of spaces before a letter the last one
+        inner = points[keep]
+        x = np.concatenate(([_SPACE], inner[int(inner[0] == _SPACE) :], [_SPACE])).astype(np.uint64)
         h = np.zeros(len(x), np.uint64)
         for n in range(1, max(ORDERS) + 1):
             if len(x) < n:
