@@ -32,3 +32,21 @@ SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.h = g.h
 """
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op4_jaccard_join"] = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s
+  FROM doc, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT x, y FROM pair JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) - 1 AS n_links FROM link GROUP BY x)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN low ON low.x = doc.doc_id LEFT JOIN degree ON degree.x = doc.doc_id
+"""
