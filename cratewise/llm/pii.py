@@ -35,7 +35,7 @@ SIGNS = {"email": "@", "ip": "[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0
 KINDS = [*PATTERNS, "term", "general"]
 TERM = r"\p{L}{3,}+"
 CONTEXT = 8
-SUPPORT = 3
+SUPPORT = 2
 REMOVE, GENERALISE = 0.95, 0.8
 FILTER_BITS = 1 << 20
 REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "general": "[WORD]"}
