@@ -33,10 +33,7 @@ def build_session(app_name: str = "cratewise", master: str | None = None, **conf
 def working_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one in the shared warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working").rstrip("/")
 
 
 _RUN_FOLDERS: set[str] = set()
