@@ -1,12 +1,12 @@
 import pytest
 
+from cratewise.session import working_folder
+
 
 @pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """The folder for cut lineage, where the session has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return spark.conf.get("spark.checkpoint.dir")
+def shared(spark):
+    """The folder for cut lineage."""
+    return working_folder(spark)
 
 
 @pytest.fixture()
