@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cratewise.functions import category as C
 from cratewise.functions import present as P
 from cratewise.functions import text as T
+from cratewise.functions import variant as V
 
 
 def column(spark, values, expression):
@@ -117,3 +118,14 @@ def test_request_parameters(spark):
 def test_result_json_leaves_out_null_optionals(spark):
     row = spark.sql("SELECT 'p' AS package_id, 1.0D AS relevance_score, CAST(NULL AS STRING) AS position, array('a') AS platforms")
     assert row.select(P.result_json(row.columns)).first()[0] == '{"packageId":"p","relevanceScore":1.0,"platforms":["a"]}'
+
+
+def test_lists_are_whole_unless_a_cap_is_asked_for(spark):
+    people = '{"p": [' + ",".join(f'"x{i}"' for i in range(30)) + "]}"
+    listed = spark.createDataFrame([(people,)], "j string").select(V.field(F.parse_json("j"), "p").alias("p")).select("p", V.kind(F.col("p")).alias("k"))
+    value, k = F.col("p"), F.col("k")
+    row = listed.select(
+        F.size(V.platforms(value, k)).alias("a"), F.size(V.platforms(value, k, 20)).alias("b"),
+        F.size(V.maintainers(value, k)).alias("c"), F.size(V.maintainers(value, k, 10)).alias("d"),
+    ).first()
+    assert tuple(row) == (30, 20, 30, 10)
