@@ -37,7 +37,8 @@ TERM = r"\p{L}{3,}+"
 CONTEXT = 8
 SUPPORT = 2
 REMOVE, GENERALISE = 0.95, 0.8
-FILTER_BITS = 1 << 20
+#: Bits of the filters for terms and for copied texts; fuller filters let more rows through, none are lost.
+FILTER_BITS, COPY_BITS = 1 << 20, 1 << 22
 REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "general": "[WORD]"}
 
 
@@ -151,7 +152,11 @@ def _disclosing(facts: DataFrame, near: DataFrame, texts: DataFrame, bits: int)
     asked = bitmap(pairs.select(F.xxhash64("term").alias("hash")), bits)
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
     used = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.filter(words, lambda w: is_set(asked, F.xxhash64(w), bits))).alias("term"))
-    with_term = used.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("has_term"))
+    # texts that occur once are counted before the shuffle; only those that may be copies travel by name
+    copies = facts.groupBy("text_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("text_id").alias("hash"))
+    copied = F.when(is_set(bitmap(copies, COPY_BITS), F.col("text_id"), COPY_BITS), F.col("text_id")).alias("copied")
+    counted = used.groupBy("term", copied).agg(F.count(F.lit(1)).alias("c"))
+    with_term = counted.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("c")).otherwise(1)).alias("has_term"))
     with_entity = near.select("entity", "text_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("has_entity"))
     n = float(facts.select("text_id").distinct().count())
     content = F.log(n / F.col("has_entity"))
