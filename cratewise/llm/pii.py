@@ -1,20 +1,19 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
 Identifiers (addresses, numbers) are found by pattern; their values are the protected entities. A term
-near an entity reveals it as far as the corpus says so: its pointwise mutual information with the
-entity, as a share of the entity's own information content, is the disclosure. At ``REMOVE`` and above
-the term is removed, at ``GENERALISE`` and above it is generalised. Documents are counted by distinct
-text, so copies of a text are no evidence; terms need ``SUPPORT`` texts with the entity.
+in a text with an entity reveals it as far as the corpus says so: its pointwise mutual information with
+the entity, as a share of the entity's own information content, is the disclosure. At ``REMOVE`` and above
+the term is removed, at ``GENERALISE`` and above it is generalised. Terms are words of any length, counted
+over whole texts and marked wherever they stand in a text that holds the entity. Documents are counted by
+distinct text, so copies of a text are no evidence; terms need ``SUPPORT`` texts with the entity.
 
 Defined results: null and empty texts have no spans; whole texts are searched, however long; repeated
-rows are rows of their own; terms are only marked beside an entity, never in other documents, and
-never inside an identifier; an empty table gives an empty result; other columns are ignored.
+rows are rows of their own; terms are only marked in texts with their entity, never in other documents,
+and never inside an identifier; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +32,7 @@ PATTERNS = {
 #: A text without this has no match.
 SIGNS = {"email": "@", "ip": "[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
 KINDS = [*PATTERNS, "term", "general"]
-TERM = r"\p{L}{3,}+"
-CONTEXT = 8
+TERM = r"\p{L}++"
 SUPPORT = 2
 REMOVE, GENERALISE = 0.95, 0.8
 #: Bits of the filters for terms and for copied texts; fuller filters let more rows through, none are lost.
@@ -65,56 +63,23 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _terms(piece: Column, last: bool) -> Column:
-    """The last or first ``CONTEXT`` terms of a piece of text, and how far from that end they begin and stop."""
-
-    def ends(words: Column, gaps: Column) -> Column:
-        n = F.least(F.size(words), F.lit(CONTEXT))
-        if last:
-            words, gaps = F.slice(words, F.size(words) - n + 1, n), F.slice(gaps, F.size(gaps) - n + 1, n)
-            return F.arrays_zip(F.reverse(words), F.reverse(gaps))
-        return F.arrays_zip(F.slice(words, F.lit(1), n), F.slice(gaps, F.lit(1), n))
-
-    # walk away from the match: the gap, then the term
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("terms"))
-
-    def step(done: Column, x: Column) -> Column:
-        near = done["at"] + F.length(x["1"])
-        far = near + F.length(x["0"])
-        s, e = (-far, -near) if last else (near, far)
-        return F.struct(far.alias("at"), F.concat(done["terms"], F.array(F.struct(F.lower(x["0"]).alias("term"), s.alias("s"), e.alias("e")))).alias("terms"))
-
-    split = F.struct(F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)).alias("w"), F.split(piece, TERM, -1).alias("g"))
-    return _let(split, lambda p: F.aggregate(ends(p["w"], p["g"]), nothing, step)["terms"])
-
-
-_TERMS = "array<struct<term:string,s:int,e:int>>"
-_FOUND = f"array<struct<kind:int,nth:int,gap:int,len:int,ok:boolean,entity:bigint,left:{_TERMS},right:{_TERMS}>>"
+_FOUND = "array<struct<kind:int,nth:int,gap:int,len:int,ok:boolean,entity:bigint>>"
+_MARKS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def _found(kind: str) -> Column:
-    """All matches of a kind with their distance from the match before, and the terms around the valid ones."""
+    """All matches of a kind with their distance from the match before."""
     text, pattern = F.col("text"), PATTERNS[kind]
-    gaps = F.split(text, pattern, -1)
-    # a match with the text before and after it; each list is computed once
-    around = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, F.slice(gaps, F.lit(2), F.size(gaps)))
+    around = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
 
     def one(x: Column, i: Column) -> Column:
-        ok = _valid(kind, x["0"])
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
             i.alias("nth"),
             F.length(x["1"]).alias("gap"),
             F.length(x["0"]).alias("len"),
-            ok.alias("ok"),
+            _valid(kind, x["0"]).alias("ok"),
             F.xxhash64(F.lit(kind), x["0"]).alias("entity"),
-            F.when(ok, _terms(x["1"], True)).alias("left"),
-            F.when(ok, _terms(x["2"], False)).alias("right"),
         )
 
     found = F.transform(F.filter(around, lambda x: x["0"].isNotNull()), one)
@@ -133,35 +98,70 @@ def find(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     end = F.sum(F.col("gap") + F.col("len")).over(order)
     base = materialize(matches.withColumn("end", end).where("ok").withColumn("start", F.col("end") - F.col("len")).drop("nth", "gap", "len", "ok"), "base").df
 
-    place = lambda side, at: F.transform(side, lambda t: F.struct(t["term"].alias("term"), (t["s"] + F.col(at)).alias("s"), (t["e"] + F.col(at)).alias("e")))
-    near = base.select("rid", "text_id", "entity", F.explode(F.concat(place("left", "start"), place("right", "end"))).alias("t")).select("rid", "text_id", "entity", "t.*")
-    risky = _disclosing(facts, near, texts, bits)
-    marked = near.join(risky, ["entity", "term"]).select("rid", "s", "e", "kind").groupBy("rid", "s", "e").agg(F.min("kind").alias("kind"))
-    spans = base.select("rid", F.col("start").alias("start"), "kind", "end").unionByName(marked.select("rid", F.col("s").alias("start"), "kind", F.col("e").alias("end")))
-    per_doc = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    firm = lambda x: x["kind"] < len(PATTERNS)
-    clear = F.filter("spans", lambda x: firm(x) | ~F.exists(F.filter("spans", firm), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    result = facts.select("rid", "doc_id", "uid").join(per_doc, "rid", "left")
-    return result.select("doc_id", "uid", F.coalesce(clear, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
+    own = base.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("firm"))
+    marked = _marked(facts, base, texts, bits)
+    result = facts.select("rid", "doc_id", "uid", "text_id").join(own, "rid", "left")
+    firm, terms = F.coalesce("firm", F.array().cast(_MARKS)), F.array().cast(_MARKS)
+    if marked is not None:
+        result = result.join(marked, "text_id", "left")
+        terms = F.coalesce("marks", terms)
+    clear = F.filter(terms, lambda x: ~F.exists(firm, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return result.select("doc_id", "uid", F.sort_array(F.concat(firm, clear)).alias("spans"))
+
+
+def _marked(facts: DataFrame, base: DataFrame, texts: DataFrame, bits: int) -> DataFrame | None:
+    """``(text_id, marks)``: every place of a disclosing term, by text; none if no entity has the support."""
+    held = base.select("entity", "text_id").distinct()
+    recurring = held.groupBy("entity").agg(F.count(F.lit(1)).alias("has_entity")).where(F.col("has_entity") >= SUPPORT)
+    held = materialize(held.join(recurring, "entity"), "held")
+    if not held.rows:
+        return None
+    holders = texts.withColumn("text_id", F.xxhash64("text")).select("text_id", "text")
+    asked = lambda some: holders.where(is_set(bitmap(some.select(F.col("text_id").alias("hash")), COPY_BITS), F.col("text_id"), COPY_BITS))
+    used = asked(held.df).select("text_id", F.explode(_words(F.col("text"))).alias("term")).distinct()
+    risky = _disclosing(facts, held.df, used, texts, bits)
+    kinds = materialize(held.df.join(risky, "entity").groupBy("text_id", "term").agg(F.min("kind").alias("kind")), "risky")
+    if not kinds.rows:
+        return None
+    lists = kinds.df.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("risky"))
+    return asked(kinds.df).dropDuplicates(["text_id"]).join(lists, "text_id").select("text_id", _places(F.col("text"), F.col("risky")).alias("marks"))
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _places(text: Column, risky: Column) -> Column:
+    """Where the terms of the map ``risky`` stand in a text, with their kinds."""
+    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_MARKS).alias("marks"))
+
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + F.length(x["1"])
+        end = start + F.length(x["0"])
+        kind = F.try_element_at(risky, F.lower(x["0"]))
+        mark = F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(kind.isNull(), done["marks"]).otherwise(F.concat(done["marks"], mark)).alias("marks"))
+
+    return F.aggregate(F.filter(pieces, lambda x: x["0"].isNotNull()), nothing, step)["marks"].cast(_MARKS)
 
 
-def _disclosing(facts: DataFrame, near: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
+def _disclosing(facts: DataFrame, held: DataFrame, used: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     """``(entity, term, kind)``: the terms that reveal an entity, and what becomes of them."""
-    together = near.select("entity", "term", "text_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    together = held.join(used, "text_id").groupBy("entity", "has_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     pairs = materialize(together, "pairs").df
     asked = bitmap(pairs.select(F.xxhash64("term").alias("hash")), bits)
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    used = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.filter(words, lambda w: is_set(asked, F.xxhash64(w), bits))).alias("term"))
+    everywhere = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.filter(_words(F.col("text")), lambda w: is_set(asked, F.xxhash64(w), bits))).alias("term"))
     # texts that occur once are counted before the shuffle; only those that may be copies travel by name
     copies = facts.groupBy("text_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("text_id").alias("hash"))
     copied = F.when(is_set(bitmap(copies, COPY_BITS), F.col("text_id"), COPY_BITS), F.col("text_id")).alias("copied")
-    counted = used.groupBy("term", copied).agg(F.count(F.lit(1)).alias("c"))
+    counted = everywhere.groupBy("term", copied).agg(F.count(F.lit(1)).alias("c"))
     with_term = counted.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("c")).otherwise(1)).alias("has_term"))
-    with_entity = near.select("entity", "text_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("has_entity"))
     n = float(facts.select("text_id").distinct().count())
     content = F.log(n / F.col("has_entity"))
     disclosure = F.log(F.col("both") * n / (F.col("has_entity") * F.col("has_term"))) / content
-    judged = pairs.join(with_term, "term").join(with_entity, "entity").where(content > 0).withColumn("share", disclosure)
+    judged = pairs.join(with_term, "term").where(content > 0).withColumn("share", disclosure)
     kind = F.when(F.col("share") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general"))
     return judged.where(F.col("share") >= GENERALISE).select("entity", "term", kind.alias("kind"))
 

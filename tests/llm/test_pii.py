@@ -70,6 +70,17 @@ def test_terms_that_reveal_an_entity(documents):
     assert "Zorblatt" not in clean[1001] and "[REMOVED] plain [EMAIL]" in clean[1001] and clean[5] == dict(rows)[5] and clean[2000] == "copied quixnote [EMAIL] here"
 
 
+def test_terms_of_the_whole_text(documents):
+    """Far from the entity, of any length, at every place."""
+    filler = " ".join(["plain"] * 30)
+    rows = [(i, f"text w{chr(97 + i % 26)}{chr(97 + i // 26)} about plain weather") for i in range(300)]
+    rows += [(1000 + i, f"Dear Zorblatt, {filler} ann@home.org {filler} yours {'pq' * (i + 1)} 王, Qy and ZORBLATT") for i in range(3)]
+    got = {r["doc_id"]: r["spans"] for r in digest(find(documents(rows))).collect()}
+    text = dict(rows)[1001]
+    marked = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in got[1001].split(",")) if kind == "term"]
+    assert [t for t in marked if t.lower() in ("zorblatt", "qy", "王")] == ["Zorblatt", "王", "Qy", "ZORBLATT"] and "plain" not in marked
+
+
 def test_empty_table(documents):
     assert digest(find(documents([]))).collect() == []
     assert pii.KINDS[:4] == list(PLAIN)
