@@ -81,6 +81,15 @@ def test_terms_of_the_whole_text(documents):
     assert [t for t in marked if t.lower() in ("zorblatt", "qy", "王")] == ["Zorblatt", "王", "Qy", "ZORBLATT"] and "plain" not in marked
 
 
+def test_other_matches_do_not_end_the_context(documents):
+    """A number between a name and a card, and an address between a name and another address."""
+    rows = [(i, f"text w{chr(97 + i % 26)}{chr(97 + i // 26)} about plain weather") for i in range(300)]
+    rows += [(1000 + i, f"Zorblatt, 42, card 4111 1111 1111 1111 {'pq' * (i + 1)}") for i in range(3)]
+    rows += [(2000 + i, f"Quixnote a{i}@x.com, bob@home.org {'vw' * (i + 1)}") for i in range(3)]
+    clean = {r["doc_id"]: r["text"] for r in sanitised(documents(rows)).collect()}
+    assert all("Zorblatt" not in clean[1000 + i] and "Quixnote" not in clean[2000 + i] for i in range(3))
+
+
 def test_empty_table(documents):
     assert digest(find(documents([]))).collect() == []
     assert pii.KINDS[:4] == list(PLAIN)
