@@ -105,15 +105,22 @@ class Encoder:
     """A tokenizer that encodes each distinct word once, as its splitting never looks across them.
 
     Words are known by a 64-bit hash of their bytes and of what stands before them: nothing, a space or
-    a line end. Texts with any other white space are split into runs, or given to the library whole.
+    a line end. Texts with any other white space are split into runs, or given to the library whole. With
+    ``added``, the string of an added token in a text is that token, as it is for the library; such texts are
+    given to it whole. Without, it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # a run never holds one that counts
+        self.whole, self.added = self.library, None
+        tokens = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
+        if added and tokens:
+            self.whole = Tokenizer.from_file(path)
+            self.added = re.compile(b"|".join(map(re.escape, tokens)))
         self.size = self.library.get_vocab_size()
         with open(path) as file:
             kind = json.load(file)["pre_tokenizer"] or {}
@@ -133,15 +140,22 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of every text, without the end id."""
         odd = self._irregular(texts) if self.by_word else np.ones(len(texts), bool)
+        named = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        odd[named] = False
         out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
-        plain = np.flatnonzero(~odd).tolist()
+        plain = np.setdiff1d(np.flatnonzero(~odd), named).astype(int).tolist()
         if plain:
             for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
                 out[i] = ids
         for i in np.flatnonzero(odd).tolist():
             out[i] = self._odd(texts[i].decode())
+        for i in named:
+            out[i] = self._whole(texts[i].decode())
         return out
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
+
     @staticmethod
     def _irregular(texts: list[bytes]) -> np.ndarray:
         """Texts that are empty or have anything but single spaces and line ends between words."""
@@ -202,7 +216,7 @@ class Encoder:
     def _odd(self, text: str) -> np.ndarray:
         """Of a text with other white space, by runs; whole where it is not certain what white space is."""
         if not self.by_word or _DOUBTFUL.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+            return self._whole(text)
         runs = _RUNS.findall(text)
         missing = list(set(runs).difference(self.runs))
         order, ids, length = self._runs(missing)
@@ -241,7 +255,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker, so its words are remembered from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 

@@ -67,5 +67,16 @@ def test_files(spark, documents, tmp_path, monkeypatch):
         assert T.read_range(spark, str(tmp_path / "t"), a, b).tolist() == stream[a:b]
 
 
+def test_added_tokens_are_those_of_the_library(documents):
+    """Token files have the ids of the library as it is, also for texts that hold an added token's string."""
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a\tb<|endoftext|>  c", "plain words", "<|ENDOFTEXT|> x", "<|endoftext| >"]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 1306]
+    assert [x.tolist() for x in T.encoder(PATH).encode([t.encode() for t in texts])] == want
+    got = T.tokenize(documents(list(enumerate(texts))), PATH).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(x + [2], "<u4").tobytes()) for x in want]
+
+
 def test_empty_table(documents):
     assert T.tokenize(documents([]), PATH).collect() == []
