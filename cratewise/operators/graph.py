@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions import text as T
 from cratewise.functions import variant as V
-from cratewise.operators.sequence import PAGE_SIZE, list_pages, single_lists
+from cratewise.operators.sequence import PAGE_SIZE, list_pages, single_lists, whole_lists
 from cratewise.session import Stored, materialize, read_stored
 from cratewise.sources.snapshot import record_ordinal
 
@@ -157,12 +157,12 @@ def closure(
 
 
 def dependency_facts(
-    edges: DataFrame, vertices: DataFrame, reach: DataFrame | None = None, page_size: int = PAGE_SIZE
+    edges: DataFrame, vertices: DataFrame, reach: DataFrame | None = None, page_size: int | None = None
 ) -> DataFrame:
     """Per vertex: direct and transitive dependencies and dependents, lists and counts.
 
-    The counts are exact for every node; a list longer than ``page_size`` is null here and
-    whole in ``relation_pages``.
+    Counts and lists are whole for every node. With a ``page_size``, a longer list is null here
+    and whole in ``relation_pages``.
     """
     pairs = oriented(edges, "out").distinct()
     reach = (closure(pairs) if reach is None else reach).select("src", "dst")
@@ -174,7 +174,8 @@ def dependency_facts(
         ]:
             turned = (table if source == "out" else flip(table)).select(F.col("src").alias("node_id"), "dst")
             counts = turned.groupBy("node_id").agg(F.count(F.lit(1)).alias(count))
-            lists = single_lists(list_pages(turned, "node_id", "dst", page_size), "node_id", f"{prefix}_{total}")
+            pages = list_pages(turned, "node_id", "dst", page_size or PAGE_SIZE)
+            lists = (single_lists if page_size else whole_lists)(pages, "node_id", f"{prefix}_{total}")
             result = result.join(counts, "node_id", "left").join(lists, "node_id", "left")
     counts = ["dependency_count", "dependent_count", "total_dependency_count", "total_dependent_count"]
     lists = ["direct_dependencies", "direct_dependents", "all_dependencies", "all_dependents"]

@@ -56,6 +56,11 @@ def list_pages(pairs: DataFrame, key: str, item: str, page_size: int = PAGE_SIZE
     )
 
 
+def whole_lists(pages: DataFrame, key: str, name: str) -> DataFrame:
+    """The whole sorted list of every key, put together from its pages; one row holds a list."""
+    return pages.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("items"))).alias(name))
+
+
 def single_lists(pages: DataFrame, key: str, name: str) -> DataFrame:
     """The lists that fit one page, one row per key; longer ones stay in their pages."""
     return pages.where(F.col("pages") == 1).select(key, F.col("items").alias(name))

@@ -89,7 +89,7 @@ def publish_graph(
     vertices, edges = build_graph(records)
     vertices, edges = materialize(vertices, "vertices").df, materialize(edges, "edges").df
     reach = closure(edges)
-    facts = dependency_facts(edges, vertices, reach, page_size)
+    facts = dependency_facts(edges, vertices, reach)
     at, branch = header.get("extraction_timestamp"), header.get("nixpkgs_branch")
     write_node_documents(node_documents(packages, facts, at, branch), f"{out}/nodes")
     long_lists = relation_pages(edges, reach, page_size).where(F.col("pages") > 1)

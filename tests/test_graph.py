@@ -136,6 +136,15 @@ def test_facts_and_pages(spark, random_graph):
         assert counts[n]["dependent_count"] == sum(1 for s, d in pairs if d == n and s != d)
 
 
+def test_facts_hold_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAGE_SIZE", 3)
+    many = spark.createDataFrame([(f"n{i:02d}", "hub") for i in range(20)], "src string, dst string")
+    nodes = nodes_of(spark, ["hub", *[f"n{i:02d}" for i in range(20)]])
+    hub = G.dependency_facts(many, nodes).where("node_id = 'hub'").first()
+    assert hub["direct_dependents"] == hub["all_dependents"] == [f"n{i:02d}" for i in range(20)]
+    assert hub["dependent_count"] == hub["total_dependent_count"] == 20 and hub["direct_dependencies"] is None
+
+
 def test_ego_graph_and_expansion(spark):
     edges, nodes = edges_of(spark, "ab ba ac cd ec"), nodes_of(spark, "abcde")
     ego, links = G.ego_graph(edges, nodes, "a")
