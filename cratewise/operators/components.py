@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.operators.graph import degree_summary, degrees, flip, oriented, walks
+from cratewise.operators.graph import closure, degree_summary, degrees, flip, oriented, walks
 from cratewise.operators.skew import HOT_ROWS, hot_keys, join_lookup
 from cratewise.session import Stored, materialize, read_stored
 
@@ -165,6 +165,45 @@ def cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
+def component_reach(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """``(component, reached)``: the strong components that the nodes of each component reach.
+
+    The closure runs on the graph of components; a component of several nodes reaches itself.
+    Together with ``components`` this is the whole closure, without a row per pair of nodes.
+    """
+    of_src = components.select(F.col("node_id").alias("src"), F.col("component").alias("from"))
+    of_dst = components.select(F.col("node_id").alias("dst"), F.col("component").alias("to"))
+    between = oriented(edges, "out").join(of_src, "src").join(of_dst, "dst").where(F.col("from") != F.col("to"))
+    far = closure(between.select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct())
+    several = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return far.select(F.col("src").alias("component"), F.col("dst").alias("reached")).unionByName(
+        several.select("component", F.col("component").alias("reached"))
+    )
+
+
+def condensed_counts(edges: DataFrame, vertices: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """The four counts of every node, as in ``graph.fact_counts``; the totals are sums of component sizes."""
+    components = scc(edges, vertices) if components is None else components
+    components = materialize(components, "scc").df
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    reach = materialize(component_reach(edges, components), "reach").df
+
+    def total(own: str, other: str, name: str) -> DataFrame:
+        sized = reach.join(sizes.withColumnRenamed("component", other), other)
+        return sized.groupBy(F.col(own).alias("component")).agg(F.sum("size").alias(name))
+
+    direct = degrees(oriented(edges, "out").distinct(), vertices).select(
+        "node_id", F.col("out_degree").alias("dependency_count"), F.col("in_degree").alias("dependent_count")
+    )
+    names = ["dependency_count", "dependent_count", "total_dependency_count", "total_dependent_count"]
+    return (
+        direct.join(components, "node_id")
+        .join(total("component", "reached", names[2]), "component", "left")
+        .join(total("reached", "component", names[3]), "component", "left")
+        .select("node_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    )
+
+
 def cycles(edges: DataFrame, components: DataFrame, limit: int | None = None) -> DataFrame:
     """``(component, cycle)``: one shortest cycle through the smallest node of each component.
 

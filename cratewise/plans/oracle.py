@@ -273,6 +273,36 @@ ORACLE["cycle_witnesses"] = with_parts(
        GROUP BY component""",
     recursive=True,
 )
+# The same over all lines.
+_FULL = {**GRAPH, **REACH, **_MUTUAL}
+ORACLE["full_closure_counts"] = with_parts({**GRAPH, **REACH}, _COUNTS.format(more=""), recursive=True)
+ORACLE["full_component_reach"] = with_parts(
+    {**_FULL, "sizes": "SELECT component, count(*) AS size FROM strong GROUP BY component"},
+    """SELECT DISTINCT a.component, s.size, b.component AS reached, t.size AS reached_size FROM reach
+       JOIN strong a ON a.node_id = src JOIN strong b ON b.node_id = dst
+       JOIN sizes s ON s.component = a.component JOIN sizes t ON t.component = b.component""",
+    recursive=True,
+)
+ORACLE["full_scc_members"] = with_parts(_FULL, "SELECT node_id, component FROM strong", recursive=True)
+ORACLE["full_cycle_edges"] = with_parts(_FULL, _CYCLE_EDGES, recursive=True)
+ORACLE["full_cycle_witnesses"] = with_parts(
+    {
+        **_FULL,
+        "inner_edges": _CYCLE_EDGES,
+        "walk": """SELECT component, dst AS place, 1 AS hops FROM inner_edges WHERE src = component
+                   UNION SELECT w.component, e.dst, w.hops + 1 FROM walk w JOIN inner_edges e ON e.component = w.component AND e.src = w.place
+                   WHERE w.hops < 400 AND w.place <> w.component""",
+    },
+    """SELECT component, (min(hops) + 1)::INTEGER AS length FROM walk WHERE place = component
+       GROUP BY component""",
+    recursive=True,
+)
+ORACLE["full_graph_summary"] = with_parts(
+    {**_FULL, **_WCC, "deg": _DEGREES},
+    f"""SELECT {_SUMMARY}, (SELECT count(DISTINCT component) FROM strong) AS strongly_connected_components,
+               (SELECT count(DISTINCT component) FROM weak) AS weakly_connected_components FROM deg""",
+    recursive=True,
+)
 ORACLE["wcc_sizes"] = with_parts(
     {**GRAPH, **_WCC}, "SELECT component, count(*) AS size FROM weak GROUP BY component", recursive=True
 )

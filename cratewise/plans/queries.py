@@ -342,6 +342,50 @@ def graph_summary(spark, sf):
     return row.withColumns({c: rounded(F.col(c)) for c in row.columns if c.startswith("average")})
 
 
+@query
+def full_closure_counts(spark, sf):
+    """The four counts of every node over all lines, by condensed components."""
+    return G.with_flags(K.condensed_counts(*part_graph(spark, sf)))
+
+
+@query
+def full_component_reach(spark, sf):
+    """The closure over all lines as components and those they reach, with their sizes."""
+    edges, nodes = part_graph(spark, sf)
+    components = materialize(K.scc(edges, nodes), "scc").df
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    reached = sizes.select(F.col("component").alias("reached"), F.col("size").alias("reached_size"))
+    return K.component_reach(edges, components).join(sizes, "component").join(reached, "reached")
+
+
+@query
+def full_scc_members(spark, sf):
+    """The strongly connected component of every node over all lines."""
+    return K.scc(*part_graph(spark, sf))
+
+
+@query
+def full_cycle_edges(spark, sf):
+    """I8: edges on cycles over all lines."""
+    edges, nodes = part_graph(spark, sf)
+    return K.cycle_edges(edges, K.scc(edges, nodes))
+
+
+@query
+def full_cycle_witnesses(spark, sf):
+    """I8: one shortest cycle per component over all lines."""
+    edges, nodes = part_graph(spark, sf)
+    found = K.cycles(edges, materialize(K.scc(edges, nodes), "scc").df)
+    return found.select("component", F.size("cycle").alias("length"))
+
+
+@query
+def full_graph_summary(spark, sf):
+    """The statistics row over all lines."""
+    row = K.graph_summary(*part_graph(spark, sf))
+    return row.withColumns({c: rounded(F.col(c)) for c in row.columns if c.startswith("average")})
+
+
 def _ego(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     edges, nodes = D.part_edges(spark, sf_dir), D.part_nodes(spark, sf_dir)
     return edges, nodes, *G.ego_graph(edges, nodes, SEED)

@@ -145,6 +145,16 @@ def test_facts_hold_long_lists(spark, monkeypatch):
     assert hub["dependent_count"] == hub["total_dependent_count"] == 20 and hub["direct_dependencies"] is None
 
 
+def test_condensed_counts(spark, random_graph):
+    """Counts from component sizes are those of the closure of pairs."""
+    edges, nodes, _, _ = random_graph
+    names = ["node_id", "dependency_count", "dependent_count", "total_dependency_count", "total_dependent_count"]
+    assert rows(K.condensed_counts(edges, nodes).select(names)) == rows(G.fact_counts(edges, nodes).select(names))
+    small = edges_of(spark, "ab bc cb cd xd")
+    got = rows(K.component_reach(small, K.scc(small, nodes_of(spark, "abcdxz"))))
+    assert got == {("a", "b"), ("a", "d"), ("b", "b"), ("b", "d"), ("x", "d")}
+
+
 def test_ego_graph_and_expansion(spark):
     edges, nodes = edges_of(spark, "ab ba ac cd ec"), nodes_of(spark, "abcde")
     ego, links = G.ego_graph(edges, nodes, "a")
