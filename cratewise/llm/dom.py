@@ -13,7 +13,8 @@ BLOCK_TAGS = frozenset(
     "table tbody td tfoot th thead tr ul video audio".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
+#: Their contents are no markup and no text.
+RAW_TAGS = frozenset("script style title textarea".split())
 #: An opening tag closes an open one of its group, or an open paragraph, unless a scope stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article aside nav header footer main form blockquote body".split())
@@ -50,6 +51,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
+    endless: set[str] = set()  # raw tags that have no end from here on
     linked = 0
 
     def flush() -> None:
@@ -89,8 +91,11 @@ def blocks(html: str) -> list[Block]:
                     pass
             continue
         if name in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else size
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
+            if end:
+                at = end.end()
+            else:  # what follows is not swallowed
+                endless.add(name)
             continue
         if name in BLOCK_TAGS:
             flush()

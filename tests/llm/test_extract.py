@@ -21,6 +21,19 @@ def test_blocks():
     assert blocks("") == [] and blocks("plain")[0].text == "plain" and blocks("<p") == [] and blocks("<div><p>a</span></div></p>b")[1].text == "b"
 
 
+def test_nothing_is_swallowed():
+    """Self-closing, unclosed and closed foreign elements leave the page and their own text whole."""
+    said = lambda html: " ".join(b.text for b in blocks(html))
+    for tag in ("svg", "math"):
+        assert said(f"<p>one <{tag}/> two</p><p>three <{tag}></{tag}> four</p>") == "one two three four"
+        assert said(f"<p>one</p><{tag} class=x /><p>two</p>") == "one two"
+    for tag in ("svg", "math", "template", "noscript", "iframe", "textarea", "xmp", "noembed", "noframes", "script", "style", "title"):
+        assert said(f"<p>one</p><{tag}><p>two</p>") == "one two"
+    for tag in ("math", "xmp", "noembed", "noscript"):
+        assert said(f"<p>one <{tag}>kept</{tag}> two</p>") == "one kept two"
+    assert said("<p>one<script>var x = '<p>no</p>'</script><style>p {}</style> two</p>") == "one two"
+
+
 def test_viterbi_is_the_best_path(model):
     for html, _ in labelled_pages(20, 5):
         page = blocks(html)[:9]
