@@ -2,8 +2,9 @@
 
 Base counts fail texts that are too short or repeat themselves. Of the others, the histogram of
 character classes and the histogram of common words are compared with those of each language by
-Jensen-Shannon distance; a text is kept if some language is near enough in both. Texts below a
-minimum length are not compared, as their histograms say little.
+Jensen-Shannon distance; a text is kept if some language is near enough in both. Character classes are
+compared for every text that passes the base; words only from ``GUARD_WORDS`` words on, as the histogram
+of fewer says little, and the language nearest by characters alone counts below that.
 
 A language's reference is counted over all texts of that language. Words are counted in ``BUCKETS``
 hash buckets, so the counts of a task are of one size whatever the text; the ``COMMON`` fullest
@@ -28,8 +29,8 @@ from cratewise.llm.words import SPACE, hash_spans, mix, spans, text_chunks
 
 BUCKETS, COMMON = 4096, 64
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Texts of fewer words or characters are not compared with the references.
-GUARD_WORDS, GUARD_CHARS = 50, 200
+#: The words of shorter texts are not compared with the references.
+GUARD_WORDS = 50
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.45
 WINDOW = 8
 #: Character classes; other ASCII marks are class 0, bytes of other characters class 1.
@@ -176,7 +177,7 @@ def distances(counted: Counted, ref: References) -> tuple[np.ndarray, np.ndarray
     if not by_char:
         return np.zeros(counted.n), np.zeros(counted.n)
     by_char, by_word = np.array(by_char), np.array(by_word)
-    nearest = np.argmin(by_char + by_word, axis=0)
+    nearest = np.argmin(by_char + np.where(counted.n_words < GUARD_WORDS, 0, by_word), axis=0)
     at = np.arange(counted.n)
     return by_char[nearest, at], by_word[nearest, at]
 
@@ -195,8 +196,7 @@ def quality_rules(docs: DataFrame, ref: References) -> DataFrame:
                 repeat = c.repeated_words()
                 failed = (c.n_words < MIN_WORDS) | (100 * repeat > MAX_REPEATED * c.n_words)
                 chars, words = distances(c, ref)
-                guarded = (c.n_words < GUARD_WORDS) | (c.per_text(point) < GUARD_CHARS)
-                near = guarded | ((chars <= CHAR_LIMIT) & (words <= WORD_LIMIT))
+                near = (chars <= CHAR_LIMIT) & ((c.n_words < GUARD_WORDS) | (words <= WORD_LIMIT))
                 columns = [c.n_words, c.per_text(point & ~SPACE[c.data]), c.per_text(SYMBOL[c.data]), c.repeated_lines(), repeat]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *[pa.array(x, pa.int64()) for x in columns], pa.array(failed), pa.array(~failed & near), pa.array(chars), pa.array(words)],

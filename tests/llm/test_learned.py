@@ -85,6 +85,16 @@ def test_divergence(documents):
     assert rules.apply_rules(documents([])).collect() == []
 
 
+def test_short_texts_are_compared_by_characters(documents):
+    data = made_texts(300, 2)
+    words = [f"{c}{d}###" for c in "ABCDEF" for d in "GHIJK"]
+    junk = [(2000 + i, " ".join(words[i:] + words[:i]), data[0][2]) for i in range(5)]
+    got = {r["doc_id"]: r for r in rules.apply_rules(documents([*data, *junk])).collect()}
+    assert all(got[j[0]]["n_words"] == 30 and not got[j[0]]["base_failed"] and not got[j[0]]["kept"] for j in junk)
+    short = [got[d[0]] for d in data if got[d[0]]["n_words"] < rules.GUARD_WORDS and not got[d[0]]["base_failed"]]
+    assert all(r["kept"] for r in short)
+
+
 def test_js_distance():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.5, 0.5])
     assert rules.js_distance(p, p) == 0 and rules.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
