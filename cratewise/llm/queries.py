@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cratewise.llm.counting import count_tokens
 from cratewise.llm.crf import extract
 from cratewise.llm.decontaminate import decontaminate
 from cratewise.llm.jaccard import jaccard_components
@@ -20,6 +21,8 @@ from cratewise.llm.warc import archive
 
 #: The tokenizer of the token files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The model that tokens are counted by.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +85,8 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), PIECES)
