@@ -50,3 +50,73 @@ degree AS (SELECT x, count(*) - 1 AS n_links FROM link GROUP BY x)
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
 FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN low ON low.x = doc.doc_id LEFT JOIN degree ON degree.x = doc.doc_id
 """
+
+
+def _edit(state: str, cost: str, letter: str, row: str | None) -> str:
+    """The state after one edit; null where the state cannot be reached."""
+    out = f"list_append({state}.r, {row})" if row else f"{state}.r"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {out}}} END"
+
+
+def _kept(state: str, initial: str) -> str:
+    return f"CASE WHEN fault < 2 AND initial = '{initial}' THEN {_edit(state, 'extra', 'K', 'content')} END"
+
+
+def _reroled(state: str, role: str) -> str:
+    return f"CASE WHEN fault < 2 THEN {_edit(state, '3 + extra', 'R', f"'{role}:' || text")} END"
+
+
+def _inserted(state: str, role: str) -> str:
+    return _edit(state, "3", "I", f"'{role}:'")
+
+
+_AFTER_ROW = f"""
+    {_edit('k0', '4', 'D', None)} AS n0,
+    least({_edit('k1', '4', 'D', None)}, {_kept('k0', 's')}) AS n1,
+    least({_edit('k2', '4', 'D', None)}, {', '.join(f(k, x) for k in ('k0', 'k1', 'k3') for f, x in ((_kept, 'u'), (_reroled, 'user')))}) AS n2,
+    least({_edit('k3', '4', 'D', None)}, {_kept('k2', 'a')}, {_reroled('k2', 'assistant')}) AS n3"""
+_WITH_USER = f"n0, n1, least(n2, {', '.join(_inserted(k, 'user') for k in ('n0', 'n1', 'n3'))}) AS m2, n3"
+_WITH_ASSISTANT = f"n0 AS k0, n1 AS k1, m2 AS k2, least(n3, {_inserted('m2', 'assistant')}) AS k3"
+_NOTHING = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]))"
+
+# The crc32 of a text by its table; then the least (cost, letters) of each state, row by row.
+ORACLE["op11_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+checked AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(range(1, len(name) + 1), lambda c, k: xor(c >> 8, t[CAST(xor(c, CAST(ascii(name[k]) AS BIGINT)) % 256 AS INTEGER) + 1]), 4294967295), 4294967295) % 20 AS f
+  FROM named, crc),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM checked, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(k)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM turns),
+judged AS (
+  SELECT conv_id, turn, i, role[1] AS initial, text, role || ':' || text AS content,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 2
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+              WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN 0 ELSE 1 END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+rows AS (SELECT *, CASE WHEN fault = 1 THEN 3 ELSE 0 END AS extra FROM judged),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {_WITH_ASSISTANT} FROM (
+    SELECT conv_id, {_WITH_USER} FROM (
+      SELECT DISTINCT conv_id, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS n0, {_NOTHING} AS n1, {_NOTHING} AS n2, {_NOTHING} AS n3 FROM conversations))
+  UNION ALL
+  SELECT conv_id, i, {_WITH_ASSISTANT} FROM (
+    SELECT conv_id, i, {_WITH_USER} FROM (
+      SELECT dp.conv_id, rows.i, {_AFTER_ROW} FROM dp JOIN rows ON rows.conv_id IS NOT DISTINCT FROM dp.conv_id AND rows.i = dp.i + 1))),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank,
+         count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows GROUP BY conv_id),
+best AS (
+  SELECT dp.conv_id, least(k0, k3) AS best, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+         coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM dp LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE i = coalesce(n, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256 FROM best
+"""

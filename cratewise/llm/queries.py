@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cratewise.llm.counting import count_tokens
 from cratewise.llm.crf import extract
 from cratewise.llm.decontaminate import decontaminate
+from cratewise.llm.dialogue import damage, repair_digest
 from cratewise.llm.jaccard import jaccard_components
 from cratewise.llm.language import identify_languages
 from cratewise.llm.mil import classify
@@ -90,3 +91,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_digest(damage(rows), rows, copies="copies")
