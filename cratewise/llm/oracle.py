@@ -97,9 +97,11 @@ turns AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM turns),
 judged AS (
   SELECT conv_id, turn, i, role[1] AS initial, text, role || ':' || text AS content,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 2
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 2
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
-              WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN 0 ELSE 1 END AS fault,
+              WHEN regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 0 ELSE 1 END AS fault,
          lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
 rows AS (SELECT *, CASE WHEN fault = 1 THEN 3 ELSE 0 END AS extra FROM judged),
 dp AS (
@@ -120,3 +122,25 @@ best AS (
   FROM dp LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE i = coalesce(n, 0))
 SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256 FROM best
 """
+
+ORACLE["op12_collocations"] = rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+listed AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM piece),
+total AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM listed GROUP BY lang),
+f AS (
+  SELECT lang, ws[i : i + m - 1] AS p, count(*) AS a FROM listed, unnest(range(1, 6)) AS s(m), unnest(range(1, len(ws) - m + 2)) AS t(i)
+  GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, p, a, len(p) AS m FROM f WHERE len(p) > 1),
+dropped AS (
+  SELECT DISTINCT x.lang, x.p FROM cand c, unnest(range(1, c.m + 1)) AS s(b), unnest(range(b + 1, c.m + 1)) AS t(e), cand x
+  WHERE x.lang = c.lang AND x.p = c.p[b:e] AND e - b + 1 < c.m AND 100 * c.a >= 100 * x.a),
+cut AS (
+  SELECT c.lang, c.p, c.a, k, l.a AS l, r.a AS r, n, CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM (SELECT * FROM cand ANTI JOIN dropped USING (lang, p)) c CROSS JOIN LATERAL unnest(range(1, c.m)) AS s(k)
+  JOIN total USING (lang) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1 : c.m]),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""

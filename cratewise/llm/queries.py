@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cratewise.llm.collocations import collocations
 from cratewise.llm.counting import count_tokens
 from cratewise.llm.crf import extract
 from cratewise.llm.decontaminate import decontaminate
@@ -97,3 +98,8 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair_digest(damage(rows), rows, copies="copies")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
