@@ -273,6 +273,21 @@ ORACLE["cycle_witnesses"] = with_parts(
        GROUP BY component""",
     recursive=True,
 )
+LAYERED = {"edges": D.LAYERED.format(text="VARCHAR"), "nodes": NODES}
+ORACLE["layered_closure_counts"] = with_parts({**LAYERED, **REACH}, _COUNTS.format(more=""), recursive=True)
+
+
+def _reach_pages(key: str, item: str) -> str:
+    return with_parts(
+        {**LAYERED, **REACH, "placed": "SELECT node_id AS member, (row_number() OVER (ORDER BY node_id) - 1) // 512 AS page FROM nodes"},
+        f"""SELECT {key} AS node_id, page, count(*)::INTEGER AS n, md5(string_agg({item}, '|' ORDER BY {item})) AS items_md5
+            FROM reach JOIN placed ON member = {item} GROUP BY {key}, page""",
+        recursive=True,
+    )
+
+
+ORACLE["layered_dependency_pages"] = _reach_pages("src", "dst")
+ORACLE["layered_dependent_pages"] = _reach_pages("dst", "src")
 # The same over all lines.
 _FULL = {**GRAPH, **REACH, **_MUTUAL}
 ORACLE["full_closure_counts"] = with_parts({**GRAPH, **REACH}, _COUNTS.format(more=""), recursive=True)

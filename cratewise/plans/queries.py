@@ -17,6 +17,7 @@ from cratewise.operators import graph as G
 from cratewise.operators import merge as M
 from cratewise.operators import quality as Q
 from cratewise.operators import quota as U
+from cratewise.operators import reach as B
 from cratewise.operators import search as S
 from cratewise.operators import star as R
 from cratewise.operators.normalize import normalize, normalize_map
@@ -206,6 +207,11 @@ def partner_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return materialize(D.partner_edges(spark, sf_dir), "partners").df, D.part_nodes(spark, sf_dir)
 
 
+def layered_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines, nearly without cycles: many components over every edge."""
+    return materialize(D.layered_edges(spark, sf_dir), "layered").df, D.part_nodes(spark, sf_dir)
+
+
 def _list_rows(pages: DataFrame) -> DataFrame:
     return pages.select("node_id", "page", F.size("items").alias("n"), joined(F.col("items")).alias("items"))
 
@@ -260,7 +266,7 @@ def multigraph_degrees(spark, sf):
 @query
 def closure_counts(spark, sf):
     """The four counts of every node."""
-    return G.with_flags(G.fact_counts(*partner_graph(spark, sf)))
+    return G.with_flags(B.bitset_counts(*partner_graph(spark, sf)))
 
 
 @query
@@ -303,7 +309,8 @@ def shortest_path(spark, sf):
 @query
 def dependency_facts(spark, sf):
     """Lists and counts of every node."""
-    facts = G.with_flags(G.dependency_facts(*partner_graph(spark, sf)))
+    edges, nodes = partner_graph(spark, sf)
+    facts = G.with_flags(G.dependency_facts(edges, nodes, B.reach_pairs(edges, nodes)))
     lists = ["direct_dependencies", "direct_dependents", "all_dependencies", "all_dependents"]
     return facts.withColumns({c: joined(F.col(c)) for c in lists})
 
@@ -386,6 +393,28 @@ def full_graph_summary(spark, sf):
     return row.withColumns({c: rounded(F.col(c)) for c in row.columns if c.startswith("average")})
 
 
+@query
+def layered_closure_counts(spark, sf):
+    """The four counts of every node over all lines of a graph with many components."""
+    return G.with_flags(B.bitset_counts(*layered_graph(spark, sf)))
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select("node_id", "page", F.size("items").alias("n"), F.md5(joined(F.col("items"))).alias("items_md5"))
+
+
+@query
+def layered_dependency_pages(spark, sf):
+    """All dependencies of every node over all lines, in pages of 512 nodes."""
+    return _pages(B.reach_pages(*layered_graph(spark, sf), width=512))
+
+
+@query
+def layered_dependent_pages(spark, sf):
+    """All dependents of every node over all lines, in pages of 512 nodes."""
+    return _pages(B.reach_pages(*layered_graph(spark, sf), direction="in", width=512))
+
+
 def _ego(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     edges, nodes = D.part_edges(spark, sf_dir), D.part_nodes(spark, sf_dir)
     return edges, nodes, *G.ego_graph(edges, nodes, SEED)
@@ -730,7 +759,7 @@ def record_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def node_documents(spark, sf):
     """Node documents, read back from their JSON."""
     packages, edges, nodes = record_graph(spark, sf)
-    docs = O.node_documents(packages, G.dependency_facts(edges, nodes), "t0", "main")
+    docs = O.node_documents(packages, G.dependency_facts(edges, nodes, B.reach_pairs(edges, nodes)), "t0", "main")
     doc = F.try_parse_json("doc")
 
     def get(path: str, kind: str) -> Column:

@@ -11,13 +11,13 @@ from cratewise.operators.components import cycles, graph_summary, scc
 from cratewise.operators.graph import (
     LEADERBOARD,
     build_graph,
-    closure,
     degrees,
     dependency_facts,
     leaderboard,
     relation_pages,
 )
 from cratewise.operators.normalize import normalize
+from cratewise.operators.reach import reach_pairs
 from cratewise.operators.search import STORE_COLUMNS, build_index, write_index
 from cratewise.operators.sequence import PAGE_SIZE
 from cratewise.operators.star import build_catalog
@@ -88,7 +88,7 @@ def publish_graph(
     """Node documents, pages of long lists, the node index and the statistics."""
     vertices, edges = build_graph(records)
     vertices, edges = materialize(vertices, "vertices").df, materialize(edges, "edges").df
-    reach = closure(edges)
+    reach = materialize(reach_pairs(edges, vertices), "reach").df
     facts = dependency_facts(edges, vertices, reach)
     at, branch = header.get("extraction_timestamp"), header.get("nixpkgs_branch")
     write_node_documents(node_documents(packages, facts, at, branch), f"{out}/nodes")
