@@ -22,15 +22,27 @@ STORE_COLUMNS = ["id", "name", "description"]
 RANK_SALTS = 256
 # Searches read deeper than this are ranked by a distributed sort instead of a window.
 DEEP = 100_000
+# Documents of a block of postings, and the postings from which a search looks at the blocks' maxima first.
+BLOCK_DOCS = 4096
+SKIP_FROM = 4_000_000
+# Pages that end deeper than this are cut out by their scores instead of kept as a top list; so many bins, so many rows to sort.
+TOP_LIST = 10_000
+SCORE_BINS = 1 << 12
 
 
 @dataclass
 class SearchIndex:
-    """``postings(term, doc_id, col, tf, positions)``, ``docs(doc_id, dl, ...)`` and ``corpus(n, avgdl)``."""
+    """``postings(term, doc_id, col, tf, positions)``, ``docs(doc_id, dl, ...)`` and ``corpus(n, avgdl)``.
+
+    A written index also has a dictionary ``terms(term, df, cf)`` and ``blocks(term, block, n, best, entries)``: the
+    documents of a term with their saturation, in blocks that are the same for all terms, and the largest of each block.
+    """
 
     postings: DataFrame
     docs: DataFrame
     corpus: DataFrame
+    terms: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -78,7 +90,8 @@ def corpus_of(docs: DataFrame) -> DataFrame:
 
 def write_index(index: SearchIndex, path: str) -> None:
     """Postings in (term, doc_id) order: a term reads a few row groups, and a term that is in
-    every document still spreads over many files."""
+    every document still spreads over many files. Beside them the dictionary and the blocks."""
+    spark = index.docs.sparkSession
     (
         index.postings.repartitionByRange("term", "doc_id")
         .sortWithinPartitions("term", "doc_id")
@@ -87,15 +100,52 @@ def write_index(index: SearchIndex, path: str) -> None:
         .parquet(f"{path}/postings")
     )
     index.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
-    corpus_of(index.docs.sparkSession.read.parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/corpus")
+    docs = spark.read.parquet(f"{path}/docs")
+    corpus_of(docs).write.mode("overwrite").parquet(f"{path}/corpus")
+    blocks_of(spark.read.parquet(f"{path}/postings"), docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(
+        "overwrite"
+    ).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/blocks")
+    counts = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+    counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def blocks_of(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(term, block, n, cf, best, entries)``: the documents of a term with their saturation.
+
+    Documents of similar length share a block, for all terms the same ones, so the largest
+    saturations of blocks differ, and a block can be ruled out for a whole query.
+    """
+    placed = number_rows(docs.select("doc_id", "dl"), ["dl", "doc_id"], "nth")
+    average = docs.agg(F.avg("dl")).first()[0] or 1.0
+    block = F.floor((F.col("nth") - 1) / BLOCK_DOCS)
+    per_doc = postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("f")).join(placed, "doc_id")
+    weight = saturation(F.col("f"), F.col("dl"), F.lit(average))
+    return (
+        per_doc.select("term", block.alias("block"), "f", F.struct("doc_id", weight.alias("weight")).alias("e"))
+        .groupBy("term", "block")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("cf"), F.max("e.weight").alias("best"), F.sort_array(F.collect_list("e")).alias("entries"))
+    )
 
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ["postings", "docs", "corpus"]])
+    docs = spark.read.parquet(f"{path}/docs")  # its columns are the caller's
+
+    def part(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    return SearchIndex(
+        part("postings", "term string, doc_id string, col string, tf bigint, positions array<int>"),
+        docs,
+        part("corpus", "n bigint, avgdl double"),
+        part("terms", "term string, df bigint, cf bigint"),
+        part("blocks", "term string, block bigint, n bigint, cf bigint, best double, entries array<struct<doc_id: string, weight: double>>"),
+    )
 
 
 def term_stats(index: SearchIndex) -> DataFrame:
     """``(term, df, cf)``: documents with the term, and its occurrences."""
+    if index.terms is not None:
+        return index.terms.select("term", "df", "cf")
     per_doc = index.postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("f"))
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("cf"))
 
@@ -195,31 +245,100 @@ def matches(index: SearchIndex, query: Query, allowed: DataFrame | None = None)
     scored = query.required + query.any_of
     if not scored:
         return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+    if by_blocks(index, query):
+        return block_matches(index, query, None if docs is index.docs else docs, dictionary(index, query))
     units = scored + query.excluded
-    # Read three times below, and small next to the postings.
+    # Read twice below, and small next to the postings.
     freq = materialize(unit_frequencies(index, units), "frequencies").df
-    names = [f"f{i}" for i in range(len(units))]
-    stats = freq.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(scored))])
-    have, either, without = (
-        names[: len(query.required)],
-        names[len(query.required) : len(scored)],
-        names[len(scored) :],
-    )
-    test = F.lit(True)
-    for name in have:
-        test = test & (F.col(name) > 0)
-    if either:
-        test = test & (F.greatest(*[F.col(n) for n in either], F.lit(0)) > 0)
-    for name in without:
-        test = test & (F.col(name) == 0)
-    n_docs, average = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
+    test = _satisfies(query, [F.col(f"f{i}") for i in range(len(units))])
+    counts = [F.count_if(F.col(f"f{i}") > 0) for i in range(len(scored))]
+    stats = freq.agg(F.array(*counts).alias("found")).crossJoin(index.corpus).first()  # a row each
     score = F.lit(0.0)
     for i in range(len(scored)):
-        weight = idf(n_docs, stats.select(f"n{i}").scalar())
-        score = score + weight * saturation(F.col(f"f{i}"), F.col("dl"), average)
+        weight = idf(F.lit(stats["n"]), F.lit(stats["found"][i]))
+        score = score + weight * saturation(F.col(f"f{i}"), F.col("dl"), F.lit(stats["avgdl"]))
     return freq.where(test).join(docs, "doc_id").select("doc_id", score.alias("score"))
 
 
+def _satisfies(query: Query, found: list[Column]) -> Column:
+    """Whether the occurrences of the units, in their order, are what the query asks for."""
+    have, rest = found[: len(query.required)], found[len(query.required) :]
+    either, without = rest[: len(query.any_of)], rest[len(query.any_of) :]
+    test = F.lit(True)
+    for f in have:
+        test = test & (f > 0)
+    if either:
+        test = test & (F.greatest(*either, F.lit(0)) > 0)
+    for f in without:
+        test = test & (f == 0)
+    return test
+
+
+# Single tokens are answered by blocks: their counts are in the dictionary, their saturations are stored.
+
+
+def by_blocks(index: SearchIndex, query: Query) -> bool:
+    units = query.required + query.any_of + query.excluded
+    return index.blocks is not None and all(len(u.tokens) == 1 and not u.prefix and u.column is None for u in units)
+
+
+def dictionary(index: SearchIndex, query: Query) -> dict[str | None, int]:
+    """Documents with each token of the query and, under None, all documents; one small job."""
+    tokens = [u.tokens[0] for u in query.required + query.any_of]
+    counts = index.terms.where(F.col("term").isin(tokens)).select("term", "df")
+    rows = counts.unionByName(index.corpus.select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"))).collect()
+    return {t: 0 for t in tokens} | {r["term"]: r["df"] for r in rows}
+
+
+def _idf_of(counts: dict[str | None, int], unit: Unit) -> Column:
+    return idf(F.lit(counts[None]), F.lit(counts[unit.tokens[0]]))
+
+
+def block_matches(
+    index: SearchIndex, query: Query, allowed: DataFrame | None, counts: dict[str | None, int], blocks: DataFrame | None = None
+) -> DataFrame:
+    """``(doc_id, score)`` of the matches, from ``blocks(block)`` alone where these are given."""
+    units = query.required + query.any_of + query.excluded
+    rows = index.blocks.where(F.col("term").isin([u.tokens[0] for u in units]))
+    if blocks is not None:
+        rows = rows.join(blocks, "block", "left_semi")
+    entries = rows.select("term", F.explode("entries").alias("e")).select("term", "e.doc_id", "e.weight")
+    if len(units) == 1:
+        hits = entries.select("doc_id", (_idf_of(counts, units[0]) * F.col("weight")).alias("score"))
+    else:
+        weights = [F.max(F.when(F.col("term") == u.tokens[0], F.col("weight")).otherwise(0.0)).alias(f"w{i}") for i, u in enumerate(units)]
+        score = F.lit(0.0)
+        for i, unit in enumerate(query.required + query.any_of):
+            score = score + _idf_of(counts, unit) * F.col(f"w{i}")
+        found = entries.groupBy("doc_id").agg(*weights)
+        hits = found.where(_satisfies(query, [F.col(f"w{i}") for i in range(len(units))])).select("doc_id", score.alias("score"))
+    return hits if allowed is None else hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
+
+
+def promising_blocks(
+    index: SearchIndex, query: Query, allowed: DataFrame | None, counts: dict[str | None, int], rows: int
+) -> DataFrame:
+    """``(block)``: all blocks that can hold one of the best ``rows`` matches.
+
+    A block's bound is the sum of its largest scores by unit. The blocks with the highest bounds are searched first; the
+    score of the last row of a page found in them is one that the whole page reaches, so blocks bounded below it are left out.
+    """
+    scored = query.required + query.any_of
+    tokens = [u.tokens[0] for u in scored]
+    bests = [F.max(F.when(F.col("term") == t, F.col("best")).otherwise(0.0)).alias(f"b{i}") for i, t in enumerate(tokens)]
+    bound = F.lit(0.0)
+    for i, unit in enumerate(scored):
+        bound = bound + _idf_of(counts, unit) * F.col(f"b{i}")
+    there = index.blocks.where(F.col("term").isin(tokens)).groupBy("block").agg(*bests)
+    with_all = _satisfies(Query(query.required, query.any_of), [F.col(f"b{i}") for i in range(len(scored))])
+    bounds = materialize(there.where(with_all).select("block", bound.alias("bound")), "bounds").df
+    first = bounds.orderBy(F.desc("bound"), "block").limit(max(8, -(-2 * rows // BLOCK_DOCS))).select("block")
+    best = block_matches(index, query, allowed, counts, first).orderBy(F.desc("score"), "doc_id").limit(rows)
+    row = best.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+    reached = row["least"] if row["n"] == rows else 0.0
+    return bounds.where(F.col("bound") >= reached * (1 - 1e-12)).select("block")
+
+
 def filter_docs(
     docs: DataFrame,
     category: str | None = None,
@@ -243,10 +362,56 @@ def filter_docs(
     return docs
 
 
-def page(hits: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = DEFAULT_OFFSET) -> DataFrame:
-    """The hits from ``offset`` on, best first, ties by id; a negative limit means all of them."""
-    ordered = hits.orderBy(F.desc("score"), "doc_id").offset(max(offset, 0))
-    return ordered if limit < 0 else ordered.limit(limit)
+def page(hits: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = DEFAULT_OFFSET, top_list: int = TOP_LIST) -> DataFrame:
+    """The hits from ``offset`` on, best first, ties by id; a negative limit means all of them.
+
+    A page near the top is a top list. A deeper one is cut out by its first and last row, which histograms of the
+    scores find, and only its own rows are sorted, in ranges.
+    """
+    offset = max(offset, 0)
+    best = [F.desc("score"), F.col("doc_id")]
+    if limit < 0 and offset == 0:
+        return hits.orderBy(*best)
+    if 0 <= limit and offset + limit <= top_list:
+        return hits.orderBy(*best).offset(offset).limit(limit)
+    stored = materialize(hits, "hits")
+    end = stored.rows if limit < 0 else min(stored.rows, offset + limit)
+    if offset >= end:
+        return stored.df.limit(0)
+    band = stored.df
+    if offset > 0:
+        band = band.where(~_before(row_at(stored.df, offset, top_list)))
+    if end < stored.rows:
+        band = band.where(_before(row_at(stored.df, end, top_list)))
+    return band.orderBy(*best)
+
+
+def _before(row: tuple[float, str]) -> Column:
+    return (F.col("score") > row[0]) | ((F.col("score") == row[0]) & (F.col("doc_id") < row[1]))
+
+
+def row_at(hits: DataFrame, rank: int, few: int = TOP_LIST) -> tuple[float, str]:
+    """Score and id of the row with so many rows before it, for stored hits.
+
+    Histograms narrow the scores down to a bin of ``few`` rows, or to one score that many rows share; rows
+    of one score are numbered by id in ranges.
+    """
+    while True:
+        ends = hits.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count(F.lit(1)).alias("n")).first()
+        low, high = ends["low"], ends["high"]
+        if ends["n"] <= few:
+            row = hits.orderBy(F.desc("score"), "doc_id").offset(rank).limit(1).first()
+            return row["score"], row["doc_id"]
+        if low == high:
+            row = number_rows(hits, ["doc_id"], "nth").where(F.col("nth") == rank + 1).first()
+            return row["score"], row["doc_id"]
+        bin_ = F.least(F.floor((F.lit(high) - F.col("score")) / F.lit(high - low) * SCORE_BINS), F.lit(SCORE_BINS - 1))
+        counts = hits.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+        for found in sorted(counts.collect(), key=lambda r: r["bin"]):
+            if rank < found["n"]:
+                break
+            rank -= found["n"]
+        hits = hits.where(F.col("score").between(found["least"], found["most"]))
 
 
 def search(
@@ -261,6 +426,7 @@ def search(
     include_unfree: bool = False,
     doc_licenses: DataFrame | None = None,
     query: Query | None = None,
+    skip_from: int = SKIP_FROM,
 ) -> DataFrame:
     """One page of ``(doc_id, score, total_count)``, with the stored ``doc`` if a store is given.
 
@@ -269,15 +435,35 @@ def search(
     """
     query = query or make_query(index.docs.sparkSession, q)
     allowed = filter_docs(index.docs, category, include_broken, include_unfree, license, doc_licenses)
-    hits = matches(index, query, allowed)
-    total = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
-    shown = page(hits, limit, offset).withColumn("total_count", total)
+    if query.required + query.any_of and by_blocks(index, query):
+        hits, shown, total = _search_blocks(index, query, None if allowed is index.docs else allowed, limit, offset, skip_from)
+    else:
+        hits = shown = matches(index, query, allowed)
+        total = None
+    if total is None:
+        total = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
+    shown = page(shown, limit, offset).withColumn("total_count", total)
     if store is None:
         return shown
     wanted = store.join(shown.select(F.col("doc_id").alias("id")), "id", "left_semi")
     return shown.join(wanted.select(F.col("id").alias("doc_id"), "doc"), "doc_id", "left")
 
 
+def _search_blocks(
+    index: SearchIndex, query: Query, allowed: DataFrame | None, limit: int, offset: int, skip_from: int
+) -> tuple[DataFrame, DataFrame, Column | None]:
+    """All matches, those that the page is taken from, and their number where the dictionary has it."""
+    counts = dictionary(index, query)
+    hits = block_matches(index, query, allowed, counts)
+    only = query.required[0] if len(query.required) == 1 and not query.any_of and not query.excluded else None
+    total = F.lit(counts[only.tokens[0]]).cast("bigint") if only and allowed is None else None
+    depth = max(offset, 0) + limit
+    if limit < 0 or depth > TOP_LIST or sum(counts[u.tokens[0]] for u in query.required + query.any_of) < skip_from:
+        return hits, hits, total
+    some = promising_blocks(index, query, allowed, counts, max(depth, 1))
+    return hits, block_matches(index, query, allowed, counts, some), total
+
+
 # --- many queries -----------------------------------------------------------------------------
 
 

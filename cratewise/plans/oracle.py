@@ -85,6 +85,10 @@ _ALL_HITS = "SELECT doc_id, round(score, 6) AS score FROM hits"
 
 ORACLE["bm25_topk"] = page_sql(hits_parts(["in", "the"]), 10)
 ORACLE["bm25_page2"] = page_sql(hits_parts(["in", "the"]), 10, 10)
+ORACLE["bm25_by_maxima"] = page_sql(hits_parts(["that"], ["in", "license"]), 20, 5)
+_RANKED = "SELECT l_orderkey || '-' || l_linenumber AS doc_id, round(l_extendedprice, 0)::DOUBLE AS score FROM lineitem ORDER BY score DESC, doc_id"
+ORACLE["deep_page"] = f"{_RANKED} OFFSET 20000"
+ORACLE["deep_page_window"] = f"{_RANKED} LIMIT 500 OFFSET 30000"
 ORACLE["bm25_phrase"] = page_sql(hits_parts(["the and", "of"]), 25)
 _filtered = hits_parts(["of"])
 _filtered["hits"] = (

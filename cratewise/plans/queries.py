@@ -97,6 +97,31 @@ def bm25_page2(spark, sf):
     return everything(S.search(index, "in the", limit=10, offset=10, include_broken=True, include_unfree=True))
 
 
+@query
+def bm25_by_maxima(spark, sf):
+    """T4, T5: a search that leaves out the blocks whose maxima cannot reach its page."""
+    return everything(
+        S.search(text_index(spark, sf), "that", limit=20, offset=5, include_broken=True, include_unfree=True, query=S.make_query(spark, "that", any_of="in license"), skip_from=0)
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return D.table(spark, sf_dir, "lineitem").select(line.alias("doc_id"), F.round("l_extendedprice", 0).cast("double").alias("score"))
+
+
+@query
+def deep_page(spark, sf):
+    """everything from row 20 000 on of all order lines by price."""
+    return S.page(_lines(spark, sf), limit=-1, offset=20_000)
+
+
+@query
+def deep_page_window(spark, sf):
+    """rows 30 000 to 30 500 of the same ranking."""
+    return S.page(_lines(spark, sf), limit=500, offset=30_000)
+
+
 @query
 def bm25_phrase(spark, sf):
     """A quoted phrase and a term."""

@@ -156,3 +156,41 @@ def test_batch_slots_hold_the_budgets(spark):
     assert list(slots) == sorted(slots)
     for used in slots.values():
         assert len(used[1:]) / 20 + sum(used[1:]) / 3000 < 1
+
+
+def test_pages_of_any_depth_equal_the_sorted_list(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{i:05d}", rng.choice([1.5, 2.25, 2.25, rng.random() * 9])) for i in range(3000)]
+    hits = spark.createDataFrame(rows, "doc_id string, score double")
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for limit, offset in [(10, 0), (-1, 0), (-1, 2990), (40, 700), (5000, 1500), (-1, 1400), (3, 3000), (0, 5), (7, -3)]:
+        found = [tuple(r) for r in S.page(hits, limit, offset, top_list=30).collect()]
+        begin = max(offset, 0)
+        assert found == (ranked[begin:] if limit < 0 else ranked[begin : begin + limit]), (limit, offset)
+
+
+def test_blocks_below_the_page_are_left_out(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(S, "BLOCK_DOCS", 16)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["red", "blue", "green", *[f"w{k}" for k in range(30)]], k=rng.choice([3, 9, 60, 300]))) for _ in range(600)]
+    docs = spark.createDataFrame([(f"d{i}", "n", t, i % 9 == 0, False, "c") for i, t in enumerate(texts)], "id string, name string, description string, broken boolean, unfree boolean, category string")
+    plain = S.build_index(docs, "id", S.STORE_COLUMNS, keep=["broken", "unfree", "category"])
+    S.write_index(plain, str(tmp_path / "blocks"))
+    index = S.read_index(spark, str(tmp_path / "blocks"))
+    kept = index.blocks.agg({"n": "max"}).first()[0]
+    assert kept <= 16
+    for words, options in [("red", {}), ("red blue", {}), ("red", {"any_of": "blue green"}), ("red", {"none_of": "w3"}), ("nowhere red", {})]:
+        for broken in (True, False):
+            query = S.make_query(spark, words, **options)
+            flags = {"include_broken": broken, "include_unfree": True, "query": query, "limit": 6, "offset": 2}
+            skipped = [(r.doc_id, round(r.score, 9), r.total_count) for r in S.search(index, skip_from=0, **flags).collect()]
+            whole = [(r.doc_id, round(r.score, 9), r.total_count) for r in S.search(plain, **flags).collect()]
+            assert skipped == whole
+    query = S.make_query(spark, "red")
+    some = S.promising_blocks(index, query, None, S.dictionary(index, query), 8)
+    assert 0 < some.count() < index.blocks.where("term = 'red'").count() / 2
+    assert {r.term: (r.df, r.cf) for r in S.term_stats(index).collect()} == {r.term: (r.df, r.cf) for r in S.term_stats(plain).collect()}
