@@ -118,10 +118,12 @@ def blocks_of(postings: DataFrame, docs: DataFrame) -> DataFrame:
     placed = number_rows(docs.select("doc_id", "dl"), ["dl", "doc_id"], "nth")
     average = docs.agg(F.avg("dl")).first()[0] or 1.0
     block = F.floor((F.col("nth") - 1) / BLOCK_DOCS)
-    per_doc = postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("f")).join(placed, "doc_id")
+    rows = postings.select("term", "doc_id", "tf").join(placed.select("doc_id", "dl", block.alias("block")), "doc_id")
+    # both aggregations below go by this one shuffle
+    per_doc = rows.repartition("term", "block").groupBy("term", "block", "doc_id", "dl").agg(F.sum("tf").alias("f"))
     weight = saturation(F.col("f"), F.col("dl"), F.lit(average))
     return (
-        per_doc.select("term", block.alias("block"), "f", F.struct("doc_id", weight.alias("weight")).alias("e"))
+        per_doc.select("term", "block", "f", F.struct("doc_id", weight.alias("weight")).alias("e"))
         .groupBy("term", "block")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("cf"), F.max("e.weight").alias("best"), F.sort_array(F.collect_list("e")).alias("entries"))
     )
@@ -156,6 +158,8 @@ def term_stats(index: SearchIndex) -> DataFrame:
 def units_of(spark: SparkSession, text: str, column: str | None = None) -> list[Unit]:
     """Units of a query text: quoted parts are phrases, everything else single tokens."""
     units: list[Unit] = []
+    if not text.strip():
+        return units
     for i, part in enumerate(text.split('"')):
         tokens = tokens_of(spark, part)
         if i % 2 and tokens:
@@ -175,7 +179,7 @@ def make_query(
 ) -> Query:
     """A query from plain texts; ``prefix`` tokens match by their beginning, ``in_columns`` within one column."""
     required = units_of(spark, q)
-    required += [Unit((t,), prefix=True) for t in tokens_of(spark, prefix)]
+    required += [Unit((t,), prefix=True) for t in (tokens_of(spark, prefix) if prefix.strip() else [])]
     for column, text in (in_columns or {}).items():
         required += units_of(spark, text, column)
     return Query(required, units_of(spark, any_of), units_of(spark, none_of))
