@@ -99,10 +99,14 @@ def write_index(index: SearchIndex, path: str) -> None:
         .option("parquet.bloom.filter.enabled#term", "true")
         .parquet(f"{path}/postings")
     )
-    index.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
+    postings = spark.read.parquet(f"{path}/postings")
+    # lengths are in the postings already; taking them from the texts would tokenize these again
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("sum"))
+    own = index.docs.drop("dl").join(lengths, "doc_id", "left").withColumn("dl", F.coalesce("sum", F.lit(0))).select(*index.docs.columns)
+    own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     corpus_of(docs).write.mode("overwrite").parquet(f"{path}/corpus")
-    blocks_of(spark.read.parquet(f"{path}/postings"), docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(
+    blocks_of(postings, docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(
         "overwrite"
     ).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
