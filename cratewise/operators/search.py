@@ -28,6 +28,9 @@ SKIP_FROM = 4_000_000
 # Pages that end deeper than this are cut out by their scores instead of kept as a top list; so many bins, so many rows to sort.
 TOP_LIST = 10_000
 SCORE_BINS = 1 << 12
+# Parts of a frequent term's documents in a batch, and the characters by which prefixes and terms meet.
+TERM_SALTS = 8
+LEAD = 3
 
 
 @dataclass
@@ -484,23 +487,68 @@ def request_units(requests: DataFrame, key: str) -> DataFrame:
     return each.select(key, "unit", F.size("unit").alias("size"), F.posexplode("unit").alias("pos", "term"))
 
 
+def prefix_terms(dictionary_terms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``(prefix, term)`` for distinct ``prefixes(prefix)``: a range join on leading characters.
+
+    Both sides meet by up to ``LEAD`` first characters; only terms of an equal lead are compared further.
+    """
+    size = F.least(F.length("prefix"), F.lit(LEAD))
+    asked = prefixes.select("prefix", size.alias("size"), F.left("prefix", size).alias("lead"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LEAD)))).alias("size")
+    terms = dictionary_terms.select("term", sizes).select("term", "size", F.left("term", F.col("size")).alias("lead"))
+    return asked.join(terms, ["size", "lead"]).where(F.startswith("term", "prefix")).select("prefix", "term")
+
+
+# How a search uses a unit; the numbers are tags of its rows.
+REQUIRED, ANY_OF, NONE_OF = range(3)
+
+
+def tagged_units(index: SearchIndex, asks: DataFrame) -> DataFrame:
+    """``(ask, tag, unit, size, pos, term)``: all units of the asked texts; a prefix has a row per term that it begins."""
+
+    def plain(column: str, tag: int) -> DataFrame:
+        units = request_units(asks.select("ask", F.coalesce(column, F.lit("")).alias("q")), "ask")
+        return units.select("ask", F.lit(tag).alias("tag"), F.concat(F.lit("t:"), F.array_join("unit", " ")).alias("unit"), "size", "pos", "term")
+
+    rows = plain("q", REQUIRED)
+    for column, tag in (("any_of", ANY_OF), ("none_of", NONE_OF)):
+        if column in asks.columns:
+            rows = rows.unionByName(plain(column, tag))
+    if "prefix" in asks.columns:
+        begun = asks.select("ask", F.explode(tokenize(F.coalesce("prefix", F.lit("")))).alias("prefix")).distinct()
+        known = index.terms if index.terms is not None else index.postings.select("term").distinct()
+        terms = begun.join(prefix_terms(known, begun.select("prefix").distinct()), "prefix", "left")
+        unit = F.concat(F.lit("p:"), "prefix").alias("unit")  # one that begins no term stays required, without a term
+        rows = rows.unionByName(terms.select("ask", F.lit(REQUIRED).alias("tag"), unit, F.lit(1).alias("size"), F.lit(0).alias("pos"), "term"))
+    return rows
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int"))
+
+
+def _on_all_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+
+
 def batch_search(
     index: SearchIndex, requests: DataFrame, doc_licenses: DataFrame | None = None
 ) -> DataFrame:
     """Answers a table of requests together: ``(request_id, rank, doc_id, score, total_count)``.
 
     ``requests`` has request_id, q, limit, offset, license, category, include_broken,
-    include_unfree. Equal searches are answered once, however many requests ask them, and
-    only then joined to the requests; each unit meets the postings once, however many
-    searches use it.
+    include_unfree, and may have the term options any_of, none_of and prefix. Equal searches are answered once,
+    however many requests ask them, and only then joined to the requests; each unit meets the
+    postings once, however many searches use it. A frequent term's documents are salted in both joins.
     """
     what = ["q", "license", "category", "include_broken", "include_unfree"]
+    what += [c for c in ("any_of", "none_of", "prefix") if c in requests.columns]
     ask = F.sha2(F.to_json(F.struct(*what)), 256).alias("ask")
     keyed = requests.select("request_id", "limit", "offset", *what, ask)
     asks = keyed.groupBy("ask", *what).agg(F.max(_last_row()).alias("depth"))
-    asked = request_units(asks, "ask")
-    units = asked.select("unit", "size", "pos", "term").distinct()
-    found = materialize(units.join(index.postings, "term"), "found").df
+    asked = materialize(tagged_units(index, asks), "asked").df
+    units = asked.where("term IS NOT NULL").select("unit", "size", "pos", "term").distinct()
+    found = materialize(_on_all_salts(units).join(_salted(index.postings), ["term", "salt"]).drop("salt"), "found").df
     single = found.where(F.col("size") == 1).groupBy("unit", "doc_id").agg(F.sum("tf").alias("f"))
     # An occurrence of a phrase is a start position that all its tokens agree on.
     starts = found.where(F.col("size") > 1).select(
@@ -516,16 +564,22 @@ def batch_search(
     freq = materialize(single.unionByName(phrase), "frequencies").df
     n_docs, average = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
     weights = freq.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).select("unit", idf(n_docs, F.col("n")).alias("weight"))
-    wants = asked.select("ask", "unit").distinct()
-    counted = wants.join(wants.groupBy("ask").agg(F.count(F.lit(1)).alias("units")), "ask").join(weights, "unit")
-    per_doc = counted.join(freq, "unit").join(index.docs, "doc_id")
-    term_score = F.col("weight") * saturation(F.col("f"), F.col("dl"), average)
+    wants = asked.select("ask", "tag", "unit").distinct()
+    sizes = wants.groupBy("ask").agg(F.count_if(F.col("tag") == REQUIRED).alias("units"), F.count_if(F.col("tag") == ANY_OF).alias("choices"))
+    counted = wants.join(sizes, "ask").join(weights, "unit")
+    per_doc = _on_all_salts(counted).join(_salted(freq), ["unit", "salt"]).drop("salt").join(index.docs, "doc_id")
+    term_score = F.when(F.col("tag") != NONE_OF, F.col("weight") * saturation(F.col("f"), F.col("dl"), average))
     filters = [c for c in ["broken", "unfree", "category"] if c in index.docs.columns]
     hits = (
         per_doc.groupBy("ask", "doc_id", *[F.col(c).alias(f"doc_{c}") for c in filters])
-        .agg(F.sum(term_score).alias("score"), F.count(F.lit(1)).alias("got"), F.first("units").alias("units"))
-        .where(F.col("got") == F.col("units"))
-        .join(asks.drop("q"), "ask")
+        .agg(
+            F.sum(term_score).alias("score"),
+            *[F.count_if(F.col("tag") == tag).alias(name) for tag, name in ((REQUIRED, "got"), (ANY_OF, "chosen"), (NONE_OF, "unwanted"))],
+            F.max("units").alias("units"),
+            F.max("choices").alias("choices"),
+        )
+        .where("got = units AND (choices = 0 OR chosen > 0) AND unwanted = 0 AND units + choices > 0")
+        .join(asks.drop("q", "any_of", "none_of", "prefix"), "ask")
     )
     if "broken" in filters:
         hits = hits.where(F.col("include_broken") | ~F.col("doc_broken"))

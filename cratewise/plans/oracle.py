@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from cratewise.functions import category as C
 from cratewise.plans import standins as D
 from cratewise.plans.queries import SAMPLE_SIZE, SEED, TARGET
@@ -163,6 +165,33 @@ ORACLE["batch_search"] = with_parts(
     "SELECT request_id, rank, id AS doc_id, round(score, 6) AS score, total_count FROM found WHERE rank > off AND rank <= off + lim",
 )
 
+
+
+def _optioned() -> str:
+    """Hits of every text with options, by the plain rules of one search."""
+    found = []
+    for i, (q, any_of, none_of, prefix) in enumerate(D.OPTION_TEXTS):
+        required = [u for u in re.findall(r'"([^"]+)"|(\S+)', q) for u in u if u] + ([f"{prefix}*"] if prefix else [])
+        if required or any_of:
+            hits = with_parts(hits_parts(required, any_of.split(), none_of.split()), "SELECT doc_id, score, broken, category FROM hits")
+            found.append(f"SELECT {i} AS text_no, * FROM ({hits})")
+    return " UNION ALL ".join(found)
+
+
+ORACLE["batch_options"] = with_parts(
+    {
+        "requests": f"""SELECT event_id AS request_id, user_id % {len(D.OPTION_TEXTS)} AS text_no, event_id % 4 + 1 AS lim,
+                               CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS off, CASE WHEN event_id % 5 = 0 THEN 'en' END AS wanted,
+                               event_id % 2 = 0 AS include_broken FROM events""",
+        "hits_of_texts": _optioned(),
+        "found": """SELECT request_id, lim, off, doc_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) AS rank,
+                           count(*) OVER (PARTITION BY request_id) AS total_count
+                    FROM requests JOIN hits_of_texts USING (text_no)
+                    WHERE (include_broken OR NOT broken) AND (wanted IS NULL OR wanted = category)""",
+    },
+    "SELECT request_id, rank, doc_id, round(score, 6) AS score, total_count FROM found WHERE rank > off AND rank <= off + lim",
+)
+
 # --- dependency graph ---------------------------------------------------------------------------
 
 NODES = "SELECT CAST(p_partkey AS VARCHAR) AS node_id, p_name, p_size FROM part"

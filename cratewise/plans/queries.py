@@ -195,6 +195,12 @@ def batch_search(spark, sf):
     return everything(S.batch_search(text_index(spark, sf), typed, D.corpus_licenses(spark, sf)))
 
 
+@query
+def batch_options(spark, sf):
+    """Requests with any-of, none-of and prefix terms answered together."""
+    return everything(S.batch_search(text_index(spark, sf), D.option_requests(spark, sf)))
+
+
 @query
 def term_stats(spark, sf):
     """Document and collection frequency of every term."""

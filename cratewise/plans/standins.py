@@ -246,3 +246,33 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("request_id"),
         F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("params"),
     )
+
+
+# Searches with term options: required, any of, none of, prefix.
+OPTION_TEXTS = [
+    ("the", "einlich license", "cionado", "wh"),
+    ("", "in oder", "the", ""),
+    ('"the and"', "", "of", ""),
+    ("of", "that nowhere", "", "un"),
+    ("", "", "the", ""),
+    ("in", "", "", "nosuchterm"),
+    ("", "", "", "ab"),
+]
+
+
+def option_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request with term options per event."""
+    event, user = F.col("event_id"), F.col("user_id")
+    chosen = (user % len(OPTION_TEXTS) + 1).cast("int")
+    texts = [F.element_at(F.array(*[F.lit(t[i]) for t in OPTION_TEXTS]), chosen) for i in range(4)]
+    names = ["q", "any_of", "none_of", "prefix"]
+    return table(spark, sf_dir, "events").select(
+        event.alias("request_id"),
+        *[t.alias(n) for t, n in zip(texts, names, strict=True)],
+        (event % 4 + 1).cast("int").alias("limit"),
+        F.when(event % 3 == 0, 2).otherwise(0).alias("offset"),
+        F.lit(None).cast("string").alias("license"),
+        F.when(event % 5 == 0, "en").alias("category"),
+        (event % 2 == 0).alias("include_broken"),
+        F.lit(True).alias("include_unfree"),
+    )
