@@ -113,6 +113,18 @@ ORACLE["empty_search"] = "SELECT '' AS doc_id, 0.0::DOUBLE AS score, 0::BIGINT A
 ORACLE["term_options"] = with_parts(hits_parts(["the", "wh*"], ["einlich", "license"], ["cionado"]), _ALL_HITS)
 ORACLE["column_search"] = with_parts(hits_parts(["of", "src3"], columns={"src3": "name"}), _ALL_HITS)
 ORACLE["term_stats"] = with_parts(CORPUS, "SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM tok GROUP BY term")
+_CHANGED = {
+    "given": CORPUS["corpus"],
+    "corpus": """
+        SELECT id, name, CASE WHEN new THEN 'Revised in part ' || description[CAST(floor(len(description) / 2) AS INTEGER) + 1 :] ELSE description END AS description,
+               category, CASE WHEN new THEN NOT broken ELSE broken END AS broken, unfree
+        FROM (SELECT *, CAST(id AS BIGINT) % 9 = 1 AS new FROM given WHERE CAST(id AS BIGINT) % 9 <> 4)
+        UNION ALL SELECT 'new' || id, name, description, category, broken, unfree FROM given WHERE CAST(id AS BIGINT) % 9 = 7""",
+}
+ORACLE["segment_terms"] = with_parts(
+    {**_CHANGED, **{k: v for k, v in CORPUS.items() if k != "corpus"}}, "SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM tok GROUP BY term"
+)
+ORACLE["segment_search"] = page_sql({**_CHANGED, **{k: v for k, v in hits_parts(["revised", "in"]).items() if k != "corpus"}}, 40)
 ORACLE["postings_top"] = with_parts(
     CORPUS,
     "SELECT term, count(*) AS cf, count(DISTINCT (id, col)) AS postings, sum(pos)::BIGINT AS position_sum "

@@ -19,6 +19,7 @@ from cratewise.operators import quality as Q
 from cratewise.operators import quota as U
 from cratewise.operators import reach as B
 from cratewise.operators import search as S
+from cratewise.operators import segments as X
 from cratewise.operators import star as R
 from cratewise.operators.normalize import normalize, normalize_map
 from cratewise.plans import standins as D
@@ -218,6 +219,36 @@ def postings_top(spark, sf):
     return sums.orderBy(F.desc("cf"), "term").limit(100)
 
 
+def changed_index(spark: SparkSession, sf_dir: str) -> S.SearchIndex:
+    """The corpus after a third of it was replaced, deleted and added in four changes that were merged."""
+    corpus = D.corpus(spark, sf_dir)
+    path = _output(spark, "segments")
+
+    def built(docs: DataFrame) -> S.SearchIndex:
+        return S.build_index(docs, "id", S.STORE_COLUMNS, keep=["category", "broken", "unfree"])
+
+    number = F.col("id").cast("bigint")
+    X.create(built(corpus), path)
+    X.change(built(D.revised(corpus.where(number % 18 == 1))), path)
+    X.change(built(corpus.limit(0)), path, corpus.where(number % 9 == 4).select(F.col("id").alias("doc_id")))
+    X.change(built(D.revised(corpus.where(number % 18 == 10))), path)
+    X.merge(spark, path, factor=3)
+    X.change(built(corpus.where(number % 9 == 7).withColumn("id", F.concat(F.lit("new"), "id"))), path)
+    return X.read(spark, path)
+
+
+@query
+def segment_terms(spark, sf):
+    """The terms of an index after changes, as those of a fresh one."""
+    return S.term_stats(changed_index(spark, sf))
+
+
+@query
+def segment_search(spark, sf):
+    """A search in the same index."""
+    return everything(S.search(changed_index(spark, sf), "revised in", limit=40, include_broken=True, include_unfree=True))
+
+
 @query
 def document_lengths(spark, sf):
     """Token counts per document and of the corpus."""

@@ -221,6 +221,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def revised(corpus: DataFrame) -> DataFrame:
+    """Documents in a new version: their texts from the second half on, with a word more."""
+    half = F.expr("substring(description, CAST(length(description) / 2 AS INT) + 1)")
+    return corpus.withColumns({"description": F.concat(F.lit("Revised in part "), half), "broken": ~F.col("broken")})
+
+
 def corpus_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, short_name)`` links for the license filter."""
     return table(spark, sf_dir, "labels").select(
