@@ -25,6 +25,7 @@ from cratewise.operators.normalize import normalize, normalize_map
 from cratewise.plans import standins as D
 from cratewise.session import materialize, run_folder
 from cratewise.sources import catalog as L
+from cratewise.sources import changes as H
 from cratewise.sources import documents as O
 from cratewise.sources.snapshot import explode_map, read_snapshot, write_snapshot
 
@@ -776,10 +777,8 @@ def package_table(spark, sf):
     return R.package_table(M.merge_variants(stored_packages(spark, sf))).drop("content_hash")
 
 
-@query
-def denormalized(spark, sf):
-    """Documents rebuilt from the star schema."""
-    docs = L.catalog_documents(R.build_catalog(stored_packages(spark, sf)))
+def _flat_documents(catalog: R.Catalog) -> DataFrame:
+    docs = L.catalog_documents(catalog)
     people = F.transform("maintainers", lambda p: F.concat_ws("/", p["name"], p["email"], p["github"], p["githubId"].cast("string")))
     return docs.select(
         "package_id",
@@ -791,6 +790,43 @@ def denormalized(spark, sf):
     )
 
 
+@query
+def denormalized(spark, sf):
+    """Documents rebuilt from the star schema."""
+    return _flat_documents(R.build_catalog(stored_packages(spark, sf)))
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> tuple[R.Catalog, H.Change]:
+    """A catalog of another snapshot brought to the given one: orders added, changed and gone."""
+    packages = stored_packages(spark, sf_dir)
+    order = F.regexp_extract("drv_path", r"^/store/(\d+)-", 1).cast("bigint") % 21111
+    earlier = packages.where(order != 7).withColumn("description", F.when(order == 9, F.concat(F.lit("Before "), "description")).otherwise(F.col("description")))
+    gone = packages.where(order == 11).withColumn("package_id", F.concat(F.lit("old-"), "package_id"))
+    path = _output(spark, "refreshed")
+    H.write_parted(materialize(earlier.unionByName(gone), "earlier").df, path)
+    change = H.refresh_parted(packages, path, 0)
+    return L.read_catalog(spark, path), change
+
+
+@query
+def refreshed_packages(spark, sf):
+    """The package table after a refresh by change."""
+    return refreshed(spark, sf)[0].packages.drop("content_hash", "part")
+
+
+@query
+def refreshed_documents(spark, sf):
+    """Documents rebuilt from a catalog after a refresh by change."""
+    return _flat_documents(refreshed(spark, sf)[0])
+
+
+@query
+def refresh_counts(spark, sf):
+    """A4: what a refresh by change found and left alone."""
+    change = refreshed(spark, sf)[1]
+    return spark.createDataFrame([(change.changed, change.removed, change.touched, change.untouched)], "changed bigint, removed bigint, touched bigint, untouched bigint")
+
+
 @query
 def coverage(spark, sf):
     """Packages with a license, maintainers, platforms."""
