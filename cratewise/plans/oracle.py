@@ -625,8 +625,8 @@ ORACLE["refreshed_documents"] = ORACLE["denormalized"]
 ORACLE["refresh_counts"] = clean_sql(
     """SELECT count(*) FILTER (kind = 1) AS changed, count(*) FILTER (kind = 2) AS removed, count(DISTINCT part) FILTER (kind > 0) AS touched,
               count(DISTINCT part) - count(DISTINCT part) FILTER (kind > 0) AS untouched
-       FROM (SELECT package_id, max(CASE WHEN l_orderkey % 2111 IN (7, 9) THEN 1 ELSE 0 END) AS kind, left(md5(package_id), 2) AS part FROM clean GROUP BY package_id
-             UNION ALL SELECT DISTINCT 'old-' || package_id, 2, left(md5('old-' || package_id), 2) FROM clean WHERE l_orderkey % 2111 = 11)"""
+       FROM (SELECT package_id, max(CASE WHEN l_orderkey % 20011 IN (7, 9) THEN 1 ELSE 0 END) AS kind, left(md5(package_id), 1) AS part FROM clean GROUP BY package_id
+             UNION ALL SELECT DISTINCT 'old-' || package_id, 2, left(md5('old-' || package_id), 1) FROM clean WHERE l_orderkey % 20011 = 11)"""
 )
 ORACLE["coverage"] = merged_sql(
     """SELECT count(*) AS packages, count(*) FILTER (WHERE len(licenses) > 0) AS with_license,
