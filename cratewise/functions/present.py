@@ -116,3 +116,39 @@ def result_json(columns: list[str]) -> Column:
     """One search hit as a JSON text; ``to_json`` leaves null fields out."""
     names = {**RESULT_FIELDS, **OPTIONAL_FIELDS}
     return F.to_json(F.struct(*[F.col(c).alias(n) for c, n in names.items() if c in columns]))
+
+
+def package_json(columns: list[str]) -> Column:
+    """One package of an answer: twelve fields always, null where unknown, and the other seven where they are known."""
+    shown = [F.col(c).alias(n) for c, n in RESULT_FIELDS.items() if c in columns]
+    more = [F.col(c).alias(n) for c, n in OPTIONAL_FIELDS.items() if c in columns]
+    always = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
+    if not more:
+        return always
+    rest = F.to_json(F.struct(*more))
+    return F.when(rest == "{}", always).otherwise(F.concat(F.regexp_replace(always, r"\}$", ","), F.substring(rest, 2, 2**31 - 1)))
+
+
+def search_answers(requests: DataFrame, hits: DataFrame, search_type: str = "fts") -> DataFrame:
+    """``(request_id, body)``: the answer to every request as JSON.
+
+    ``requests`` has request_id, query and query_time_ms; ``hits`` one row per package of a request's page with request_id, rank,
+    total_count and the package's columns, best first by rank. A request without hits has an empty list and the total 0.
+    """
+    page = hits.select("request_id", "rank", "total_count", package_json(hits.columns).alias("json"))
+    pages = page.groupBy("request_id").agg(
+        F.max("total_count").alias("total_count"), F.sort_array(F.collect_list(F.struct("rank", "json"))).alias("rows")
+    )
+    head = F.to_json(
+        F.struct(
+            F.lit("Search completed").alias("message"),
+            F.col("query"),
+            F.coalesce("total_count", F.lit(0)).alias("total_count"),
+            F.col("query_time_ms").cast("double").alias("query_time_ms"),
+            F.lit(search_type).alias("search_type"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    packages = F.coalesce(F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit(""))
+    body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"packages":['), packages, F.lit("]}"))
+    return requests.join(pages, "request_id", "left").select("request_id", body.alias("body"))

@@ -223,6 +223,23 @@ def cycles(edges: DataFrame, components: DataFrame, limit: int | None = None) ->
     return walks(inside, starts, goals).select(F.col("walk").alias("component"), F.col("path").alias("cycle"))
 
 
+def edge_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """``(component, cycle)``: a shortest cycle through every edge that lies on one, each cycle once.
+
+    For each edge inside a component the shortest way back from its end to its start, the smallest by ids among
+    equals; all edges walk together. A cycle is written closed, from its smallest node.
+    """
+    inner = materialize(cycle_edges(edges, components).withColumn("walk", F.concat_ws("\x01", "src", "dst")), "inner").df
+    starts = inner.select("walk", F.col("dst").alias("at"), F.array("dst").alias("path"))
+    goals = inner.select("walk", F.col("src").alias("goal"))
+    back = walks(inner.select("src", "dst"), starts, goals)
+    # the way back ends at the edge's start; from the smallest node on, and closed
+    least = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", least, F.size("path")), F.slice("path", F.lit(1), least))
+    found = back.join(inner.select("walk", "component"), "walk").select("component", turned.alias("cycle"))
+    return found.distinct()
+
+
 def graph_summary(edges: DataFrame, vertices: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """The statistics row: degrees, and how many components of either kind there are.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewise.operators.sequence import running_totals
+from cratewise.session import materialize
 
 # The minute, and the two budgets for it.
 WINDOW_MICROS = 60_000_000
@@ -64,3 +67,72 @@ def batch_slots(
     share = F.col("cum_requests") * max_tokens + F.col("cum_tokens") * max_requests
     whole = F.lit(max_requests * max_tokens)
     return totals.withColumn("slot", ((share - F.pmod(share, whole)) / whole).cast("bigint"))
+
+
+def exact_slots(
+    texts: DataFrame,
+    order: list[str],
+    tokens: Column,
+    max_requests: int = MAX_REQUESTS,
+    max_tokens: int = MAX_TOKENS,
+) -> DataFrame:
+    """Minute slots as one reader would fill them: a slot takes texts in order until the next one would exceed a budget.
+
+    A text above the token budget has a slot of its own. Where the slot that begins at a text ends is known from running totals
+    alone. Each range of texts then is a function from the first beginning in it to the first behind it, which is needed for its
+    first ``max_requests`` texts only, as no slot is longer; functions are joined by doubling, so the ranges that a cluster
+    reads in parallel break where the sequential rule does.
+    """
+    counted = materialize(texts.withColumn("_tokens", F.coalesce(tokens, F.lit(0)).cast("bigint")), "counted").df
+    placed = running_totals(counted, order, {"nth": F.lit(1).cast("bigint"), "used": F.col("_tokens")})
+    rows = materialize(placed.withColumn("at", F.col("nth") - 1), "placed").df
+    # the first text that does not fit with the one at ``at``: a count of running totals, both sides in one order
+    own = rows.select(F.col("used").alias("value"), F.lit(0).alias("asks"), "at")
+    asks = rows.select((F.col("used") - F.col("_tokens") + max_tokens).alias("value"), F.lit(1).alias("asks"), "at")
+    merged = running_totals(own.unionByName(asks), ["value", "asks", "at"], {"fits": 1 - F.col("asks")}).where("asks = 1")
+    ends = F.greatest(F.least(F.col("fits"), F.col("at") + max_requests), F.col("at") + 1).cast("bigint")
+    jumps = merged.select("at", ends.alias("next")).repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    jumps = materialize(jumps, "jumps").df
+    bounds = [(r["low"], r["high"]) for r in jumps.groupBy("part").agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy("low").collect()]
+    spark = texts.sparkSession
+    ranges = spark.createDataFrame([(i, low, high + 1) for i, (low, high) in enumerate(bounds)], "range int, low bigint, stop bigint")
+    inside = materialize(jumps.join(F.broadcast(ranges), F.col("at").between(F.col("low"), F.col("stop") - 1)).select("range", "low", "stop", "at", "next"), "ranges").df
+
+    def leave(table: pa.Table) -> pa.Table:
+        """From each of the first texts of a range: the first slot behind it, and the slots begun in it."""
+        by = table.sort_by("at")
+        low, stop, jump = by["low"][0].as_py(), by["stop"][0].as_py(), by["next"].to_numpy()
+        to, slots = jump.copy(), np.ones(len(jump), np.int64)
+        for i in range(len(jump) - 1, -1, -1):
+            if jump[i] < stop:
+                to[i], slots[i] = to[jump[i] - low], slots[jump[i] - low] + 1
+        n = min(len(jump), max_requests + 1)
+        return pa.table({"range": by["range"].slice(0, n), "entry": by["at"].slice(0, n), "to": to[:n], "slots": slots[:n]})
+
+    shape = "range int, entry bigint, to bigint, slots bigint"
+    steps = [materialize(inside.groupBy("range").applyInArrow(leave, shape), "steps").df]
+    while 2 ** len(steps) < len(bounds):  # over twice as many ranges each time; a slot may pass a short range by
+        far = steps[-1].select((F.col("range") - 2 ** (len(steps) - 1)).alias("range"), F.col("entry").alias("to"), F.col("to").alias("then"), F.col("slots").alias("more"))
+        both = steps[-1].join(far, ["range", "to"], "left")
+        steps.append(materialize(both.select("range", "entry", F.coalesce("then", "to").alias("to"), (F.col("slots") + F.coalesce("more", F.lit(0))).alias("slots")), "steps").df)
+    entries = spark.createDataFrame([(0, 0, 0)] if bounds else [], "range int, entry bigint, before bigint")
+    for k in reversed(range(len(steps))):
+        ahead = entries.join(steps[k], ["range", "entry"], "left").select(
+            (F.col("range") + 2**k).cast("int").alias("range"), F.coalesce("to", "entry").alias("entry"), (F.col("before") + F.coalesce("slots", F.lit(0))).alias("before")
+        )
+        entries = materialize(entries.unionByName(ahead.where(F.col("range") < len(bounds))), "entries").df
+    entered = inside.join(F.broadcast(entries), "range")  # a row per range
+
+    def number(table: pa.Table) -> pa.Table:
+        """The slot of every text of a range, given the first beginning in it and the slots before."""
+        by = table.sort_by("at")
+        low, at, jump = by["low"][0].as_py(), by["at"].to_numpy(), by["next"].to_numpy()
+        begins, place = [], by["entry"][0].as_py()
+        while place - low < len(jump):
+            begins.append(place)
+            place = int(jump[place - low])
+        slot = by["before"][0].as_py() + np.searchsorted(np.array(begins, np.int64), at, side="right") - 1
+        return pa.table({"at": at, "slot": slot.astype(np.int64)})
+
+    slots = entered.groupBy("range").applyInArrow(number, "at bigint, slot bigint")
+    return rows.join(slots, "at").select(*texts.columns, "slot")

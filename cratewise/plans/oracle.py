@@ -331,6 +331,39 @@ def _reach_pages(key: str, item: str) -> str:
     )
 
 
+ORACLE["paged_nodes_written"] = with_parts(
+    {
+        **LAYERED,
+        **REACH,
+        "placed": "SELECT node_id AS member, (row_number() OVER (ORDER BY node_id) - 1) // 512 AS page FROM nodes",
+        "related": """SELECT src AS node_id, 'direct_dependencies' AS relation, dst AS item FROM edges UNION ALL SELECT dst, 'direct_dependents', src FROM edges
+                      UNION ALL SELECT src, 'all_dependencies', dst FROM reach UNION ALL SELECT dst, 'all_dependents', src FROM reach""",
+    },
+    """SELECT node_id, p_name, relation, count(*) AS count, count(DISTINCT page) AS pages, md5(string_agg(item, '|' ORDER BY item)) AS items_md5
+       FROM related JOIN placed ON member = item JOIN nodes USING (node_id) WHERE p_size = 15 GROUP BY node_id, p_name, relation""",
+    recursive=True,
+)
+ORACLE["layered_scc_members"] = with_parts({**LAYERED, **REACH, **_MUTUAL}, "SELECT node_id, component FROM strong", recursive=True)
+_NEAR = {"far_edges": LAYERED["edges"], "edges": "SELECT * FROM far_edges WHERE abs(CAST(src AS BIGINT) - CAST(dst AS BIGINT)) <= 20", "nodes": NODES}
+ORACLE["edge_cycles"] = with_parts(
+    {
+        **_NEAR,
+        **REACH,
+        **_MUTUAL,
+        "inside": _CYCLE_EDGES,
+        "steps": """SELECT src, dst, 1 AS hops FROM inside
+                    UNION SELECT s.src, e.dst, s.hops + 1 FROM steps s JOIN inside e ON s.dst = e.src WHERE s.hops < 40""",
+        "best": "SELECT src, dst, min(hops) AS hops FROM steps GROUP BY src, dst",
+        "paths": """SELECT i.src AS goal, i.dst AS first, i.component, i.dst AS place, [i.dst] AS path, b.hops AS rest FROM inside i JOIN best b ON b.src = i.dst AND b.dst = i.src
+                    UNION ALL SELECT p.goal, p.first, p.component, e.dst, list_append(p.path, e.dst), p.rest - 1
+                    FROM paths p JOIN inside e ON e.src = p.place LEFT JOIN best b ON b.src = e.dst AND b.dst = p.goal
+                    WHERE p.rest > 0 AND (e.dst = p.goal AND p.rest = 1 OR b.hops = p.rest - 1)""",
+        "back": "SELECT goal, first, component, min(path) AS path FROM paths WHERE rest = 0 GROUP BY goal, first, component",
+        "turned": "SELECT component, path, list_position(path, list_min(path)) AS k FROM back",
+    },
+    "SELECT DISTINCT component, array_to_string(list_concat(path[k:], path[1:k]), '|') AS cycle FROM turned",
+    recursive=True,
+)
 ORACLE["layered_dependency_pages"] = _reach_pages("src", "dst")
 ORACLE["layered_dependent_pages"] = _reach_pages("dst", "src")
 # The same over all lines.
@@ -732,11 +765,41 @@ ORACLE["enriched_results"] = """
            p_partkey % 5 IN (1, 2) AS unfree, CASE WHEN p_partkey % 2 = 0 THEN 'tools' ELSE 'misc' END AS category,
            p_partkey % 3 = 0 AS broken, 0::INTEGER AS n_maintainers,
            CASE WHEN p_partkey % 2 = 0 THEN concat('p', p_partkey) ELSE concat('other.p', p_partkey) END AS display_name FROM part"""
+_PACKAGE = """concat('{"packageId":"p', p_partkey, '","packageName":', to_json(p_name), ',"version":"', p_size,
+    '","description":', CASE WHEN p_size > 25 THEN to_json('A "' || p_type || '"') ELSE 'null' END, ',"homepage":', CASE WHEN p_size % 2 = 0 THEN to_json('https://e.org/' || p_partkey) ELSE 'null' END,
+    ',"license":"', p_brand, '","attributePath":"pkgs.p', p_partkey, '","category":', CASE WHEN p_size % 3 = 0 THEN '"tools"' ELSE 'null' END,
+    ',"broken":', l_returnflag = 'R', ',"unfree":', l_linenumber = 2, ',"available":true,"relevanceScore":', to_json(CAST(l_quantity AS INTEGER) / 4),
+    CASE WHEN p_size % 5 = 0 THEN concat(',"maintainers":[{"name":"', p_brand, '"}]') END, CASE WHEN p_size % 7 = 0 THEN ',"platforms":["a-linux","b-linux"]' END,
+    CASE WHEN p_size % 4 = 1 THEN ',"longDescription":"long"' END, CASE WHEN p_size % 4 = 2 THEN concat(',"mainProgram":"run-', p_partkey, '"') END,
+    CASE WHEN p_size % 4 = 3 THEN ',"position":"f.nix:1"' END, CASE WHEN p_size % 6 = 0 THEN ',"outputsToInstall":["out"]' END,
+    CASE WHEN p_size % 8 = 0 THEN ',"lastUpdated":"2024"' END, '}')"""
+ORACLE["search_answers"] = f"""
+    WITH hits AS (
+        SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS total, {_PACKAGE} AS json
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 25),
+    pages AS (SELECT l_orderkey, max(total) AS total, string_agg(json, ',' ORDER BY l_linenumber, json) AS list FROM hits WHERE l_linenumber <= 3 GROUP BY l_orderkey)
+    SELECT o_orderkey AS request_id, concat('{{"message":"Search completed","query":', to_json(o_orderpriority), ',"total_count":', coalesce(total, 0),
+           ',"query_time_ms":', to_json(o_orderkey % 40 / 4), ',"search_type":"fts","packages":[', coalesce(list, ''), ']}}') AS body
+    FROM orders LEFT JOIN pages ON l_orderkey = o_orderkey"""
+ORACLE["list_caps"] = """
+    SELECT l_orderkey, coalesce(string_agg('s' || l_suppkey, '|' ORDER BY l_linenumber, l_suppkey) FILTER (i <= 3 AND l_linenumber % 3 <> 0), '') AS platforms,
+           coalesce(string_agg('s' || l_suppkey, '|' ORDER BY l_linenumber, l_suppkey) FILTER (k <= 2 AND l_linenumber % 3 <> 1), '') AS maintainers
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS i,
+                 count(*) FILTER (l_linenumber % 3 <> 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey ROWS UNBOUNDED PRECEDING) AS k FROM lineitem)
+    GROUP BY l_orderkey"""
 ORACLE["result_envelope"] = """
     SELECT concat('p', p_partkey) AS package_id,
            concat('{"packageId":"p', p_partkey, '","packageName":"', p_name, '","broken":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END,
                   CASE WHEN p_size > 20 THEN concat(',"mainProgram":"', p_brand, '"') ELSE '' END, '}') AS json FROM part"""
 _ESTIMATE = r"greatest(length(text) // 4, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))"
+ORACLE["exact_slots"] = f"""
+    WITH RECURSIVE texts AS (SELECT doc_id, ({_ESTIMATE})::BIGINT AS tokens, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+    filled AS (
+        SELECT doc_id, tokens, i, 0::BIGINT AS slot, 1 AS n, tokens AS used FROM texts WHERE i = 1
+        UNION ALL
+        SELECT t.doc_id, t.tokens, t.i, f.slot + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN 1 ELSE f.n + 1 END, CASE WHEN fresh THEN t.tokens ELSE f.used + t.tokens END
+        FROM filled f JOIN texts t ON t.i = f.i + 1, LATERAL (SELECT f.n + 1 > 7 OR f.used + t.tokens > 4000 AS fresh))
+    SELECT doc_id, tokens, slot FROM filled"""
 ORACLE["token_estimate"] = f"SELECT doc_id, ({_ESTIMATE})::BIGINT AS tokens FROM documents"
 
 

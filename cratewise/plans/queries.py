@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cratewise.functions import category as C
 from cratewise.functions import present as P
 from cratewise.functions import text as T
+from cratewise.functions import variant as V
 from cratewise.operators import components as K
 from cratewise.operators import graph as G
 from cratewise.operators import merge as M
@@ -466,6 +467,34 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("node_id", "page", F.size("items").alias("n"), F.md5(joined(F.col("items"))).alias("items_md5"))
 
 
+@query
+def paged_nodes_written(spark, sf):
+    """Node documents with paged lists over all lines, written, and looked up for the parts of one size."""
+    edges, nodes = layered_graph(spark, sf)
+    path = _output(spark, "nodes")
+    O.write_paged_nodes(nodes, B.all_pages(edges, nodes, width=512), path)
+    docs, pages = O.read_paged_nodes(spark, path, nodes.where("p_size = 15"))
+    relation = F.explode(F.from_json(F.get_json_object("doc", "$.relations"), "map<string, struct<count: bigint, pages: bigint>>")).alias("relation", "of")
+    listed = pages.groupBy("node_id", "relation").agg(F.md5(joined(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "items"))), lambda p: p["items"])))).alias("items_md5"))
+    told = docs.select("node_id", F.get_json_object("doc", "$.p_name").alias("p_name"), relation).select("node_id", "p_name", "relation", "of.count", "of.pages")
+    return told.join(listed, ["node_id", "relation"])
+
+
+@query
+def layered_scc_members(spark, sf):
+    """Strong components of a graph with many of them, over all lines."""
+    return K.scc(*layered_graph(spark, sf))
+
+
+@query
+def edge_cycles(spark, sf):
+    """I8: a shortest cycle through every edge on a cycle, as a path, in a graph with many components over all lines."""
+    edges, nodes = layered_graph(spark, sf)
+    near = edges.where("abs(CAST(src AS BIGINT) - CAST(dst AS BIGINT)) <= 20")
+    found = K.edge_cycles(near, materialize(K.scc(near, nodes), "scc").df)
+    return found.select("component", joined(F.col("cycle")).alias("cycle"))
+
+
 @query
 def layered_dependency_pages(spark, sf):
     """All dependencies of every node over all lines, in pages of 512 nodes."""
@@ -1074,6 +1103,44 @@ def result_envelope(spark, sf):
     return rows.select("package_id", P.result_json(rows.columns).alias("json"))
 
 
+@query
+def search_answers(spark, sf):
+    """Whole answers with all 19 fields of their packages, one per order."""
+    orders, lines = D.table(spark, sf, "orders"), D.table(spark, sf, "lineitem").join(D.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    requests = orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("query"), (F.col("o_orderkey") % 40 / 4).alias("query_time_ms"))
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    found = lines.where("l_quantity >= 25").select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("total_count"),
+        F.concat(F.lit("p"), key).alias("package_id"), F.col("p_name").alias("package_name"), size.cast("string").alias("version"),
+        F.when(size > 25, F.concat(F.lit('A "'), "p_type", F.lit('"'))).alias("description"), F.when(size % 2 == 0, F.concat(F.lit("https://e.org/"), key)).alias("homepage"),
+        F.col("p_brand").alias("license"), F.concat(F.lit("pkgs.p"), key).alias("attribute_path"), F.when(size % 3 == 0, "tools").alias("category"),
+        (F.col("l_returnflag") == "R").alias("broken"), (F.col("l_linenumber") == 2).alias("unfree"), F.lit(True).alias("available"), (F.col("l_quantity").cast("int") / 4).alias("relevance_score"),
+        F.when(size % 5 == 0, F.array(F.struct(F.col("p_brand").alias("name")))).alias("maintainers"), F.when(size % 7 == 0, F.array(F.lit("a-linux"), F.lit("b-linux"))).alias("platforms"),
+        F.when(size % 4 == 1, F.lit("long")).alias("long_description"), F.when(size % 4 == 2, F.concat(F.lit("run-"), key)).alias("main_program"), F.when(size % 4 == 3, F.lit("f.nix:1")).alias("position"),
+        F.when(size % 6 == 0, F.array(F.lit("out"))).alias("outputs_to_install"), F.when(size % 8 == 0, F.lit("2024")).alias("last_updated"),
+    )
+    return P.search_answers(requests, found.where("rank <= 3"))
+
+
+@query
+def list_caps(spark, sf):
+    """lists and texts cut as publishers ask for: items first, then what is no item."""
+    lines = D.table(spark, sf, "lineitem")
+    name = F.concat(F.lit("s"), "l_suppkey")
+    system = F.when(F.col("l_linenumber") % 3 == 0, F.lit('{"cpu":"x"}')).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    person = F.when(F.col("l_linenumber") % 3 == 1, F.lit('{"name":""}')).otherwise(F.concat(F.lit('{"name":"'), name, F.lit('"}')))
+    row = F.struct("l_linenumber", "l_suppkey", system.alias("system"), person.alias("person"))
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def parsed(member: str) -> Column:
+        return F.try_parse_json(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r[member]), ","), F.lit("]")))
+
+    typed = lists.select("l_orderkey", parsed("system").alias("systems"), parsed("person").alias("people"))
+    platforms = V.platforms(F.col("systems"), V.kind(F.col("systems")), cap=3)
+    people = V.maintainers(F.col("people"), V.kind(F.col("people")), cap=2)
+    return typed.select("l_orderkey", joined(platforms).alias("platforms"), joined(F.transform(people, lambda m: m["name"])).alias("maintainers"))
+
+
 @query
 def request_params(spark, sf):
     """Typed request fields."""
@@ -1081,6 +1148,13 @@ def request_params(spark, sf):
     return requests.select("request_id", *[c.alias(n) for n, c in P.request_columns(F.col("params")).items()])
 
 
+@query
+def exact_slots(spark, sf):
+    """Minute slots that break where a sequential reader's would, budgets small enough for many slots."""
+    texts = D.table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return U.exact_slots(texts, ["doc_id"], F.col("tokens"), max_requests=7, max_tokens=4000)
+
+
 @query
 def token_estimate(spark, sf):
     """Token estimates."""
