@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cratewise.llm.dom import Block, blocks
-from cratewise.llm.labelled import labelled_pages
+from cratewise.llm.labelled import TELLING, labelled_pages
 from cratewise.llm.words import text_chunks
 
 STEPS, RATE, PENALTY = 150, 0.15, 2e-4
@@ -43,10 +43,9 @@ def features(page: list[Block]) -> list[list[str]]:
         n = b.text.count(" ") + 1
         low = b.text.lower() if n <= 30 else ""
         own = [t for t in b.tags if t != "html"]
-        last = next((t for t in reversed(own) if t not in ("a", "b", "i", "em", "strong", "span", "font", "u", "small")), "none")
         names = [
             "bias",
-            f"tag={last}",
+            f"tag={b.last}",
             *{f"in={t}" for t in own},
             *[f"word={w}" for w in b.words],
             f"length={sum(n > x for x in _LENGTHS)}",
@@ -55,8 +54,13 @@ def features(page: list[Block]) -> list[list[str]]:
             f"headed={headed}",
         ]
         names += [f"says={k}" for k, words in SAYS.items() if any(w in low for w in words)]
+        for outer, inner in (("article", "header"), ("article", "footer"), ("main", "header"), ("td", "h1"), ("td", "p")):
+            if outer in own and inner in own and own.index(outer) < own.index(inner):
+                names.append(f"in={outer}>{inner}")
+        names.append(f"long={n > 5}, linked={2 * b.linked > len(b.text)}, named={bool(b.words)}")
         if i == 0 or i == len(page) - 1:
             names.append("first" if i == 0 else "last")
+            names.append(f"{names[-1]}, linked={2 * b.linked > len(b.text)}")
         headed |= "h1" in own
         out.append(names)
     return out
@@ -89,7 +93,7 @@ class Model:
 
 def train(pages: list[tuple[str, list[bool]]]) -> Model:
     """Maximum conditional likelihood with an L2 penalty; all pages take each step of the chain together."""
-    chains = [features(blocks(html)) for html, _ in pages]
+    chains = [features(blocks(html, TELLING)) for html, _ in pages]
     index = {f: i for i, f in enumerate(sorted({f for c in chains for b in c for f in b}))}
     n, longest = len(chains), max(map(len, chains))
     x = np.zeros((sum(map(len, chains)), len(index)), np.float32)
@@ -130,7 +134,7 @@ def train(pages: list[tuple[str, list[bool]]]) -> Model:
 
 
 def main_text(html: str, model: Model) -> str:
-    page = blocks(html)
+    page = blocks(html, TELLING)
     return "\n".join(b.text for b, main in zip(page, model.decode(page), strict=True) if main)
 
 

@@ -19,18 +19,24 @@ RAW_TAGS = frozenset("script style title textarea".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article aside nav header footer main form blockquote body".split())
 SPACED_TAGS = frozenset("br img input wbr".split())
+#: Tags of running text; with the others, all that a block tells of.
+INLINE_TAGS = frozenset("a b i em strong span font u small".split())
+TOLD_TAGS = BLOCK_TAGS | INLINE_TAGS | frozenset("code sub sup q cite time mark kbd abbr del ins svg math noscript template iframe".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A slash that belongs to a value without quotes closes nothing.
+_OWN_SLASH = re.compile(r"=[^\s\"']*/\Z")
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    tags: tuple[str, ...]  # open tags, outermost first
+    tags: tuple[str, ...]  # distinct open tags, outermost first
     words: frozenset[str] = field(default_factory=frozenset)  # of their classes, ids and roles
+    last: str = "none"  # the innermost tag that is not of running text
 
 
 def _names(attributes: str) -> frozenset[str]:
@@ -43,13 +49,16 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def blocks(html: str) -> list[Block]:
+def blocks(html: str, telling: frozenset[str] | None = None) -> list[Block]:
     """The non-empty blocks of a page in order; scripts, styles, titles and comments are no text.
 
-    Works on any string: unclosed, crossed and cut-off tags end where their surroundings do.
+    Works on any string: unclosed, crossed and cut-off tags end where their surroundings do. Open tags and the words
+    of their names (only those in ``telling``, if given) are counted beside the stack, so a block costs the same at any depth.
     """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], str]] = []
+    open_tags: dict[str, int] = {}
+    open_words: dict[str, int] = {}
     parts: list[str] = []
     endless: set[str] = set()  # raw tags that have no end from here on
     linked = 0
@@ -59,11 +68,26 @@ def blocks(html: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            tags = tuple(t for t, _ in stack)
-            words = frozenset().union(*(w for t, w in stack if t not in ("html", "body")))
-            out.append(Block(text, min(linked, len(text)), tags, words))
+            tags = tuple(t for t in open_tags if t in TOLD_TAGS)
+            out.append(Block(text, min(linked, len(text)), tags, frozenset(open_words), stack[-1][2] if stack else "none"))
         linked = 0
 
+    def push(name: str, words: frozenset[str]) -> None:
+        last = name if name not in INLINE_TAGS and name != "html" else stack[-1][2] if stack else "none"
+        stack.append((name, words, last))
+        open_tags[name] = open_tags.get(name, 0) + 1
+        for w in words:
+            open_words[w] = open_words.get(w, 0) + 1
+
+    def pop() -> str:
+        name, words, _ = stack.pop()
+        for counts, keys in ((open_tags, (name,)), (open_words, words)):
+            for key in keys:
+                counts[key] -= 1
+                if not counts[key]:
+                    del counts[key]
+        return name
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.match(html, at)
@@ -79,15 +103,15 @@ def blocks(html: str) -> list[Block]:
                     continue
                 piece = unescape(piece)
                 parts.append(piece)
-                if any(t == "a" for t, _ in stack):
+                if "a" in open_tags:
                     linked += len(piece.strip())
             continue
         name = name.lower()
         if m[1]:
-            if any(t == name for t, _ in stack):
+            if name in open_tags:
                 if name in BLOCK_TAGS:
                     flush()
-                while stack.pop()[0] != name:
+                while pop() != name:
                     pass
             continue
         if name in RAW_TAGS:
@@ -100,15 +124,17 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCK_TAGS:
             flush()
             closes = CLOSES.get(name, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(t in open_tags for t in closes) else ():
                 if stack[k][0] in closes:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     break
                 if stack[k][0] in SCOPES:
                     break
         elif name in SPACED_TAGS:
             parts.append(" ")
-        if name not in VOID_TAGS and not m[3].endswith("/"):
-            stack.append((name, _names(m[3]) if "=" in m[3] else frozenset()))
+        if name not in VOID_TAGS and not (m[3].endswith("/") and not _OWN_SLASH.search(m[3][-200:])):
+            words = _names(m[3]) if "=" in m[3] and name not in ("html", "body") else frozenset()
+            push(name, words if telling is None else words & telling)
     flush()
     return out

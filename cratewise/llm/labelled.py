@@ -23,6 +23,13 @@ FORMS = ["form", "search", "search-form", "newsletter", "subscribe", "signup", "
 COMMENTS = ["comment", "comments", "comment-list", "responses", "replies", "discussion", "reviews", "disqus", "user-comments", "reader-comments", "respond"]
 SHARES = ["share", "social", "share-buttons", "follow", "sharing", "social-links"]
 BODIES = ["content", "post", "entry", "article", "main", "entry-content", "post-body", "article-body", "story", "text", "page-content", "main-content"]
+#: Words of these names as ``dom`` reads them; other names tell nothing.
+TELLING = frozenset(
+    w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+    for names in (MENUS, HEADS, FEET, SIDES, NOTICES, ADVERTS, FORMS, COMMENTS, SHARES, BODIES, ["reply", "response", "wrapper", "dialog"])
+    for name in names
+    for w in name.split("-")
+)
 
 
 class _Maker:
@@ -41,6 +48,12 @@ class _Maker:
         other = f"{self.r.choice(['c', 'x', 'col', 'box'])}-{self.r.randint(1, 9)}"
         return f'<{tag} {where}="{self.r.choice([name, name + " " + other, other + " " + name])}">{inner}</{tag}>'
 
+    def unnamed(self, tag: str, inner: str) -> str:
+        """An element without a name, or with one that tells nothing."""
+        r = self.r
+        name = r.choice(["", "", f"css-{r.randint(1, 99)}", f"sc-{r.choice('abcdk')}{r.randint(1, 99)}", f"{r.choice('qrxyz')}{r.randint(1, 9)}", "root", "wrap", "inner", "row"])
+        return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
+
     def link(self, text: str) -> str:
         return f'<a href="/{self.r.randint(1, 999)}">{text}</a>'
 
@@ -137,6 +150,51 @@ class _Maker:
             out = f"<ol>{out}</ol>"
         return self.named(self.r.choice(["section", "div"]), COMMENTS, out), labels
 
+    def plain_menu(self) -> Piece:
+        """Links in a row or in elements of their own, as themes without telling names have them."""
+        n = self.r.randint(1, 6)
+        items = [self.link(self.r.choice(["Home", "About", "News", "Contact", self.words(1, 2)])) for _ in range(n)]
+        if self.r.random() < 0.5:
+            return self.unnamed("div", " ".join(items)), [False]
+        return self.unnamed("div", "".join(self.unnamed(self.r.choice(["div", "p"]), x) for x in items)), [False] * n
+
+    def plain_foot(self) -> Piece:
+        text = self.r.choice([f"&copy; 2021 {self.words(1, 3)}", f"Copyright {self.words(1, 3)}. All rights reserved.", f"{self.link('Privacy')} {self.link('Terms of use')}"])
+        return self.unnamed(self.r.choice(["div", "p"]), text), [False]
+
+    def bare_page(self) -> tuple[str, list[bool]]:
+        """A page whose article stands in no telling container; what is around it is told by links and phrases."""
+        r = self.r
+        if r.random() < 0.25:  # text with line breaks instead of paragraphs
+            inner = "<br><br>".join(self.sentences(1, 4) for _ in range(r.randint(2, 6)))
+            labels = [True]
+            if r.random() < 0.6:
+                inner, labels = f"<h1>{self.words(2, 9)}</h1>{inner}", [True, True]
+        else:
+            text: list[Piece] = [(f"<h1>{self.words(2, 12)}</h1>", [True])] if r.random() < 0.85 else [self.paragraph()]
+            text += [self.body() if r.random() < 0.6 else self.paragraph() for _ in range(r.choice([1, 2, 3, 4, 8]))]
+            inner, labels = "".join(p for p, _ in text), [x for _, own in text for x in own]
+        before = [f() for f in (self.plain_menu, self.menu, self.head, self.plain_menu) if r.random() < 0.45]
+        after = [f() for f in (self.plain_menu, self.comments, self.side, self.foot, self.plain_foot) if r.random() < 0.35]
+        form = r.randint(0, 5)
+        if form == 0 or r.random() < 0.15:  # a layout table
+            n = r.randint(1, 4)
+            cells = "".join(f"<td>{self.link(r.choice(['Home', 'News', 'About', self.words(1, 2)]))}</td>" for _ in range(n))
+            return self._whole([(f"<table><tr>{cells}</tr><tr><td>{inner}</td></tr></table>", [False] * n + labels), *after])
+        if form <= 2:
+            inner = self.unnamed("div", inner)
+        elif form == 3:
+            inner = self.unnamed("div", self.unnamed("div", inner))
+        pieces = [*before, (inner, labels), *after]
+        if r.random() < 0.4:
+            return self._whole([(self.unnamed("div", "".join(p for p, _ in pieces)), [x for _, own in pieces for x in own])])
+        return self._whole(pieces)
+
+    @staticmethod
+    def _whole(pieces: list[Piece]) -> tuple[str, list[bool]]:
+        top = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"
+        return top + "".join(p for p, _ in pieces) + "</body></html>", [x for _, own in pieces for x in own]
+
     def page(self) -> tuple[str, list[bool]]:
         r = self.r
         title = f"<h1>{self.words(2, 12)}</h1>"
@@ -145,6 +203,12 @@ class _Maker:
         for make in (self.advert, self.share, self.notice, self.comments, self.form, self.side):
             if r.random() < 0.12:
                 text.insert(r.randint(1, len(text)), make())
+        if r.random() < 0.25:  # what a footer or a notice would say, said by the article
+            said = r.choice(["All rights reserved.", "Copyright 2021.", "We use cookies.", "Subscribe to our newsletter.", "Share this.", "Privacy.", "Advertisement.", "Leave a comment."])
+            text.insert(r.randint(1, len(text)), (f"<p>{said}</p>", [True]))
+        if text[0][0] == title and r.random() < 0.15:
+            line = f"<p>{self.words(2, 6)}</p>" if r.random() < 0.5 else ""
+            text[0] = (f"<header>{title}{line}</header>", [True] * (2 if line else 1))
         inner, labels = "".join(p for p, _ in text), [x for _, own in text for x in own]
         form = r.randint(0, 5)
         if form <= 2:
@@ -163,7 +227,7 @@ class _Maker:
         return top + html + "</body></html>", [x for _, own in whole for x in own]
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """``n`` pages with the label of each of their blocks: main text or not."""
     maker = _Maker(seed)
-    return [maker.page() for _ in range(n)]
+    return [maker.bare_page() if i % 5 in (1, 3) else maker.page() for i in range(n)]

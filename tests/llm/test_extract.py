@@ -74,3 +74,39 @@ def test_gradient_is_exact(monkeypatch):
     pages = labelled_pages(60, 3)
     model = crf.train(pages)
     assert np.mean([model.decode(blocks(h)) == labels for h, labels in pages]) > 0.9
+
+
+HEAD, PARTS = "A heading of it", ["The first paragraph says something. It has a second sentence too.", "Another paragraph follows here, of some length. It goes on a bit.", "And the last one ends the text. That was all."]
+ARTICLE = f"<h1>{HEAD}</h1>" + "".join(f"<p>{p}</p>" for p in PARTS)
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>", "<footer>&copy; 2024 Someone</footer>"
+BY_HAND = {
+    "article": NAV + f"<article>{ARTICLE}</article>" + FOOT,
+    "generated name": NAV + f'<div class="css-1x2y">{ARTICLE}</div>' + FOOT,
+    "div": NAV + f"<div>{ARTICLE}</div>" + FOOT,
+    "root": f'<div id="root"><div class="wrap">{NAV}{ARTICLE}{FOOT}</div></div>',
+    "body": NAV + ARTICLE + FOOT,
+    "heading in a header": NAV + f"<article><header><h1>{HEAD}</h1></header>{ARTICLE[ARTICLE.index('</h1>') + 5 :]}</article>" + FOOT,
+    "generated names": f'<div class="x9"><div class="k2"><a href=/>Home</a> <a href=/s>Shop</a></div></div><div class="q7"><div class="r1">{ARTICLE}</div></div><div class="z3"><a href=/t>Terms of use</a></div>',
+    "layout table": f"<table><tr><td><a href=/>Home</a></td><td><a href=/b>News</a></td></tr><tr><td colspan=2>{ARTICLE}</td></tr></table>",
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_pages_written_by_hand(model, name):
+    """No article is lost for want of a telling container; these pages do not come from the maker."""
+    assert crf.main_text(f"<html><body>{BY_HAND[name]}</body></html>", model) == "\n".join([HEAD, *PARTS])
+
+
+def test_text_with_line_breaks(model):
+    text = "<br><br>".join(PARTS)
+    assert crf.main_text(f"<html><body>{NAV}{text}{FOOT}</body></html>", model) == " ".join(PARTS)
+    assert crf.main_text(f"<html><body><div class='hdr-2'><a href=/>Home</a></div><h1>{HEAD}</h1>{text}</body></html>", model) == HEAD + "\n" + " ".join(PARTS)
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<font>x<p>y", '<span class="a b c">x<li>y', "</b>x<p>", "<x-1>y<div>"])
+def test_deep_pages_take_linear_time(model, piece):
+    import time
+
+    begin = time.perf_counter()
+    text = crf.main_text(piece * 20_000, model)
+    assert time.perf_counter() - begin < 15 and set(text) <= set("xy \n")
