@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.llm.bitmap import bitmap, is_set
+from cratewise.llm.columns import spare
 from cratewise.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,9 +110,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with their columns."""
-    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))  # rows equal in both have the same verdict
-    found = decontaminate(marked, items, keep=("_uid",)).where("contaminated").select("_uid").distinct()
-    return marked.join(found, "_uid", "left_anti").select(*docs.columns)
+    (uid,) = spare(docs, "_uid")
+    # rows equal in both have the same verdict; nulls leave no trace in a hash
+    marked = docs.withColumn(uid, F.xxhash64("doc_id", F.isnull("doc_id"), "text"))
+    found = decontaminate(marked, items, keep=(uid,)).where("contaminated").select(uid).distinct()
+    return marked.join(found, uid, "left_anti").select(*docs.columns)
 
 
 _PLACE = "array<struct<hash:bigint,l:int,pos:int,first:int,near:array<string>>>"

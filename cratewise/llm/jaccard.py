@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratewise.llm.columns import spare
 from cratewise.llm.words import mix, shingle_sets, text_chunks
 from cratewise.operators.components import wcc
 from cratewise.session import materialize
@@ -313,8 +314,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(linked_rows(docs).select("doc_id", "uid", "component"), "linked").df
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid")
-    heads = rows.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("uid", F.lit(True).alias("_one"))
-    kept = rows.where(F.col("component").isNull()).select("uid", F.lit(False).alias("_one")).distinct().unionByName(heads)
-    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("uid", "_uid"), "_uid")
-    nth = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
-    return marked.withColumn("_nth", nth).where("NOT _one OR _nth = 1").select(*docs.columns)
+    uid, one, nth = spare(docs, "_uid", "_one", "_nth")
+    heads = rows.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("uid", F.lit(True).alias(one))
+    kept = rows.where(F.col("component").isNull()).select("uid", F.lit(False).alias(one)).distinct().unionByName(heads)
+    marked = docs.withColumn(uid, F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("uid", uid), uid)
+    place = F.row_number().over(Window.partitionBy(uid).orderBy(uid))
+    return marked.withColumn(nth, place).where(~F.col(one) | (F.col(nth) == 1)).select(*docs.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from cratewise.llm.columns import spare
 from cratewise.llm.words import hash_spans, spans, text_chunks
 
 PASSAGE = 64
@@ -197,4 +198,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Da
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    return with_score(docs, train(docs, labels), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    (score,) = spare(docs, "_score")
+    return with_score(docs, train(docs, labels), score).where(F.col(score) >= THRESHOLD).drop(score)

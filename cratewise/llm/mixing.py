@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratewise.llm.columns import spare
 from cratewise.operators.sequence import number_rows, running_totals
 from cratewise.session import materialize
 
@@ -96,10 +97,12 @@ def mix_sizes(docs: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> Dat
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns."""
     columns = docs.columns
-    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "source", "text"))
+    uid, total, rows, nth, copy = spare(docs, "_uid", "_all", "_rows", "_nth", "_copy")
+    parts = [x for c in ("doc_id", "source", "text") for x in (F.col(c), F.isnull(c))]  # nulls leave no trace in a hash
+    marked = docs.withColumn(uid, F.xxhash64(*parts))
     # equal rows stand for one another: their copies are summed and dealt out again
-    taken = mix_sizes(marked, seed, ("_uid",)).groupBy("_uid").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.where("_all > 0")
-    numbered = marked.join(taken, "_uid").withColumn("_nth", F.row_number().over(Window.partitionBy("_uid").orderBy("_uid")))
-    times = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    return numbered.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*columns)
+    taken = mix_sizes(marked, seed, (uid,)).groupBy(uid).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    taken = taken.where(F.col(total) > 0)
+    numbered = marked.join(taken, uid).withColumn(nth, F.row_number().over(Window.partitionBy(uid).orderBy(uid)))
+    times = F.floor(F.col(total) / F.col(rows)) + F.when(F.col(nth) <= F.col(total) % F.col(rows), 1).otherwise(0)
+    return numbered.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*columns)

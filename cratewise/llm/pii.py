@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewise.llm.bitmap import bitmap, is_set
+from cratewise.llm.columns import spare
 from cratewise.session import materialize
 
 #: The kinds in their order. The patterns match what the plain ones would, without backtracking: possessive
@@ -190,8 +191,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
         new = F.struct(x["end"].alias("at"), F.concat(done["parts"], F.array(before, F.get(marks, x["kind"]))).alias("parts"))
         return F.when(x["start"] >= done["at"], new).otherwise(done)
 
-    done = F.aggregate("spans", start, step)
-    rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(done["parts"], ""), rest))
-    marked = docs.withColumn("_uid", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left")
-    return marked.withColumn("text", text).select(*docs.columns)
+    def text(spans: str) -> Column:
+        done = F.aggregate(spans, start, step)
+        rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
+        return F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(done["parts"], ""), rest))
+
+    uid, own = spare(docs, "_uid", "_spans")
+    marked = docs.withColumn(uid, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(spans.withColumnsRenamed({"uid": uid, "spans": own}), uid, "left")
+    return marked.withColumn("text", text(own)).select(*docs.columns)
