@@ -132,3 +132,10 @@ def count_writes(documents: DataFrame, valid: Column) -> tuple[DataFrame, Observ
         F.count(F.lit(1)).alias("total"),
     )
     return counted.where(valid), seen
+
+
+def normalization_counts(records: DataFrame, packages: DataFrame) -> DataFrame:
+    """One row: records of a snapshot, those that normalization kept, and those that it dropped."""
+    read = records.agg(F.count(F.lit(1)).alias("records"))
+    kept = packages.agg(F.count(F.lit(1)).alias("kept"))
+    return read.crossJoin(kept).withColumn("dropped", F.col("records") - F.col("kept"))  # a row each

@@ -499,6 +499,9 @@ def clean_sql(select: str) -> str:
 
 ORACLE["name_version"] = with_parts(NAMED, "SELECT drv_path, full_name, package_name, version FROM named")
 ORACLE["store_path_name"] = with_parts(NAMED, "SELECT drv_path, package_name AS name FROM named")
+ORACLE["normalize_counts"] = clean_sql(
+    "SELECT (SELECT count(*) FROM named) AS records, (SELECT count(*) FROM clean) AS kept, (SELECT count(*) FROM named) - (SELECT count(*) FROM clean) AS dropped"
+)
 ORACLE["package_id"] = clean_sql(
     "SELECT drv_path, package_id, attribute_path, CASE WHEN attr_path = '' THEN '' ELSE system END AS system, package_name || '-' || version AS node_id FROM clean"
 )

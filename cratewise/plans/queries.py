@@ -577,6 +577,13 @@ def clean_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(D.raw_snapshot(spark, sf_dir).records, D.RUN_TS)
 
 
+@query
+def normalize_counts(spark, sf):
+    """How many records normalization kept and dropped."""
+    records = D.raw_snapshot(spark, sf).records
+    return Q.normalization_counts(records, normalize(records, D.RUN_TS))
+
+
 @query
 def name_version(spark, sf):
     """B1: names and versions of every variant."""
