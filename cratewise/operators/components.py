@@ -68,26 +68,29 @@ def _small_star(edges: Stored) -> DataFrame:
 def scc(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``(node_id, component)``: strongly connected components, named by their smallest node.
 
-    Peels nodes that cannot lie on a cycle, then colours the rest: every node takes the
-    smallest node that reaches it, and the nodes of one colour that reach their colour's
-    node form one component. Repeats on what is left.
+    Peels nodes that cannot lie on a cycle, then colours the rest with many pivots at once: every node
+    takes the pivot of least rank that reaches it, and among the nodes of its colour the one of least rank
+    that it reaches. Where both are the same node, it and the pivot form a component. Two nodes of a
+    component have the same pair of colours, so edges between different pairs are cut. Ranks are drawn anew
+    each round, so a chain of components falls apart into pieces and takes logarithmically many rounds.
     """
     core = _peel(materialize(oriented(edges, "out").distinct(), "core"))
     parts: list[Stored] = []
+    turn = 0
     while core.rows:
-        members = _one_component_per_colour(core)
+        members, rest = _split_by_colours(core, turn)
         parts.append(members)
-        gone = members.df.select("node_id")
-        rest = core.df.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(
-            gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti"
-        )
-        core = _peel(materialize(rest.select("src", "dst"), "core"))
+        core.drop()
+        core = _peel(rest)
+        turn += 1
     nodes = vertices.select("node_id").distinct()
     if not parts:
         return nodes.withColumn("component", F.col("node_id"))
-    return nodes.join(read_stored(parts), "node_id", "left").select(
-        "node_id", F.coalesce("component", "node_id").alias("component")
-    )
+    settled = read_stored(parts)
+    # a pivot is any node of its component; the component is named by its smallest one
+    names = settled.groupBy("pivot").agg(F.min("node_id").alias("component"))
+    named = settled.join(names, "pivot").select("node_id", "component")
+    return nodes.join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def _peel(edges: Stored) -> Stored:
@@ -107,10 +110,11 @@ def _peel(edges: Stored) -> Stored:
     return edges
 
 
-def _colour(edges: Stored) -> Stored:
-    """``(node_id, colour)``: the smallest node that reaches each node of the core."""
+def _colour(edges: Stored, turn: int) -> Stored:
+    """``(node_id, colour)``: the node of least rank that reaches each node of the core, as ``(rank, id)``."""
     nodes = edges.df.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    state = materialize(nodes.withColumn("colour", F.col("node_id")), "colour")
+    rank = F.xxhash64(F.lit(turn), F.col("node_id"))
+    state = materialize(nodes.withColumn("colour", F.struct(rank.alias("rank"), F.col("node_id").alias("id"))), "colour")
     hot_src = hot_keys(edges, "src")
     while True:
         colours = state.df
@@ -120,9 +124,13 @@ def _colour(edges: Stored) -> Stored:
             "node_id", F.least("colour", F.coalesce("offer", "colour")).alias("colour")
         )
         # The node a colour names is itself reached by its own colour: jump there at once.
-        named = colours.select(F.col("node_id").alias("colour"), F.col("colour").alias("further"))
-        jumped = taken.join(named, "colour").select("node_id", F.least("colour", "further").alias("colour"))
-        fresh = materialize(jumped, "colour")
+        named = colours.select(F.col("node_id").alias("id"), F.col("colour").alias("further"))
+        asked, hot = taken.select("node_id", "colour", F.col("colour.id").alias("id")), None
+        if state.rows > HOT_ROWS:  # a colour may have most of the nodes
+            stored = materialize(asked, "taken")
+            asked, hot = stored.df, hot_keys(stored, "id")
+        met = join_lookup(asked, named, "id", hot)
+        fresh = materialize(met.select("node_id", F.least("colour", "further").alias("colour")), "colour")
         same = fresh.checksum == state.checksum
         state.drop()
         state = fresh
@@ -130,25 +138,33 @@ def _colour(edges: Stored) -> Stored:
             return state
 
 
-def _one_component_per_colour(edges: Stored) -> Stored:
-    """``(node_id, component)`` of the nodes that reach the node their colour names."""
-    colours = _colour(edges).df
-    of_src = colours.select(F.col("node_id").alias("src"), F.col("colour").alias("src_colour"))
-    of_dst = colours.select(F.col("node_id").alias("dst"), F.col("colour").alias("dst_colour"))
+def _within(edges: Stored, colours: DataFrame) -> Stored:
+    """The edges whose two ends have the same colour."""
+    of_src = colours.select(F.col("node_id").alias("src"), F.col("colour.id").alias("src_colour"))
+    of_dst = colours.select(F.col("node_id").alias("dst"), F.col("colour.id").alias("dst_colour"))
     tinted = join_lookup(edges.df, of_src, "src", hot_keys(edges, "src"))
-    inner = materialize(
-        join_lookup(tinted, of_dst, "dst", hot_keys(edges, "dst"))
-        .where(F.col("src_colour") == F.col("dst_colour"))
-        .select("src", "dst"),
-        "inner",
-    )
-    # Inside a colour its name is the smallest node, so a node reaches it exactly when the
-    # smallest node it can reach is that one: the same colouring against the edges.
-    back = _colour(materialize(flip(inner.df), "inner")).df
-    members = colours.join(back.withColumnRenamed("colour", "reached"), "node_id", "left").where(
-        F.coalesce("reached", "node_id") == F.col("colour")
+    both = join_lookup(tinted, of_dst, "dst", hot_keys(edges, "dst"))
+    return materialize(both.where(F.col("src_colour") == F.col("dst_colour")).select("src", "dst"), "inner")
+
+
+def _split_by_colours(edges: Stored, turn: int) -> tuple[Stored, Stored]:
+    """``(node_id, pivot)`` of the components settled by one round, and the edges that may lie on a cycle outside them."""
+    forward = _colour(edges, turn)
+    inner = _within(edges, forward.df)
+    # Inside a colour its pivot has the least rank, so a node reaches it exactly when the least that it can reach is that one:
+    # the same colouring against the edges.
+    backward = _colour(materialize(flip(inner.df), "inner"), turn)
+    both = forward.df.join(backward.df.withColumnRenamed("colour", "reached"), "node_id", "left").select(
+        "node_id", F.col("colour.id").alias("pivot"), F.coalesce("reached", F.struct(F.lit(0).cast("bigint").alias("rank"), F.col("node_id").alias("id"))).alias("colour")
     )
-    return materialize(members.select("node_id", F.col("colour").alias("component")), "members")
+    pairs = materialize(both, "pairs")
+    members = materialize(pairs.df.where(F.col("colour.id") == F.col("pivot")).select("node_id", "pivot"), "members")
+    open_ends = materialize(pairs.df.where(F.col("colour.id") != F.col("pivot")), "open").df
+    # an edge inside one pair of colours has both ends settled or none
+    rest = _within(inner, open_ends)
+    for stored in (forward, backward, inner, pairs):
+        stored.drop()
+    return members, rest
 
 
 def cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cratewise.functions import text as T
 from cratewise.functions import variant as V
 from cratewise.operators.sequence import PAGE_SIZE, list_pages, single_lists, whole_lists
+from cratewise.operators.skew import even_join
 from cratewise.session import Stored, materialize, read_stored
 from cratewise.sources.snapshot import record_ordinal
 
@@ -60,9 +61,9 @@ def build_graph(records: DataFrame, multigraph: bool = False) -> tuple[DataFrame
         .agg(F.max_by("node_id", "ord").alias("dst"))
         .withColumnRenamed("drv_path", "input")
     )
+    named = rows.select(F.col("node_id").alias("src"), F.explode("inputs").alias("input"))
     edges = (
-        rows.select(F.col("node_id").alias("src"), F.explode("inputs").alias("input"))
-        .join(owners, "input")
+        even_join(named, owners, "input")
         .where(F.col("src") != F.col("dst"))
         .select("src", "dst")
     )

@@ -50,6 +50,43 @@ def rolling_usage(
     )
 
 
+def banded_usage(
+    requests: DataFrame,
+    user: str,
+    ts: str,
+    tokens: Column,
+    max_requests: int = MAX_REQUESTS,
+    max_tokens: int = MAX_TOKENS,
+) -> DataFrame:
+    """What ``rolling_usage`` says, without a partition by user or by time slice.
+
+    Requests are summed by user and instant; beside every instant stands the one a minute before it, as a question. One range
+    partitioning by user and time gives both their running totals, carried from range to range, and a minute's use is
+    the difference of two of them. So a user with all requests, or a single minute with all of them, spreads over all tasks.
+
+    Missing tokens count as none; requests without a time are left out, as they lie in no minute.
+    """
+    timed = requests.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_tokens": F.coalesce(tokens, F.lit(0))})
+    timed = materialize(timed.where(F.col("_at").isNotNull()), "timed").df
+    summed = timed.groupBy(user, "_at").agg(F.count(F.lit(1)).alias("_more"), F.sum("_tokens").alias("_used"))
+    instants = materialize(summed, "instants").df
+    asks = instants.select(user, (F.col("_at") - WINDOW_MICROS).alias("_at"), (F.col("_more") * 0).alias("_more"), (F.col("_used") * 0).alias("_used"))
+    # at one time requests come before questions: what is exactly a minute old has expired
+    line = instants.withColumn("_asks", F.lit(0)).unionByName(asks.withColumn("_asks", F.lit(1)))
+    totals = running_totals(line, [user, "_at", "_asks"], {"_requests": F.col("_more"), "_sum": F.col("_used")})
+    sign = 1 - 2 * F.col("_asks")
+    minutes = totals.groupBy(user, (F.col("_at") + F.col("_asks") * WINDOW_MICROS).alias("_at")).agg(
+        F.sum(sign * F.col("_requests")).alias("requests_in_minute"), F.sum(sign * F.col("_sum")).alias("tokens_in_minute")
+    )
+    asked = minutes.withColumnsRenamed({user: "_user", "_at": "_when"})
+    over = (F.col("requests_in_minute") > max_requests) | (F.col("tokens_in_minute") > max_tokens)
+    return (
+        timed.join(asked, (F.col("_at") == F.col("_when")) & F.col(user).eqNullSafe(F.col("_user")))
+        .drop("_at", "_tokens", "_user", "_when")
+        .withColumn("over_budget", over)
+    )
+
+
 def batch_slots(
     texts: DataFrame,
     order: list[str],

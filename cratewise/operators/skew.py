@@ -22,6 +22,12 @@ def hot_keys(rows: Stored, key: str, min_rows: int = HOT_ROWS) -> DataFrame | No
     return found.df if found.rows else None
 
 
+def even_join(rows: DataFrame, lookup: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """``join_lookup`` for rows that are not stored yet: stores them, so that their hot keys are known."""
+    stored = materialize(rows, "rows")
+    return join_lookup(stored.df, lookup, key, hot_keys(stored, key, min_rows))
+
+
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Inner join with a lookup that has one row per key.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cratewise.functions.text import search_text
 from cratewise.operators.merge import MAINTAINER_KEY, merge_variants, variations
 from cratewise.operators.sequence import number_rows
+from cratewise.operators.skew import even_join
 from cratewise.session import materialize
 
 LICENSE_COLUMNS = {
@@ -73,12 +74,12 @@ def maintainer_lookup(packages: DataFrame) -> DataFrame:
 
 def license_links(merged: DataFrame, licenses: DataFrame) -> DataFrame:
     names = merged.select("package_id", F.explode("licenses.shortName").alias("short_name")).distinct()
-    return names.join(licenses.select("short_name", "license_id"), "short_name").select("package_id", "license_id")
+    return even_join(names, licenses.select("short_name", "license_id"), "short_name").select("package_id", "license_id")
 
 
 def architecture_links(merged: DataFrame, architectures: DataFrame) -> DataFrame:
     names = merged.select("package_id", F.explode("platforms").alias("name")).distinct()
-    return names.join(architectures, "name").select("package_id", "arch_id")
+    return even_join(names, architectures, "name").select("package_id", "arch_id")
 
 
 def maintainer_links(merged: DataFrame, maintainers: DataFrame, match: str = "exact") -> DataFrame:

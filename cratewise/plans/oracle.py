@@ -815,6 +815,7 @@ def _rolling(key: str, tokens: str, requests: int, budget: int) -> str:
 
 ORACLE["rolling_quota"] = _rolling("user_id", "floor(value * 100)", 1, 5000)
 ORACLE["rolling_quota_by_type"] = _rolling("event_type", "floor(value)", 2, 60)
+ORACLE["rolling_quota_banded"] = ORACLE["rolling_quota_by_type"]
 ORACLE["batch_slots"] = f"""
     SELECT doc_id, cum_requests, cum_tokens, ((cum_requests * 300000 + cum_tokens * 600) // 180000000)::BIGINT AS slot FROM (
         SELECT doc_id, count(*) OVER w AS cum_requests, (sum({_ESTIMATE}) OVER w)::BIGINT AS cum_tokens

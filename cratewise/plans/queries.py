@@ -1184,6 +1184,14 @@ def rolling_quota_by_type(spark, sf):
     return used.select("event_id", "requests_in_minute", "tokens_in_minute", "over_budget")
 
 
+@query
+def rolling_quota_banded(spark, sf):
+    """W1 by running totals: the last minute of each event type, without a partition by type."""
+    events = D.table(spark, sf, "events").select("event_id", "event_type", "ts", F.floor(F.col("value")).alias("tokens"))
+    used = U.banded_usage(events, "event_type", "ts", F.col("tokens"), max_requests=2, max_tokens=60)
+    return used.select("event_id", "requests_in_minute", "tokens_in_minute", "over_budget")
+
+
 @query
 def batch_slots(spark, sf):
     """Minute slots for embedding requests, in document order."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cratewise.operators import merge as M
 from cratewise.operators import quality as Q
+from cratewise.operators import skew as K
 from cratewise.operators import star as R
 from cratewise.operators.normalize import normalize, normalize_map
 from cratewise.plans.refresh import refresh
@@ -143,6 +144,19 @@ def test_maintainer_matching(spark):
         R.maintainer_links(merged, lookup, "fuzzy")
 
 
+def test_a_key_of_half_the_rows_is_joined_evenly(spark, monkeypatch):
+    """Links, their lookups and nested lists are the same whether the hot name travels or is broadcast."""
+    rows = [(f"p{i}", [{"shortName": "mit" if i % 2 else f"l{i % 7}"}], ["x86" if i % 2 else f"arch{i % 5}"]) for i in range(200)]
+    merged = spark.createDataFrame(rows, "package_id string, licenses array<struct<shortName:string>>, platforms array<string>")
+    licenses = spark.createDataFrame([("mit", 1)] + [(f"l{i}", i + 2) for i in range(7)], "short_name string, license_id bigint")
+    names = spark.createDataFrame([("x86", 1)] + [(f"arch{i}", i + 2) for i in range(5)], "name string, arch_id bigint")
+    want = [sorted(map(tuple, f.collect())) for f in (R.license_links(merged, licenses), R.architecture_links(merged, names))]
+    hot = []
+    monkeypatch.setattr(R, "even_join", lambda rows, lookup, key: hot.append(key) or K.even_join(rows, lookup, key, min_rows=50))
+    got = [sorted(map(tuple, f.collect())) for f in (R.license_links(merged, licenses), R.architecture_links(merged, names))]
+    assert got == want and hot == ["short_name", "name"] and [len(w) for w in want] == [200, 200]
+
+
 def test_map_snapshot(spark, tmp_path):
     entries = {
         "a.b": {"pname": "b", "version": "1", "description": "top", "meta": {"description": "inner", "broken": False}, "broken": True},

@@ -100,6 +100,18 @@ def test_components_against_brute_force(spark, random_graph):
     assert len(K.cycles(edges, found).collect()) == len({c for *_, c in inner})
 
 
+def test_a_chain_of_components_falls_apart(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain's length, whichever way its names run."""
+    n, rounds, split = 40, [], K._split_by_colours
+    monkeypatch.setattr(K, "_split_by_colours", lambda edges, turn: rounds.append(turn) or split(edges, turn))
+    pairs = [p for i in range(n) for p in ((f"{i:04}a", f"{i:04}b"), (f"{i:04}b", f"{i:04}a"), (f"{i:04}b", f"{i + 1:04}a"))]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(f"{i:04}{c}",) for i in range(n + 1) for c in "ab"], "node_id string")
+    found = dict(rows(K.scc(edges, nodes)))
+    assert found == {f"{i:04}{c}": f"{i:04}{'a' if i < n else c}" for i in range(n + 1) for c in "ab"}
+    assert len(rounds) <= 6
+
+
 def test_hot_keys_take_the_broadcast_way(spark, random_graph, monkeypatch):
     edges, nodes, pairs, names = random_graph
     want = rows(K.wcc(edges, nodes)), rows(K.scc(edges, nodes))

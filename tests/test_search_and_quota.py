@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cratewise.operators import quota as U
 from cratewise.operators import search as S
+from cratewise.operators import sequence
 
 rng = random.Random(3)
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
@@ -147,6 +148,31 @@ def test_rolling_usage_across_slices(spark):
     assert got[99]["requests_in_minute"] == 1
 
 
+def test_banded_usage_equals_counting(spark, monkeypatch):
+    """Ties, requests exactly a minute apart, users and times that are null; one user's requests lie in several ranges."""
+    rng = random.Random(5)
+    users = [None, "", "a", "b"]
+    data = [(i, rng.choices(users, [1, 1, 20, 3])[0], rng.choice([None, *range(400)]), rng.choice([None, 0, 1, 7])) for i in range(1500)]
+    data += [(2000, "c", 0, 5), (2001, "c", 60, 6), (2002, "c", 119, 7), (2003, "c", 119, 8)]
+    table = spark.createDataFrame(data, "id bigint, user string, s bigint, t bigint").withColumn("ts", F.timestamp_seconds("s"))
+    ranged, keep = [], sequence.materialize
+    monkeypatch.setattr(sequence, "materialize", lambda df, label: ranged.append(keep(df, label)) or ranged[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: (r["requests_in_minute"], r["tokens_in_minute"], r["over_budget"]) for r in U.banded_usage(table, "user", "ts", F.col("t"), 30, 80).collect()}
+        spread = ranged[0].df.where("user = 'a'").groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for i, user, at, _ in data:
+        if at is not None:
+            last = [t or 0 for _, u, s, t in data if u == user and s is not None and at - 60 < s <= at]
+            want[i] = (len(last), sum(last), len(last) > 30 or sum(last) > 80)
+    assert got == want and len(spread) > 2
+    empty = table.where("false")
+    assert U.banded_usage(empty, "user", "ts", F.col("t")).count() == 0
+
+
 def test_batch_slots_hold_the_budgets(spark):
     texts = spark.range(500).withColumn("tokens", (F.col("id") * 37) % 400)
     rows = U.batch_slots(texts, ["id"], F.col("tokens"), max_requests=20, max_tokens=3000).collect()
