@@ -1,11 +1,14 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
-Identifiers (addresses, numbers) are found by pattern; their values are the protected entities. A term
-in a text with an entity reveals it as far as the corpus says so: its pointwise mutual information with
-the entity, as a share of the entity's own information content, is the disclosure. At ``REMOVE`` and above
-the term is removed, at ``GENERALISE`` and above it is generalised. Terms are words of any length, counted
-over whole texts and marked wherever they stand in a text that holds the entity. Documents are counted by
-distinct text, so copies of a text are no evidence; terms need ``SUPPORT`` texts with the entity.
+Identifiers (addresses, numbers) are found by pattern. The protected entities are their values and the parts
+by which values recur: an address's name and its domain, the network of an IP, a card's issuer digits, a
+phone's digits before the last seven. A term in a text with an entity reveals it as far as the corpus says
+so: its pointwise mutual information with the entity, as a share of the entity's own information content, is
+the disclosure. At ``REMOVE`` and above the term is removed, at ``GENERALISE`` and above it is generalised to
+its word shape. Terms are words of any length, counted over whole texts and marked wherever they stand in a
+text that holds the entity. Documents are counted by distinct text, so copies of a text are no evidence.
+A term needs ``SUPPORT`` texts with the entity, and they must be more than chance: texts times information
+reach ``EVIDENCE`` times the logarithm of the number of texts, which random meetings with a common domain do not.
 
 Defined results: null and empty texts have no spans; whole texts are searched, however long; repeated
 rows are rows of their own; terms are only marked in texts with their entity, never in other documents,
@@ -14,11 +17,14 @@ and never inside an identifier; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewise.llm.bitmap import bitmap, is_set
 from cratewise.llm.columns import spare
+from cratewise.operators.skew import even_join
 from cratewise.session import materialize
 
 #: The kinds in their order. The patterns match what the plain ones would, without backtracking: possessive
@@ -35,10 +41,11 @@ SIGNS = {"email": "@", "ip": "[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0
 KINDS = [*PATTERNS, "term", "general"]
 TERM = r"\p{L}++"
 SUPPORT = 2
+EVIDENCE = 1.5
 REMOVE, GENERALISE = 0.95, 0.8
 #: Bits of the filters for terms and for copied texts; fuller filters let more rows through, none are lost.
 FILTER_BITS, COPY_BITS = 1 << 20, 1 << 22
-REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]", "general": "[WORD]"}
+REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]"}
 
 
 def luhn(digits: Column) -> Column:
@@ -64,10 +71,22 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-_FOUND = "array<struct<kind:int,nth:int,gap:int,len:int,ok:boolean,entity:bigint>>"
+_FOUND = "array<struct<kind:int,nth:int,gap:int,len:int,ok:boolean,entities:array<bigint>>>"
 _MARKS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
+def _entities(kind: str, match: Column) -> Column:
+    """Hashes of a value and of the parts that other values may share with it."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    parts = {
+        "email": [F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)],
+        "ip": [F.substring_index(match, ".", 3)],
+        "card": [F.substring(digits, 1, 6)],
+        "phone": [F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 7, F.lit(0)))],
+    }
+    return F.array(F.xxhash64(F.lit(kind), match), *[F.xxhash64(F.lit(kind), F.lit(i), p) for i, p in enumerate(parts[kind])])
+
+
 def _found(kind: str) -> Column:
     """All matches of a kind with their distance from the match before."""
     text, pattern = F.col("text"), PATTERNS[kind]
@@ -80,7 +99,7 @@ def _found(kind: str) -> Column:
             F.length(x["1"]).alias("gap"),
             F.length(x["0"]).alias("len"),
             _valid(kind, x["0"]).alias("ok"),
-            F.xxhash64(F.lit(kind), x["0"]).alias("entity"),
+            _entities(kind, x["0"]).alias("entities"),
         )
 
     found = F.transform(F.filter(around, lambda x: x["0"].isNotNull()), one)
@@ -101,10 +120,10 @@ def find(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
     own = base.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("firm"))
     marked = _marked(facts, base, texts, bits)
-    result = facts.select("rid", "doc_id", "uid", "text_id").join(own, "rid", "left")
+    result = facts.select("rid", "doc_id", "uid").join(own, "rid", "left")
     firm, terms = F.coalesce("firm", F.array().cast(_MARKS)), F.array().cast(_MARKS)
     if marked is not None:
-        result = result.join(marked, "text_id", "left")
+        result = result.join(even_join(facts.select("rid", "text_id"), marked, "text_id").select("rid", "marks"), "rid", "left")
         terms = F.coalesce("marks", terms)
     clear = F.filter(terms, lambda x: ~F.exists(firm, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return result.select("doc_id", "uid", F.sort_array(F.concat(firm, clear)).alias("spans"))
@@ -112,9 +131,9 @@ def find(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 def _marked(facts: DataFrame, base: DataFrame, texts: DataFrame, bits: int) -> DataFrame | None:
     """``(text_id, marks)``: every place of a disclosing term, by text; none if no entity has the support."""
-    held = base.select("entity", "text_id").distinct()
+    held = materialize(base.select(F.explode("entities").alias("entity"), "text_id").distinct(), "named").df
     recurring = held.groupBy("entity").agg(F.count(F.lit(1)).alias("has_entity")).where(F.col("has_entity") >= SUPPORT)
-    held = materialize(held.join(recurring, "entity"), "held")
+    held = materialize(even_join(held, recurring, "entity"), "held")
     if not held.rows:
         return None
     holders = texts.withColumn("text_id", F.xxhash64("text")).select("text_id", "text")
@@ -150,8 +169,11 @@ def _places(text: Column, risky: Column) -> Column:
 
 def _disclosing(facts: DataFrame, held: DataFrame, used: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     """``(entity, term, kind)``: the terms that reveal an entity, and what becomes of them."""
+    n = float(facts.select("text_id").distinct().count())
+    content = F.log(n / F.col("has_entity"))
     together = held.join(used, "text_id").groupBy("entity", "has_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = materialize(together, "pairs").df
+    # no term says more about an entity than its whole content
+    pairs = materialize(together.where(F.col("both") * content >= EVIDENCE * math.log(n)), "pairs").df
     asked = bitmap(pairs.select(F.xxhash64("term").alias("hash")), bits)
     everywhere = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.filter(_words(F.col("text")), lambda w: is_set(asked, F.xxhash64(w), bits))).alias("term"))
     # texts that occur once are counted before the shuffle; only those that may be copies travel by name
@@ -159,10 +181,9 @@ def _disclosing(facts: DataFrame, held: DataFrame, used: DataFrame, texts: DataF
     copied = F.when(is_set(bitmap(copies, COPY_BITS), F.col("text_id"), COPY_BITS), F.col("text_id")).alias("copied")
     counted = everywhere.groupBy("term", copied).agg(F.count(F.lit(1)).alias("c"))
     with_term = counted.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("c")).otherwise(1)).alias("has_term"))
-    n = float(facts.select("text_id").distinct().count())
-    content = F.log(n / F.col("has_entity"))
-    disclosure = F.log(F.col("both") * n / (F.col("has_entity") * F.col("has_term"))) / content
-    judged = pairs.join(with_term, "term").where(content > 0).withColumn("share", disclosure)
+    information = F.log(F.col("both") * n / (F.col("has_entity") * F.col("has_term")))
+    told = pairs.join(with_term, "term").where((content > 0) & (F.col("both") * information >= EVIDENCE * math.log(n)))
+    judged = told.withColumn("share", information / content)
     kind = F.when(F.col("share") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general"))
     return judged.where(F.col("share") >= GENERALISE).select("entity", "term", kind.alias("kind"))
 
@@ -181,14 +202,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by a mark of its kind; of overlapping spans the first counts."""
+    """``docs`` with every span of ``text`` replaced by a mark of its kind, a generalised term by its shape
+    (``[Xx]`` for a capitalised word); of overlapping spans the first counts."""
     spans = find(docs).select("uid", "spans").where(F.size("spans") > 0).dropDuplicates(["uid"])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    marks = F.array(*[F.lit(REPLACEMENT[k]) for k in KINDS])
+    marks = F.array(*[F.lit(mark) for mark in REPLACEMENT.values()])  # in the order of KINDS
 
     def step(done: Column, x: Column) -> Column:
         before = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
-        new = F.struct(x["end"].alias("at"), F.concat(done["parts"], F.array(before, F.get(marks, x["kind"]))).alias("parts"))
+        word = F.substring(F.col("text"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+        shape = F.regexp_replace(F.regexp_replace(word, r"[\p{L}&&[^\p{Lu}]]+", "x"), r"\p{Lu}+", "X")
+        mark = F.coalesce(F.get(marks, x["kind"]), F.concat(F.lit("["), shape, F.lit("]")))
+        new = F.struct(x["end"].alias("at"), F.concat(done["parts"], F.array(before, mark)).alias("parts"))
         return F.when(x["start"] >= done["at"], new).otherwise(done)
 
     def text(spans: str) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -70,6 +71,55 @@ def test_terms_that_reveal_an_entity(documents):
     assert "Zorblatt" not in clean[1001] and "[REMOVED] plain [EMAIL]" in clean[1001] and clean[5] == dict(rows)[5] and clean[2000] == "copied quixnote [EMAIL] here"
 
 
+def test_disclosure_against_counting(documents):
+    """Every term of every text, by the formula, with parts of values as entities."""
+    rng = random.Random(3)
+    common = [f"c{chr(97 + i)}" for i in range(26)]
+    rows = [(i, " ".join(rng.choices(common, k=6) + [f"r{chr(97 + i % 26)}{chr(97 + i // 26)}"])) for i in range(400)]
+    for i in range(12):  # one domain, with a term of its own and one that also stands elsewhere
+        rows.append((1000 + i, f"Zorblatt n{i}{'u' * i} wrote from p{chr(97 + i)}@north.org {' '.join(rng.choices(common, k=3))} Fjord"))
+    rows += [(2000 + i, f"fjord {' '.join(rng.choices(common, k=5))}") for i in range(4)]
+    rows += [(3000 + i, f"Quell host 10.1.2.{i} and {' '.join(rng.choices(common, k=3))}") for i in range(5)]
+    rows += [(4000 + i, f"Vexel +1 (234) 555-12{i}4 {rng.choice(common)} 4111 1111 1111 1111") for i in range(4)]
+    rows += [(5000, rows[400][1]), (None, rows[-1][1]), (5001, None)]
+
+    parts = {"email": lambda v: v.split("@"), "ip": lambda v: [v.rsplit(".", 1)[0]], "card": lambda v: [re.sub("[^0-9]", "", v)[:6]], "phone": lambda v: [re.sub("[^0-9]", "", v)[:-7]]}
+    texts, entities, terms = {t or "" for _, t in rows}, {}, {}
+    for t in texts:
+        entities[t] = {(kind, i, p) for a, _, kind, b in brute(t) for i, p in enumerate([t[a:b], *parts[kind](t[a:b])])}
+        terms[t] = {w.lower() for w in re.findall(r"[^\W\d_]+", t)}
+    n, has = len(texts), lambda where, x: sum(x in where[t] for t in texts)
+    kinds = {}
+    for e in {e for t in texts for e in entities[t]}:
+        with_e = [t for t in texts if e in entities[t]]
+        if len(with_e) < 2:
+            continue
+        for w in {w for t in with_e for w in terms[t]}:
+            both = sum(w in terms[t] for t in with_e)
+            told = math.log(both * n / (len(with_e) * has(terms, w)))
+            share = told / math.log(n / len(with_e))
+            if both >= 2 and both * told >= 1.5 * math.log(n) and share >= 0.8:
+                kinds[e, w] = "term" if share >= 0.95 else "general"
+    want = set()
+    for doc_id, t in rows:
+        firm = brute(t or "")
+        for m in re.finditer(r"[^\W\d_]+", t or ""):
+            found = [kinds[e, m[0].lower()] for e in entities[t or ""] if (e, m[0].lower()) in kinds]
+            if found and not any(a < m.end() and m.start() < b for a, *_, b in firm):
+                want.add((doc_id, "term" if "term" in found else "general", m.start(), m.end()))
+    got = set()
+    for r in digest(find(documents(rows).repartition(3))).collect():
+        for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s):
+            if kind in ("term", "general"):
+                got.add((r["doc_id"], kind, int(a), int(b)))
+    assert got == want
+    text = dict(rows)
+    named = {(kind, text[d][a:b]) for d, kind, a, b in got if d is not None}
+    assert {("term", "Zorblatt"), ("general", "Fjord"), ("term", "Quell"), ("term", "Vexel")} <= named
+    clean = {r["doc_id"]: r["text"] for r in sanitised(documents(rows)).collect()}
+    assert clean[1001].startswith("[REMOVED]") and clean[1001].endswith("[Xx]") and clean[2001] == text[2001]
+
+
 def test_terms_of_the_whole_text(documents):
     """Far from the entity, of any length, at every place."""
     filler = " ".join(["plain"] * 30)
