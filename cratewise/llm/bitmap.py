@@ -14,7 +14,8 @@ def bitmap(hashes: DataFrame, bits: int) -> Column:
     cells = np.zeros(bits // 64, np.int64)
     for r in hashes.groupBy((bucket / 64).cast("int").alias("cell")).agg(mask).collect():
         cells[r["cell"]] = r["mask"]
-    return F.lit(cells)
+    # as one text: a literal array would cost a call to the JVM for every cell; Spark folds this to an array once
+    return F.split(F.lit(",".join(map(str, cells.tolist()))), ",").cast("array<bigint>")
 
 
 def is_set(cells: Column, h: Column, bits: int) -> Column:
