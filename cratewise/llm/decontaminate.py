@@ -2,9 +2,10 @@
 
 A window is ten consecutive words of an item (or all words of a shorter item). It occurs in a
 document only where all its shingles do, so one shingle is a sufficient prefix: the rarest, by
-occurrences counted over all documents. Documents emit only shingles whose bit is set in a bitmap
-of fixed size; these join the windows' prefix shingles, the position of the shingle in its window
-fixes where the window would begin, windows that would not fit are dropped, and the words decide.
+occurrences counted over all documents. One pass over the documents stores the places of shingles whose
+bit is set in a bitmap of fixed size; both the counts and the search for the prefix shingles read these. The
+places join the windows' prefix shingles, the position of the shingle in its window fixes where the
+window would begin, windows that would not fit are dropped, and the words decide.
 
 Defined results: null and empty texts have no words and no hits; documents and items are compared
 whole; repeated documents are rows of their own; repeated items with one id count once; an item
@@ -61,22 +62,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = FILTER_BITS, br
     length = F.least("w", F.lit(SHINGLE))
     shingles = windows.select("item_id", "window", "w", length.alias("l"), F.posexplode(_shingles(F.col("window"), length)).alias("off", "hash"))
     lengths = sorted(r["l"] for r in windows.select(length.alias("l")).distinct().collect())  # SHINGLE values at most
-    text = docs.select("doc_id", *keep, words(F.col("text")).alias("words"))
-
     listed = bitmap(shingles, bits)
-    seen = [F.filter(_shingles(F.col("words"), n), lambda h: is_set(listed, h, bits)) for n in lengths]
-    often = text.select(F.explode(F.concat(F.array().cast("array<bigint>"), *seen)).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    text = docs.select("doc_id", *keep, "text", words(F.col("text")).alias("words"))
+    places = F.concat(F.array().cast(_PLACES), *[_places(n, listed, bits) for n in lengths])
+    placed = text.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *keep, F.size("words").cast("bigint").alias("n_words"), places.alias("found"), "text")
+    # the only pass over all texts; those without a listed shingle are not needed again
+    stored = materialize(placed.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "places").df
+
+    often = stored.select(F.explode("found.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
     ranked = shingles.join(often, "hash", "left")
     # a shingle that no document has rules its window out: it stays first and is dropped
     rarest = ranked.groupBy("item_id", "window", "w", "l").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "off", "hash")).alias("p"))
     prefix = materialize(rarest.where("p.often > 0").select("item_id", "window", "w", "l", F.col("p.off").alias("off"), F.col("p.hash").alias("hash")), "prefix")
 
     needed = bitmap(prefix.df, bits)
-    places = [_places(n, needed, bits) for n in lengths]
+    asked = stored.withColumn("found", F.filter("found", lambda x: is_set(needed, x["hash"], bits)))
+    asked = asked.withColumn("words", F.when(F.size("found") > 0, words(F.col("text")))).drop("text")
+    # named twice, so that the words are one column and not taken from the text for every place
+    around = F.when(F.size("words") > 0, F.transform("found", _with_words))
     spread = F.when(F.size("found") > 0, F.pmod("rid", F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(SALTS))).cast("int")
     found = (
-        text.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *keep, F.size("words").cast("bigint").alias("n_words"), F.concat(F.array().cast(_PLACE), *places).alias("found"))
-        .select("rid", "doc_id", *keep, "n_words", spread.alias("salt"), F.explode_outer("found").alias("f"))
+        asked.select("rid", "doc_id", *keep, "n_words", spread.alias("salt"), F.explode_outer(around).alias("f"))
         .select("rid", "doc_id", *keep, "n_words", "salt", "f.*")
     )
     if prefix.rows <= broadcast_rows:
@@ -117,20 +123,20 @@ def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return marked.join(found, uid, "left_anti").select(*docs.columns)
 
 
-_PLACE = "array<struct<hash:bigint,l:int,pos:int,first:int,near:array<string>>>"
+_PLACES = "array<struct<hash:bigint,l:int,pos:int>>"
 
 
 def _places(n: int, cells: Column, bits: int) -> Column:
-    """Where the text has a shingle of ``n`` words that a window asks for, with the words around it."""
-    hashed = F.transform(_shingles(F.col("words"), n), lambda h, i: F.when(is_set(cells, h, bits), F.struct(h.alias("hash"), i.alias("pos"))))
-    first = lambda p: F.greatest(p - (WINDOW - 1), F.lit(0))
-    return F.transform(
-        F.filter(hashed, lambda x: x.isNotNull()),
-        lambda x: F.struct(
-            x["hash"].alias("hash"),
-            F.lit(n).alias("l"),
-            x["pos"].alias("pos"),
-            first(x["pos"]).alias("first"),
-            F.slice(F.col("words"), first(x["pos"]) + 1, F.lit(2 * WINDOW)).alias("near"),
-        ),
+    """Where the text has a shingle of ``n`` words that an item may have."""
+    hashed = F.transform(
+        _shingles(F.col("words"), n),
+        lambda h, i: F.when(is_set(cells, h, bits), F.struct(h.alias("hash"), F.lit(n).alias("l"), i.alias("pos"))),
     )
+    return F.filter(hashed, lambda x: x.isNotNull())
+
+
+def _with_words(place: Column) -> Column:
+    """The place with the words around it, from word ``first`` on."""
+    first = F.greatest(place["pos"] - (WINDOW - 1), F.lit(0))
+    near = F.slice(F.col("words"), first + 1, F.lit(2 * WINDOW))
+    return F.struct(place["hash"].alias("hash"), place["l"].alias("l"), place["pos"].alias("pos"), first.alias("first"), near.alias("near"))

@@ -61,3 +61,11 @@ def test_empty_tables(spark, documents):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate(documents([]), items).collect() == []
     assert [tuple(r)[:4] for r in decontaminate(documents([(1, "a b")]), items).collect()] == [(1, 2, 0, 0)]
+
+
+def test_texts_are_read_once(spark, documents, tmp_path):
+    rows, items = tables()
+    documents(rows).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert not set(found.inputFiles()) & set(docs.inputFiles())
