@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,9 @@ SCORE_BINS = 1 << 12
 # Parts of a frequent term's documents in a batch, and the characters by which prefixes and terms meet.
 TERM_SALTS = 8
 LEAD = 3
+# Tokens that a task groups at once; one longer text is still grouped whole.
+TOKENS_AT_ONCE = 1 << 18
+POSTINGS = "term string, doc_id string, col string, tf bigint, positions array<int>"
 
 
 @dataclass
@@ -69,49 +76,84 @@ class Query:
 def build_index(documents: DataFrame, id_column: str, columns: list[str], keep: list[str] | None = None) -> SearchIndex:
     """Index ``columns`` of one row per document; ``keep`` columns stay with the documents for filters.
 
-    The tokens of a document leave one task together, so the aggregation combines them
-    before its shuffle and only postings travel.
+    The tokens of a text are in one row, so its postings are made there: nothing is shuffled, and no row is a token.
     """
     doc_id = F.col(id_column).cast("string").alias("doc_id")
     texts = F.array(
         *[F.struct(F.lit(c).alias("col"), tokenize(F.col(c).cast("string")).alias("tokens")) for c in columns]
     )
-    postings = (
-        documents.select(doc_id, F.explode(texts).alias("t"))
-        .select("doc_id", "t.col", F.posexplode("t.tokens").alias("pos", "term"))
-        .groupBy("term", "doc_id", "col")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
+    tokens = documents.select(doc_id, F.explode(texts).alias("t")).select("doc_id", "t.col", "t.tokens")
+    postings = tokens.mapInArrow(_inverted, POSTINGS)
     length = sum((F.size(tokenize(F.col(c).cast("string"))) for c in columns[1:]), F.size(tokenize(F.col(columns[0]).cast("string"))))
     docs = documents.select(doc_id, length.cast("bigint").alias("dl"), *(keep or []))
     return SearchIndex(postings, docs, corpus_of(docs))
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows ``(doc_id, col, tokens)``, for some rows at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(ends):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + TOKENS_AT_ONCE, side="right")))
+            yield _postings_of(batch.slice(begin, end - begin))
+            begin = end
+
+
+def _postings_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    size = pc.list_value_length(rows.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = rows.column("tokens").flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(size)), size)
+    position = (np.arange(len(row)) - (np.cumsum(size) - size)[row]).astype(np.int32)
+    key = row * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")  # the positions of a term stay in order
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(first, len(order))
+    one = pa.array(order[first])
+    whose = pa.array(row[order[first]])
+    return pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(coded.indices.take(one)),
+            rows.column("doc_id").take(whose),
+            rows.column("col").take(whose),
+            pa.array(np.diff(ends)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order])),
+        ],
+        ["term", "doc_id", "col", "tf", "positions"],
+    )
+
+
 def corpus_of(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def write_index(index: SearchIndex, path: str) -> None:
     """Postings in (term, doc_id) order: a term reads a few row groups, and a term that is in
-    every document still spreads over many files. Beside them the dictionary and the blocks."""
+    every document still spreads over many files. Beside them the dictionary and the blocks.
+
+    The postings are first stored as the texts come: the bounds of ranges are sampled from them, and a document's
+    rows lie together, so its length is summed before the shuffle."""
     spark = index.docs.sparkSession
+    stored = materialize(index.postings, "postings")
+    postings = stored.df
     (
-        index.postings.repartitionByRange("term", "doc_id")
+        postings.repartitionByRange("term", "doc_id")
         .sortWithinPartitions("term", "doc_id")
         .write.mode("overwrite")
         .option("parquet.bloom.filter.enabled#term", "true")
         .parquet(f"{path}/postings")
     )
-    postings = spark.read.parquet(f"{path}/postings")
     # lengths are in the postings already; taking them from the texts would tokenize these again
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("sum"))
     own = index.docs.drop("dl").join(lengths, "doc_id", "left").withColumn("dl", F.coalesce("sum", F.lit(0))).select(*index.docs.columns)
     own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     corpus_of(docs).write.mode("overwrite").parquet(f"{path}/corpus")
-    blocks_of(postings, docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(
-        "overwrite"
-    ).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/blocks")
+    blocks_of(postings, docs).sortWithinPartitions("term", "block").write.mode("overwrite").option(
+        "parquet.bloom.filter.enabled#term", "true"
+    ).parquet(f"{path}/blocks")
+    stored.drop()
     counts = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
     counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -126,8 +168,8 @@ def blocks_of(postings: DataFrame, docs: DataFrame) -> DataFrame:
     average = docs.agg(F.avg("dl")).first()[0] or 1.0
     block = F.floor((F.col("nth") - 1) / BLOCK_DOCS)
     rows = postings.select("term", "doc_id", "tf").join(placed.select("doc_id", "dl", block.alias("block")), "doc_id")
-    # both aggregations below go by this one shuffle
-    per_doc = rows.repartition("term", "block").groupBy("term", "block", "doc_id", "dl").agg(F.sum("tf").alias("f"))
+    # both aggregations below and the files that are written go by this one shuffle
+    per_doc = rows.repartitionByRange("term", "block").groupBy("term", "block", "doc_id", "dl").agg(F.sum("tf").alias("f"))
     weight = saturation(F.col("f"), F.col("dl"), F.lit(average))
     return (
         per_doc.select("term", "block", "f", F.struct("doc_id", weight.alias("weight")).alias("e"))
@@ -143,7 +185,7 @@ def read_index(spark: SparkSession, path: str) -> SearchIndex:
         return spark.read.schema(schema).parquet(f"{path}/{name}")
 
     return SearchIndex(
-        part("postings", "term string, doc_id string, col string, tf bigint, positions array<int>"),
+        part("postings", POSTINGS),
         docs,
         part("corpus", "n bigint, avgdl double"),
         part("terms", "term string, df bigint, cf bigint"),

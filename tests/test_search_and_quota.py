@@ -220,3 +220,19 @@ def test_blocks_below_the_page_are_left_out(spark, tmp_path, monkeypatch):
     some = S.promising_blocks(index, query, None, S.dictionary(index, query), 8)
     assert 0 < some.count() < index.blocks.where("term = 'red'").count() / 2
     assert {r.term: (r.df, r.cf) for r in S.term_stats(index).collect()} == {r.term: (r.df, r.cf) for r in S.term_stats(plain).collect()}
+
+
+def test_postings_are_made_in_the_row_of_their_text(index, monkeypatch):
+    import pyarrow as pa
+
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    texts = [["b", "a", "b"], [], ["a"], ["c"] * 9, ["b", "c"]]
+    ids = ["1", "2", None, "3", "1"]
+    batch = pa.record_batch({"doc_id": pa.array(ids, pa.string()), "col": pa.array(list("xxxxy")), "tokens": pa.array(texts, pa.list_(pa.string()))})
+    expected = [(t, i, c, [p for p, u in enumerate(text) if u == t]) for i, c, text in zip(ids, "xxxxy", texts, strict=True) for t in set(text)]
+    for at_once in (1, 4, 1 << 18):
+        monkeypatch.setattr(S, "TOKENS_AT_ONCE", at_once)
+        found = [r for part in S._inverted([batch.slice(0, 0), batch.slice(0, 2), batch.slice(2)]) for r in part.to_pylist()]
+        assert all(r["tf"] == len(r["positions"]) for r in found)
+        assert sorted(((r["term"], r["doc_id"], r["col"], r["positions"]) for r in found), key=repr) == sorted(expected, key=repr)
