@@ -106,7 +106,8 @@ def _postings_of(rows: pa.RecordBatch) -> pa.RecordBatch:
     coded = rows.column("tokens").flatten().dictionary_encode()
     row = np.repeat(np.arange(len(size)), size)
     position = (np.arange(len(row)) - (np.cumsum(size) - size)[row]).astype(np.int32)
-    key = row * len(coded.dictionary) + coded.indices.to_numpy()
+    # the rows of a term follow each other, which shuffles and files compress well
+    key = coded.indices.to_numpy().astype(np.int64) * len(size) + row
     order = np.argsort(key, kind="stable")  # the positions of a term stay in order
     first = np.flatnonzero(np.diff(key[order], prepend=-1))
     ends = np.append(first, len(order))
