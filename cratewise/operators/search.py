@@ -24,6 +24,8 @@ IDF_FLOOR = 1e-6
 CATALOG_COLUMNS = ["package_id", "package_name", "attribute_path", "description", "long_description", "main_program"]
 STORE_COLUMNS = ["id", "name", "description"]
 RANK_SALTS = 256
+# Searches read no deeper than this are cut to their best rows before the shuffle.
+SHALLOW = 500
 # Searches read deeper than this are ranked by a distributed sort instead of a window.
 DEEP = 100_000
 # Documents of a block of postings, and the postings from which a search looks at the blocks' maxima first.
@@ -580,16 +582,18 @@ def batch_search(
     """Answers a table of requests together: ``(request_id, rank, doc_id, score, total_count)``.
 
     ``requests`` has request_id, q, limit, offset, license, category, include_broken,
-    include_unfree, and may have the term options any_of, none_of and prefix. Equal searches are answered once,
-    however many requests ask them, and only then joined to the requests; each unit meets the
-    postings once, however many searches use it. A frequent term's documents are salted in both joins.
+    include_unfree, and may have the term options any_of, none_of and prefix. Equal texts are scored once, whatever
+    filters go with them, and equal searches are ranked once, however many requests ask them; each unit meets the
+    postings once, however many searches use it. A frequent term's documents are salted in the joins.
     """
     what = ["q", "license", "category", "include_broken", "include_unfree"]
     what += [c for c in ("any_of", "none_of", "prefix") if c in requests.columns]
+    texts = [c for c in ("q", "any_of", "none_of", "prefix") if c in what]
     ask = F.sha2(F.to_json(F.struct(*what)), 256).alias("ask")
     keyed = requests.select("request_id", "limit", "offset", *what, ask)
-    asks = keyed.groupBy("ask", *what).agg(F.max(_last_row()).alias("depth"))
-    asked = materialize(tagged_units(index, asks), "asked").df
+    text = F.sha2(F.to_json(F.struct(*texts)), 256).alias("text")
+    asks = materialize(keyed.groupBy("ask", *what).agg(F.max(_last_row()).alias("depth")).withColumn("text", text), "asks").df
+    asked = materialize(tagged_units(index, asks.select(F.col("text").alias("ask"), *texts).distinct()), "asked").df
     units = asked.where("term IS NOT NULL").select("unit", "size", "pos", "term").distinct()
     found = materialize(_on_all_salts(units).join(_salted(index.postings), ["term", "salt"]).drop("salt"), "found").df
     single = found.where(F.col("size") == 1).groupBy("unit", "doc_id").agg(F.sum("tf").alias("f"))
@@ -613,8 +617,8 @@ def batch_search(
     per_doc = _on_all_salts(counted).join(_salted(freq), ["unit", "salt"]).drop("salt").join(index.docs, "doc_id")
     term_score = F.when(F.col("tag") != NONE_OF, F.col("weight") * saturation(F.col("f"), F.col("dl"), average))
     filters = [c for c in ["broken", "unfree", "category"] if c in index.docs.columns]
-    hits = (
-        per_doc.groupBy("ask", "doc_id", *[F.col(c).alias(f"doc_{c}") for c in filters])
+    scored = (
+        per_doc.groupBy(F.col("ask").alias("text"), "doc_id", *[F.col(c).alias(f"doc_{c}") for c in filters])
         .agg(
             F.sum(term_score).alias("score"),
             *[F.count_if(F.col("tag") == tag).alias(name) for tag, name in ((REQUIRED, "got"), (ANY_OF, "chosen"), (NONE_OF, "unwanted"))],
@@ -622,8 +626,10 @@ def batch_search(
             F.max("choices").alias("choices"),
         )
         .where("got = units AND (choices = 0 OR chosen > 0) AND unwanted = 0 AND units + choices > 0")
-        .join(asks.drop("q", "any_of", "none_of", "prefix"), "ask")
+        .select("text", "doc_id", "score", *[f"doc_{c}" for c in filters])
     )
+    stored = materialize(scored, "scored").df
+    hits = _on_all_salts(asks.drop(*texts)).join(_salted(stored), ["text", "salt"]).drop("text", "salt")
     if "broken" in filters:
         hits = hits.where(F.col("include_broken") | ~F.col("doc_broken"))
     if "unfree" in filters:
@@ -646,21 +652,25 @@ def _last_row() -> Column:
 
 
 def _rank_pages(hits: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rank the hits of each search as deep as it is read, in two steps.
+    """Rank the hits of each search as deep as it is read.
 
-    A search that matches a large part of all documents is ranked in salted parts first;
-    what is deeper than ``depth`` in its part cannot be on a page.
+    A search that is read a few rows deep is cut to these before the shuffle, by the constant bound. One that is
+    read deeper is ranked in salted parts first; what is deeper than ``depth`` in its part cannot be on a page.
     """
     best = [F.desc("score"), F.col("doc_id")]
-    shallow = hits.where(F.col("depth") <= DEEP)
-    salted = shallow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SALTS)))
-    in_part = salted.withColumn("rn", F.row_number().over(Window.partitionBy("ask", "salt").orderBy(*best)))
-    ranked = (
-        in_part.where(F.col("rn") <= F.col("depth"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(*best)).cast("bigint"))
-        .where(F.col("rank") <= F.col("depth"))
-        .select("ask", "rank", "doc_id", "score")
-    )
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(*best))
+    near = hits.where(F.col("depth") <= min(SHALLOW, DEEP)).withColumn("rn", place).where(F.col("rn") <= SHALLOW)
+    ranked = near.where(F.col("rn") <= F.col("depth")).select("ask", F.col("rn").cast("bigint").alias("rank"), "doc_id", "score")
+    if keyed.where(_last_row().between(SHALLOW + 1, DEEP)).limit(1).count():
+        further = hits.where((F.col("depth") > SHALLOW) & (F.col("depth") <= DEEP))
+        salted = further.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SALTS)))
+        in_part = salted.withColumn("rn", F.row_number().over(Window.partitionBy("ask", "salt").orderBy(*best)))
+        ranked = ranked.unionByName(
+            in_part.where(F.col("rn") <= F.col("depth"))
+            .withColumn("rank", place.cast("bigint"))
+            .where(F.col("rank") <= F.col("depth"))
+            .select("ask", "rank", "doc_id", "score")
+        )
     if keyed.where(_last_row() > DEEP).limit(1).count():
         deep = hits.where(F.col("depth") > DEEP).withColumn("_worse", -F.col("score"))
         numbered = number_rows(deep, ["ask", "_worse", "doc_id"], "at")

@@ -236,3 +236,24 @@ def test_postings_are_made_in_the_row_of_their_text(index, monkeypatch):
         found = [r for part in S._inverted([batch.slice(0, 0), batch.slice(0, 2), batch.slice(2)]) for r in part.to_pylist()]
         assert all(r["tf"] == len(r["positions"]) for r in found)
         assert sorted(((r["term"], r["doc_id"], r["col"], r["positions"]) for r in found), key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("shallow", [500, 2])
+def test_batch_scores_a_text_once_for_all_filters(spark, index, monkeypatch, shallow):
+    monkeypatch.setattr(S, "SHALLOW", shallow)
+    rows, keep = {}, S.materialize
+
+    def counted(df, label):
+        stored = keep(df, label)
+        rows[label] = stored.rows
+        return stored
+
+    monkeypatch.setattr(S, "materialize", counted)
+    filters = [(c, b, u) for c in (None, "x", "y") for b in (True, False) for u in (True, False)]
+    requests = [(i, "alpha", 4, i % 3, None, c, b, u) for i, (c, b, u) in enumerate(filters)]
+    got = {}
+    for r in S.batch_search(index, spark.createDataFrame(requests, SCHEMA)).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append((r["doc_id"], r["score"]))
+    for number, q, limit, offset, _, category, broken, unfree in requests:
+        same(got.get(number, []), ranked(S.search(index, q, limit, offset, category=category, include_broken=broken, include_unfree=unfree)))
+    assert rows["scored"] == S.matches(index, S.make_query(spark, "alpha")).count()
