@@ -21,7 +21,8 @@ from cratewise.llm.bitmap import bitmap, is_set
 from cratewise.llm.columns import spare
 from cratewise.session import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
 #: Bits of the filter that documents' shingles pass; more items only make it less selective.
 FILTER_BITS = 1 << 20
@@ -31,9 +32,9 @@ SALTS = 64
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words of a text; A-Z only are lower-cased."""
+    """The lower-cased words of a text; A-Z only are lower-cased. Splitting costs a fraction of extracting every match."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")  # empty before a first and after a last separator
 
 
 def item_windows(items: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cratewise.llm.decontaminate import decontaminate, uncontaminated
+from cratewise.llm.decontaminate import words as tokens
 
 
 def words(text):
@@ -69,3 +71,10 @@ def test_texts_are_read_once(spark, documents, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/docs")
     found = decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"))
     assert not set(found.inputFiles()) & set(docs.inputFiles())
+
+
+def test_words_are_split_not_matched(spark):
+    texts = [None, "", " ", "a", " a", "a ", "..A-b\x00c\n", "É1 x\U0001f600y\u00a0z", "a\u2028b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokens(F.col("text")).alias("words"))
+    assert [r["words"] for r in frame.collect()] == [words(t) for t in texts]
+    assert "regexp_extract_all" not in frame._jdf.queryExecution().analyzed().toString()
