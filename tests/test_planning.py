@@ -1,11 +1,13 @@
 import json
 import random
+import re
 
 import pytest
 
 from cratewise.functions import present as P
 from cratewise.operators import components as K
 from cratewise.operators import quota as U
+from cratewise.plans import standins as D
 from cratewise.sources import changes as H
 from cratewise.sources import documents as O
 
@@ -73,3 +75,13 @@ def test_digests_tell_changed_packages(spark):
     assert of(rows) == of([(p, o, 9) for p, o, _ in reversed(rows)])
     other = of([("p", "1", 1), ("p", "3", 1), ("q", "1", 1), ("q", "1", 1)])
     assert other["p"] != of(rows)["p"] and other["q"] != of(rows)["q"]
+
+
+def test_record_lines_are_compiled(spark, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan is final at once
+    try:
+        D.record_lines(D.variant_facts(spark, "/root/testdata/sf0.001")).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer methods
