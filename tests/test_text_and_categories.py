@@ -129,3 +129,11 @@ def test_lists_are_whole_unless_a_cap_is_asked_for(spark):
         F.size(V.maintainers(value, k)).alias("c"), F.size(V.maintainers(value, k, 10)).alias("d"),
     ).first()
     assert tuple(row) == (30, 20, 30, 10)
+
+
+def test_package_id_needs_no_pattern(spark):
+    paths = [None, "", ".", "a", ".linux", "a.linux", "linux", "a.b", "a.b-linux ", " a.darwin.x", "a.\nwindows\n", "é.ü-linux", "a..linux", "linux.a", "a.linux."]
+    whole = ["unknown", "unknown", ".", "a", "", "a", "linux", "a.b", "a", "a.darwin.x", "a", "é", "a.", "linux.a", "a.linux."]
+    frame = spark.createDataFrame([(p,) for p in paths], "p string").select(T.package_id(F.col("p"), F.lit(""), F.lit("")).alias("id"))
+    assert [r["id"] for r in frame.collect()] == whole
+    assert "regexp" not in frame._jdf.queryExecution().analyzed().toString()
